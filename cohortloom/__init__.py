@@ -2,7 +2,7 @@
 
 from .config import TrialConfig
 from .definitions import Definition, shipped_definitions
-#TRIAL
+from .plans.trial import Trial
 from .sources.snapshot import Snapshot
 
 __all__ = ["Definition", "Snapshot", "Trial", "TrialConfig", "shipped_definitions"]

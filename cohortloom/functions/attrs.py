@@ -9,8 +9,6 @@ from pyspark.sql import types as T
 from .. import fixed_values as fixed
 from ..schema import SPAN, attribute
 
-NO_SPANS = F.lit(None)
-
 
 def text_or_null(value: str | Column | None) -> Column:
     return value if isinstance(value, Column) else F.lit(value).cast("string")
@@ -36,19 +34,15 @@ def build(kind: T.DataType, *, value=None, assertion=None, availability="observe
           variable=None, method=None, evidence: Column | None = None, confidence=None,
           versions: Column | None = None, note="", prior=None) -> Column:
     """One attribute struct with every field typed."""
-    empty_spans = F.array().cast(T.ArrayType(SPAN))
-    no_versions = F.create_map().cast("map<string,string>")
-    value = value if isinstance(value, Column) else F.lit(value)
-    confidence = confidence if isinstance(confidence, Column) else F.lit(confidence)
-    return F.struct(
-        value.cast(kind).alias("value"), text_or_null(assertion).alias("assertion"),
-        text_or_null(availability).alias("availability"), text_or_null(source).alias("source"),
-        text_or_null(variable).alias("source_variable"), text_or_null(method).alias("method"),
-        (empty_spans if evidence is None else evidence).alias("evidence"),
-        confidence.cast("double").alias("confidence"),
-        (no_versions if versions is None else versions).alias("versions"),
-        text_or_null(note).alias("note"), text_or_null(prior).alias("prior_availability"),
-    ).cast(attribute(kind))
+    given = (value, assertion, availability, source, variable, method, evidence, confidence,
+             versions, note, prior)
+    parts = [p if isinstance(p, Column) else F.lit(p) for p in given]
+    if evidence is None:
+        parts[6] = F.expr(f"cast(array() as array<{SPAN.simpleString()}>)")
+    if versions is None:
+        parts[8] = F.expr("cast(map() as map<string,string>)")
+    # the cast names and types every field at once
+    return F.struct(*parts).cast(attribute(kind).simpleString())
 
 
 def direct(kind: T.DataType, assertion, variable, evidence: Column, value=None,

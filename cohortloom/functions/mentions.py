@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from ..config import TrialConfig
 from ..schema import MENTION
-from .text import (any_of, count_chunks, count_words, cue_pattern, fold, fold_constant, let,
-                   occurrences, only_link_words, phrase_pattern, quoted, sentences)
+from .text import (any_of, count_chunks, count_words, cue_pattern, fold, fold_constant,
+                   folded_key, hits, let, only_link_words, phrase_pattern, prefix_free, quoted,
+                   sentences)
 
 NO_MENTIONS = f"cast(array() as array<{MENTION}>)"
 
@@ -25,51 +26,72 @@ class MentionReader:
         self.reach = int(config.assertion.get("max_distance_tokens", 12))
 
     # -- phrase hits --------------------------------------------------------
+    def _longest_first(self, phrases: list[str]) -> list[str]:
+        return sorted(phrases, key=lambda p: -len(p))
+
     def modifier_hits(self, text: str, modifier: str) -> str:
-        """Hits of every surface form, longest form first."""
-        forms = sorted(self.config.surface_forms(modifier).items(), key=lambda kv: -len(kv[0]))
-        return _concat(
-            f"transform({occurrences(text, phrase_pattern(form), 'o')}, h -> named_struct("
-            f"'s', h.s, 'e', h.e, 'v', "
-            f"{'cast(null as string)' if value == 'UNSPECIFIED' else quoted(value)}))"
-            for form, value in forms)
+        """Surface forms in the text, longest form first, then by position.
+
+        Of forms beginning at one place only the longest is kept: a shorter one lies
+        inside it, and is further from any event, so it can add nothing.
+        """
+        forms = self.config.surface_forms(modifier)
+        ordered = self._longest_first(list(forms))
+        table = _table({folded_key(f): (i, None if forms[f] == "UNSPECIFIED" else forms[f])
+                        for i, f in enumerate(ordered)})
+        found = hits(text, [phrase_pattern(f) for f in ordered], "mh")
+        return ("array_sort(transform(" + found + ", h -> " + let(
+            "f", f"try_element_at({table}, h.k)",
+            "named_struct('rank', f.rank, 's', h.s, 'e', h.e, 'v', f.name)") + "))")
 
     def any_form(self, modifier: str) -> str:
         return any_of([phrase_pattern(f) for f in self.config.surface_forms(modifier)])
 
     def event_hits(self, text: str, concept_id: str | None = None) -> str:
         """Event names in the text; one lying inside a longer one is dropped."""
-        forms = sorted(((form, cid) for cid, body in self.config.concepts.items()
-                        for form in body.get("lexicon") or ()
-                        if concept_id in (None, cid)), key=lambda fc: -len(fc[0]))
-        raw = _concat(
-            f"transform({occurrences(text, phrase_pattern(form), 'o')}, h -> named_struct("
-            f"'s', h.s, 'e', h.e, 'c', {quoted(cid)}))" for form, cid in forms)
-        kept = ("aggregate({raw}, cast(array() as array<struct<s:int,e:int,c:string>>), "
-                "(acc, x) -> CASE WHEN exists(acc, k -> k.s <= x.s AND x.e <= k.e) "
-                "THEN acc ELSE array_append(acc, x) END)")
-        return f"array_sort({kept.format(raw=raw)})"
+        names = {form: cid for cid, body in self.config.concepts.items()
+                 for form in body.get("lexicon") or () if concept_id in (None, cid)}
+        ordered = self._longest_first(list(names))
+        if not ordered:
+            return "cast(array() as array<struct<s:int,e:int,c:string>>)"
+        table = _table({folded_key(f): (i, names[f]) for i, f in enumerate(ordered)})
+        found = hits(text, [phrase_pattern(f) for f in ordered], "eh")
+        ranked = ("array_sort(transform(" + found + ", h -> " + let(
+            "f", f"try_element_at({table}, h.k)",
+            "named_struct('rank', f.rank, 's', h.s, 'e', h.e, 'c', f.name)") + "))")
+        return (f"array_sort(aggregate({ranked}, "
+                "cast(array() as array<struct<s:int,e:int,c:string>>), "
+                "(acc, x) -> CASE WHEN exists(acc, k -> k.s <= x.s AND x.e <= k.e) THEN acc "
+                "ELSE array_append(acc, named_struct('s', x.s, 'e', x.e, 'c', x.c)) END))")
 
     # -- what the text asserts ----------------------------------------------
+    def _cues(self, side: str) -> dict[str, str]:
+        """Cue to assertion for one side, longest cue first."""
+        cues = [(cue, cls) for cls in ("absent", "uncertain")
+                for cue in (self.config.assertion["cues"].get(cls) or {}).get(side) or ()]
+        return dict(sorted(cues, key=lambda cc: -len(cc[0])))
+
     def _cue_hits(self) -> str:
         """Cue hits around the mention ``c`` in sentence ``sen`` of ``t``.
 
         Each hit carries its class rank, absolute range and the gap to the
         mention. ``pos`` keeps the declared order, longest cue first.
         """
-        hits, ranks = [], {"uncertain": 2, "absent": 1}
-        for side in ("pre", "post"):
-            cues = [(cls, cue) for cls in ("absent", "uncertain")
-                    for cue in (self.config.assertion["cues"].get(cls) or {}).get(side) or ()]
-            for cls, cue in sorted(cues, key=lambda cc: -len(cc[1])):
-                window, base = ("bef", "sen.s") if side == "pre" else ("aft", "c.e")
-                gap = ("substring(bef, h.e + 1)" if side == "pre"
-                       else "substring(aft, 1, h.s)")
-                hits.append(
-                    f"transform({occurrences(window, cue_pattern(cue), 'o')}, h -> named_struct("
-                    f"'rank', {ranks[cls]}, 'len', h.e - h.s, 'pos', {-len(hits)}, "
-                    f"'s', {base} + h.s, 'e', {base} + h.e, 'gap', {gap}))")
-        return _concat(hits)
+        found, ranks, before = [], {"uncertain": 2, "absent": 1}, 0
+        for side, window, base, gap in (
+                ("pre", "bef", "sen.s", "substring(bef, h.e + 1)"),
+                ("post", "aft", "c.e", "substring(aft, 1, h.s)")):
+            cues = self._cues(side)
+            table = _table({folded_key(c): (-(before + i), str(ranks[cls]))
+                            for i, (c, cls) in enumerate(cues.items())})
+            before += len(cues)
+            for layer in prefix_free(list(cues)):
+                found.append("transform(" + hits(window, [cue_pattern(c) for c in layer], "ch")
+                             + ", h -> " + let("f", f"try_element_at({table}, trim(h.k))",
+                             "named_struct('rank', cast(f.name as int), 'len', h.e - h.s, "
+                             f"'pos', f.rank, 's', {base} + h.s, 'e', {base} + h.e, "
+                             f"'gap', {gap})") + ")")
+        return _concat(found)
 
     def _any_cue(self, side: str) -> str:
         return quoted(any_of([cue_pattern(cue) for body in self.config.assertion["cues"].values()
@@ -170,6 +192,15 @@ class MentionReader:
                    f"CASE WHEN size(ms) > 0 THEN {chosen} END")
 
 
+def _table(entries: dict[str, tuple[int, str | None]]) -> str:
+    """A literal map from folded phrase to its place and name; folded once at planning."""
+    cells = ", ".join(
+        f"{quoted(k)}, named_struct('rank', {rank}, 'name', "
+        f"{'cast(null as string)' if name is None else quoted(name)})"
+        for k, (rank, name) in entries.items())
+    return f"map({cells})"
+
+
 def _concat(arrays) -> str:
     return "flatten(array(" + ", ".join(arrays) + "))"
 

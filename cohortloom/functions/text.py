@@ -45,21 +45,40 @@ def any_of(patterns: list[str]) -> str:
     return "(?iU)(?:" + "|".join(patterns) + ")"
 
 
-def occurrences(text: str, pattern: str, name: str) -> str:
-    """Every hit of ``pattern`` as ``array<struct<s,e>>``.
+def folded_key(phrase: str) -> str:
+    """Lower case, hyphens and runs of spaces as one space; same fold as ``hits`` keys."""
+    return " ".join(phrase.lower().replace("-", " ").split())
 
-    ``\\G`` ties each hit to the end of the one before, so the lazy prefix group
-    is exactly the gap between hits and offsets are sums of piece lengths.
+
+def hits(text: str, patterns: list[str], name: str) -> str:
+    """Start, end and folded key of every place one of ``patterns`` begins.
+
+    ``\\G`` ties each match to the end of the one before: the lazy group is the gap,
+    the lookahead holds the phrase, and one character is consumed, so overlapping
+    phrases are all found and offsets are sums of gap lengths. At one start the
+    first pattern that matches wins; list the longest first.
     """
-    chained = quoted(rf"(?isU)\G(.*?)({pattern})")
-    upto = f"aggregate(slice({name}.w, 1, {{n}}), 0, (acc, x) -> acc + length(x))"
-    start = f"{upto.format(n='i - 1')} + length({name}.g[i - 1])"
-    body = (f"transform(sequence(1, size({name}.w)), i -> "
-            f"named_struct('s', {start}, 'e', {upto.format(n='i')}))")
-    pieces = (f"named_struct('w', regexp_extract_all({text}, {chained}, 0), "
-              f"'g', regexp_extract_all({text}, {chained}, 1))")
-    return (f"CASE WHEN {text} RLIKE {quoted('(?iU)' + pattern)} THEN {let(name, pieces, body)} "
-            f"ELSE cast(array() as array<struct<s:int,e:int>>) END")
+    chained = quoted(rf"(?isU)\G(.*?)(?=({'|'.join(patterns)})).")
+    pieces = (f"named_struct('g', regexp_extract_all({text}, {chained}, 1), "
+              f"'h', regexp_extract_all({text}, {chained}, 2))")
+    start = (f"aggregate(slice({name}.g, 1, i), 0, (acc, y) -> acc + length(y) + 1) + length(x)")
+    key = f"regexp_replace(lower({name}.h[i]), {quoted(r'(?U)[\s-]+')}, ' ')"
+    return let(name, pieces, f"transform({name}.g, (x, i) -> named_struct('s', {start}, "
+                             f"'e', {start} + length({name}.h[i]), 'k', {key}))")
+
+
+def prefix_free(phrases: list[str]) -> list[list[str]]:
+    """Split phrases into layers in which none begins with another.
+
+    Within a layer at most one phrase can match at a given start, so a layer can be
+    found with a single pattern without hiding anything.
+    """
+    layers: dict[int, list[str]] = {}
+    keys = [folded_key(p) for p in phrases]
+    for phrase, key in zip(phrases, keys):
+        depth = len({k for k in keys if k != key and key.startswith(k + " ")})
+        layers.setdefault(depth, []).append(phrase)
+    return [layers[d] for d in sorted(layers)]
 
 
 def sentences(text: str) -> str:
@@ -67,16 +86,11 @@ def sentences(text: str) -> str:
     chained = quoted(rf"(?sU)\G(.*?)(\n|{fixed.SENTENCE_BREAK}|\z)")
     pieces = (f"named_struct('w', regexp_extract_all({text}, {chained}, 0), "
               f"'g', regexp_extract_all({text}, {chained}, 1))")
-    lead = quoted(r"(?U)^\s*")
-    edges = quoted(r"(?U)^\s+|\s+\z")
-    start = ("aggregate(slice(sp.w, 1, i - 1), 0, (acc, x) -> acc + length(x)) "
-             f"+ length(regexp_extract(sp.g[i - 1], {lead}, 0))")
-    trimmed = f"regexp_replace(sp.g[i - 1], {edges}, '')"
-    body = (f"filter(transform(sequence(1, size(sp.w)), i -> "
-            f"{let('st', trimmed, let('so', start, named('st', 'so')))}), "
-            f"x -> length(x.text) > 0)")
-    return f"CASE WHEN size(regexp_extract_all({text}, {chained}, 0)) > 0 THEN " \
-           f"{let('sp', pieces, body)} ELSE cast(array() as array<struct<text:string,s:int,e:int>>) END"
+    lead = f"length(regexp_extract(x, {quoted(r'(?U)^\s*')}, 0))"
+    start = f"aggregate(slice(sp.w, 1, i), 0, (acc, y) -> acc + length(y)) + {lead}"
+    trimmed = f"regexp_replace(x, {quoted(r'(?U)^\s+|\s+\z')}, '')"
+    one = let("st", trimmed, let("so", start, named("st", "so")))
+    return let("sp", pieces, f"filter(transform(sp.g, (x, i) -> {one}), x -> length(x.text) > 0)")
 
 
 def named(text: str, start: str) -> str:
