@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from ..definitions import Definition
 from ..functions.stats import count_if, ratio, round4
 from ..sources.snapshot import Snapshot
 from . import extract, normalize
-from .evaluate import evaluate
+from .evaluate import decide, in_concept_set, outcomes, with_dose
 
 STAGES = [name for name, _ in fixed.ABLATION_STAGES]
 
@@ -21,23 +19,23 @@ STAGES = [name for name, _ in fixed.ABLATION_STAGES]
 def staged_verdicts(snapshot: Snapshot, config: TrialConfig, definition: Definition) -> DataFrame:
     """One row per in-scope record with its verdict and answer at every stage.
 
-    Rows are linked once, at the widest stage. A stage is a column, not a rerun: the
-    reading of each text is computed once and every stage picks from it what it may
-    read. The stages side by side make increments a filter rather than a join.
+    One pass: rows are linked and every text is read once, at the widest stage. A
+    stage is a column that uses what it may read, so comparing stages is a filter
+    over one row rather than a join between runs.
     """
-    widest = config.reading(fixed.ABLATION_STAGES[-1][1])
-    linked = normalize.link(snapshot, widest, normalize.ANSWERS)
-    plain = normalize.records(linked, widest)
-    parts = []
-    for name, sources in fixed.ABLATION_STAGES:
-        staged = config.reading(sources)
-        recs = extract.enrich(plain, staged) if sources else plain.drop("comments")
-        judged = evaluate(recs, definition, staged, snapshot.ex)
-        parts.append(judged.select("record_id", "source_record_id", "study_id",
-                                   F.col("verdict").alias(name)))
-    first, *rest = parts
-    verdicts = reduce(lambda a, b: a.join(b.drop("source_record_id", "study_id"), "record_id"),
-                      rest, first)
+    d = definition
+    configs = {name: config.reading(sources) for name, sources in fixed.ABLATION_STAGES}
+    widest = configs[STAGES[-1]]
+    plain = normalize.records(normalize.link(snapshot, widest, normalize.ANSWERS), widest)
+    scoped = with_dose(in_concept_set(plain, d, config), d, snapshot.ex)
+    read = extract.read_prose(scoped, widest)
+    staged = read.withColumns({f"modifiers_{name}": (
+        extract.filled_modifiers(c, True) if c.readable_sources else F.col("modifiers"))
+        for name, c in configs.items()})
+    judged = staged.withColumn("judged", F.explode(F.array(F.struct(*[
+        outcomes(d, f"modifiers_{name}").alias(name) for name in STAGES]))))
+    verdicts = judged.select("record_id", "source_record_id", "study_id", *[
+        decide(d, f"judged.{name}")[0].alias(name) for name in STAGES])
     gold = snapshot.gold().select("source_record_id", *[
         F.col(f"verdict_stage_{s}").alias(f"gold_{s}") for s in STAGES])
     return verdicts.join(gold, "source_record_id", "left")

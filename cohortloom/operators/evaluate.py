@@ -29,8 +29,8 @@ def in_concept_set(recs: DataFrame, definition: Definition, config: TrialConfig)
 
 # -- outcome per criterion: the verdict of an unsatisfied one, else SATISFIED ----
 
-def _modifier_outcome(rule, d: Definition) -> Column:
-    a = F.col("modifiers")[rule.name]
+def _modifier_outcome(rule, d: Definition, modifiers: str) -> Column:
+    a = F.col(modifiers)[rule.name]
     method = a["method"]
     extracted = attrs.from_text(a)
     chain = F.when(a.isNull() | attrs.is_silent(a), rule.on_unavailable)
@@ -53,13 +53,13 @@ def _window_outcome(d: Definition) -> Column:
             .otherwise("non_case"))
 
 
-def _graded(d: Definition) -> Column:
+def _graded(d: Definition, modifiers: str = "modifiers") -> Column:
     name = d.grade.attribute
-    return F.col(name) if name in SCALAR_ATTRIBUTES else F.col("modifiers")[name]
+    return F.col(name) if name in SCALAR_ATTRIBUTES else F.col(modifiers)[name]
 
 
-def _grade_outcome(d: Definition) -> Column:
-    value = _graded(d)["value"].try_cast("int")
+def _grade_outcome(d: Definition, modifiers: str) -> Column:
+    value = _graded(d, modifiers)["value"].try_cast("int")
     return (F.when(value.isNull(), d.grade.on_unavailable)
             .when(value >= d.grade.minimum, SATISFIED).otherwise("non_case"))
 
@@ -70,15 +70,29 @@ def _dose_outcome(d: Definition) -> Column:
             .when(total >= d.dose.minimum, SATISFIED).otherwise("non_case"))
 
 
-def _outcomes(d: Definition) -> list[tuple[str, Column]]:
-    found = [(m.name, _modifier_outcome(m, d)) for m in d.modifiers]
+def outcomes(d: Definition, modifiers: str = "modifiers") -> Column:
+    """One struct with the outcome of every criterion, read from one modifier map."""
+    found = [F.lit(SATISFIED).alias("concept")]
+    found += [_modifier_outcome(m, d, modifiers).alias(m.name) for m in d.modifiers]
     if d.temporal:
-        found.append(("temporal", _window_outcome(d)))
+        found.append(_window_outcome(d).alias("temporal"))
     if d.grade:
-        found.append((d.grade.attribute, _grade_outcome(d)))
+        found.append(_grade_outcome(d, modifiers).alias(d.grade.attribute))
     if d.dose:
-        found.append(("cumulative_exposure", _dose_outcome(d)))
-    return found
+        found.append(_dose_outcome(d).alias("cumulative_exposure"))
+    return F.struct(*found)
+
+
+def decide(d: Definition, criteria: str = "criteria") -> tuple[Column, Column]:
+    """Verdict and deciding criterion: the worst unsatisfied outcome, first in order."""
+    verdict, deciding = F.lit("case"), F.lit(None).cast("string")
+    for v in reversed(fixed.VERDICT_PRECEDENCE):
+        first = F.lit(None).cast("string")
+        for name in reversed(d.criteria):
+            first = F.when(F.col(f"{criteria}.{name}") == v, name).otherwise(first)
+        verdict = F.when(first.isNotNull(), v).otherwise(verdict)
+        deciding = F.when(first.isNotNull(), first).otherwise(deciding)
+    return verdict, deciding
 
 
 # -- findings ------------------------------------------------------------------
@@ -178,6 +192,19 @@ def _findings(d: Definition) -> list[Column]:
     return found
 
 
+def with_dose(scoped: DataFrame, d: Definition, ex: DataFrame | None) -> DataFrame:
+    """Add ``dose_days`` where the definition sums doses; exposures are read only then."""
+    if not d.dose:
+        return scoped
+    if ex is None:
+        raise ValueError(f"{d.key} sums doses and needs the exposure rows")
+    scoped = scoped.withColumn("onset_day", F.col("onset.value"))
+    totals = dose_before(scoped.select("subject_id", F.col("onset_day").alias("onset")), ex)
+    return scoped.join(
+        totals.select("subject_id", F.col("onset").alias("onset_day"), "dose_days"),
+        ["subject_id", "onset_day"], "left")
+
+
 # -- the assignment --------------------------------------------------------------
 
 def evaluate(recs: DataFrame, definition: Definition, config: TrialConfig,
@@ -187,26 +214,10 @@ def evaluate(recs: DataFrame, definition: Definition, config: TrialConfig,
     Exposures are needed, and read, only when the definition sums doses.
     """
     d = definition
-    scoped = in_concept_set(recs, d, config)
-    if d.dose:
-        if ex is None:
-            raise ValueError(f"{d.key} sums doses and needs the exposure rows")
-        scoped = scoped.withColumn("onset_day", F.col("onset.value"))
-        totals = dose_before(scoped.select("subject_id", F.col("onset_day").alias("onset")), ex)
-        scoped = scoped.join(
-            totals.select("subject_id", F.col("onset").alias("onset_day"), "dose_days"),
-            ["subject_id", "onset_day"], "left")
-    outcomes = _outcomes(d)
+    scoped = with_dose(in_concept_set(recs, d, config), d, ex)
     # one computed struct: later filters see a column, not the reading behind it
-    judged = scoped.withColumn("criteria", F.explode(F.array(F.struct(
-        F.lit(SATISFIED).alias("concept"), *[o.alias(n) for n, o in outcomes]))))
-    verdict, deciding = F.lit("case"), F.lit(None).cast("string")
-    for v in reversed(fixed.VERDICT_PRECEDENCE):
-        first = F.lit(None).cast("string")
-        for name, _ in reversed(outcomes):
-            first = F.when(F.col(f"criteria.{name}") == v, name).otherwise(first)
-        verdict = F.when(first.isNotNull(), v).otherwise(verdict)
-        deciding = F.when(first.isNotNull(), first).otherwise(deciding)
+    judged = scoped.withColumn("criteria", F.explode(F.array(outcomes(d))))
+    verdict, deciding = decide(d)
     findings = F.array(*_findings(d))
     out = judged.withColumns({"verdict": verdict, "deciding_criterion": deciding})
     out = out.withColumn("findings", findings)

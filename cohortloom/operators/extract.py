@@ -90,24 +90,32 @@ def _terms(recs: DataFrame, config: TrialConfig, reader: Reader | None) -> DataF
     return (reader or rules_reader(config))(staged, "term_text", "reported_term", modifiers)
 
 
-def enrich(recs: DataFrame, config: TrialConfig, documents: DataFrame | None = None,
-           reader: Reader | None = None) -> DataFrame:
-    """Open modifiers filled from the first text that answers: term, then comments by id.
+def read_prose(recs: DataFrame, config: TrialConfig, documents: DataFrame | None = None,
+               reader: Reader | None = None) -> DataFrame:
+    """Add what the prose says: ``said`` for the term and ``comments`` for documents.
 
-    Records linked with comment answers carry them; otherwise ``documents`` are
-    read and joined here. What the structured reading left stays in
-    ``prior_availability``. No coded field is touched.
+    Records linked with comment answers carry them already; otherwise ``documents``
+    are read and joined here.
     """
-    modifiers = readable_modifiers(config)
-    stamped = recs.withColumn("extractor_version", F.lit(config.extractor_version))
-    if not modifiers:
-        return stamped.drop("comments")
-    if "comments" not in stamped.columns and documents is not None \
+    if not readable_modifiers(config):
+        return recs
+    if "comments" not in recs.columns and documents is not None \
             and "comment" in config.readable_sources:
         answers = comment_answers(documents, config, reader=reader)
-        stamped = stamped.drop("comment_doc_id").join(answers, "source_record_id", "left")
-    has_comments = "comments" in stamped.columns and "comment" in config.readable_sources
-    read = _terms(stamped, config, reader)
+        recs = recs.drop("comment_doc_id").join(answers, "source_record_id", "left")
+    return _terms(recs, config, reader)
+
+
+def filled_modifiers(config: TrialConfig, has_comments: bool) -> Column:
+    """The modifier map after reading: the first text that answers fills an open modifier.
+
+    The term comes before comments. What the structured reading left stays in
+    ``prior_availability``. ``config`` decides which sources count, so one reading
+    can serve several restrictions.
+    """
+    modifiers = readable_modifiers(config)
+    use_comments = has_comments and "comment" in config.readable_sources
+    use_term = "reported_term" in config.readable_sources
     versions = F.create_map(*[F.lit(x) for x in (
         "extractor", config.extractor_version, "prompt", PROMPT_VERSION, "backend", BACKEND)])
 
@@ -128,13 +136,15 @@ def enrich(recs: DataFrame, config: TrialConfig, documents: DataFrame | None = N
         if m not in modifiers:
             columns.append(current)
             continue
-        term = F.col(f"said.{m}")
         open_ = askable(config, m)
-        chain = F.when(open_ & term.isNotNull(), answered(
-            m, term, F.format_string("AE:%s:AETERM", F.col("source_record_id")), "reported_term",
-            "AETERM", current["availability"]))
-        tries = F.when(F.col("term_text").isNotNull(), 1).otherwise(0)
-        if has_comments:
+        chain, tries = F.when(F.lit(False), current), F.lit(0)
+        if use_term:
+            term = F.col(f"said.{m}")
+            chain = chain.when(open_ & term.isNotNull(), answered(
+                m, term, F.format_string("AE:%s:AETERM", F.col("source_record_id")),
+                "reported_term", "AETERM", current["availability"]))
+            tries = F.when(F.col("term_text").isNotNull(), 1).otherwise(0)
+        if use_comments:
             first = F.col(f"comments.{m}")
             chain = chain.when(open_ & first.isNotNull(), answered(
                 m, first["answer"], first["doc_id"], "comment", "CO.COVAL",
@@ -142,10 +152,19 @@ def enrich(recs: DataFrame, config: TrialConfig, documents: DataFrame | None = N
             tries = tries + F.coalesce("comments.n_documents", F.lit(0))
         noted = F.concat_ws("; ", F.nullif(current["note"], F.lit("")), F.format_string(
             "prose was read %d time(s) and settled nothing", tries.cast("int")))
-        chain = chain.when(open_ & (tries > 0), current.withField("note", noted))
-        columns.append(chain.otherwise(current))
-    names = F.array(*[F.lit(m) for m in config.modifiers])
-    return read.withColumn("modifiers", F.map_from_arrays(names, F.array(*columns))).drop(
+        columns.append(chain.when(open_ & (tries > 0), current.withField("note", noted))
+                       .otherwise(current))
+    return F.map_from_arrays(F.array(*[F.lit(m) for m in config.modifiers]), F.array(*columns))
+
+
+def enrich(recs: DataFrame, config: TrialConfig, documents: DataFrame | None = None,
+           reader: Reader | None = None) -> DataFrame:
+    """Records with open modifiers filled from prose. No coded field is touched."""
+    stamped = recs.withColumn("extractor_version", F.lit(config.extractor_version))
+    if not readable_modifiers(config):
+        return stamped.drop("comments")
+    read = read_prose(stamped, config, documents, reader)
+    return read.withColumn("modifiers", filled_modifiers(config, "comments" in read.columns)).drop(
         "said", "term_text", "comments")
 
 

@@ -64,6 +64,11 @@ class Trial:
         return self
 
     # -- evaluation ---------------------------------------------------------------
+    def structured_assignments(self, definition: str) -> DataFrame:
+        """The definition over structured reading alone."""
+        return evaluate.evaluate(self.structured, self.definitions[definition], self.config,
+                                 self.snapshot.ex)
+
     def definition(self, key: str) -> Definition:
         return self.definitions[key]
 
@@ -71,9 +76,8 @@ class Trial:
                     ) -> DataFrame:
         d = self.definitions[definition] if isinstance(definition, str) else definition
         if d.key not in self._evaluated:
-            # prose is read only where the definition can use it
-            reads = any("extracted" in m.accept_methods for m in d.modifiers)
-            recs = self.records if reads else self.structured
+            # without a modifier criterion no prose can matter, so none is read
+            recs = self.records if d.modifiers else self.structured
             self._evaluated[d.key] = evaluate.evaluate(recs, d, self.config, self.snapshot.ex)
         return aggregates.study_filter(self._evaluated[d.key], studies)
 
