@@ -103,17 +103,21 @@ class MentionReader:
         stop = "|".join(rf"\b{w}\b" if w.isalnum() else _literal(w) for w in stops)
         pseudo = ", ".join(quoted(fold_constant(p))
                            for p in self.config.assertion.get("pseudo_cues") or [])
-        tests = [f"{count_chunks(hit + '.gap')} <= {self.reach}"]
+        chunks = count_chunks(hit + ".gap")
+        near = f"{chunks} <= {self.reach}"
         if stop:
-            tests.append(f"NOT {fold(hit + '.gap')} RLIKE {quoted('(?U)' + stop)}")
-        if pseudo:
-            around = fold(f"substring(t, greatest(0, {hit}.s - 4) + 1, "
-                          f"{hit}.e + 40 - greatest(0, {hit}.s - 4))")
-            cue = f"trim({fold(f'substring(t, {hit}.s + 1, {hit}.e - {hit}.s)')})"
-            tests.append("NOT " + let("pw", f"named_struct('w', {around}, 'c', {cue})",
-                         f"exists(array({pseudo}), p -> instr(pw.w, p) > 0 "
-                         f"AND startswith(p, pw.c))"))
-        return " AND ".join(tests)
+            near += (f" AND ({chunks} = 0 OR NOT {fold(hit + '.gap')} RLIKE "
+                     f"{quoted('(?U)' + stop)})")
+        if not pseudo:
+            return near
+        # the surroundings are folded only for a cue that could open such a phrase
+        around = fold(f"substring(t, greatest(0, {hit}.s - 4) + 1, "
+                      f"{hit}.e + 40 - greatest(0, {hit}.s - 4))")
+        cue = f"trim({fold(f'substring(t, {hit}.s + 1, {hit}.e - {hit}.s)')})"
+        inside = let("pw", around, "exists(pq, p -> instr(pw, p) > 0)")
+        opened = let("pc", cue, f"filter(array({pseudo}), p -> startswith(p, pc))")
+        asserts_nothing = let("pq", opened, f"CASE WHEN size(pq) > 0 THEN {inside} ELSE false END")
+        return f"CASE WHEN {near} THEN NOT {asserts_nothing} ELSE false END"
 
     def _cue(self) -> str:
         """The governing cue: a hedge outranks a negation, then the longer cue wins."""

@@ -41,8 +41,21 @@ def _escape(word: str) -> str:
     return re.sub(r"([^\w])", r"\\\1", word)
 
 
+def alternatives(patterns: list[str]) -> str:
+    """One group matching any pattern, in order.
+
+    A word boundary shared by neighbours is tested once for all of them, so places
+    inside a word are left after a single test.
+    """
+    edged = [p for p in patterns if p.startswith(r"\b")]
+    if len(edged) == len(patterns):
+        return r"\b(?:" + "|".join(p[2:] for p in patterns) + ")"
+    rest = [p for p in patterns if not p.startswith(r"\b")]
+    return f"(?:{alternatives(edged)}|{'|'.join(rest)})" if edged else f"(?:{'|'.join(rest)})"
+
+
 def any_of(patterns: list[str]) -> str:
-    return "(?iU)(?:" + "|".join(patterns) + ")"
+    return "(?iU)" + alternatives(patterns)
 
 
 def folded_key(phrase: str) -> str:
@@ -53,18 +66,20 @@ def folded_key(phrase: str) -> str:
 def hits(text: str, patterns: list[str], name: str) -> str:
     """Start, end and folded key of every place one of ``patterns`` begins.
 
-    ``\\G`` ties each match to the end of the one before: the lazy group is the gap,
-    the lookahead holds the phrase, and one character is consumed, so overlapping
-    phrases are all found and offsets are sums of gap lengths. At one start the
+    ``\\G`` ties each piece to the end of the one before: it holds the gap and the first
+    character of a hit, so overlapping phrases are all found and offsets are sums of
+    piece lengths. The phrase itself is then read at its own start. At one start the
     first pattern that matches wins; list the longest first.
     """
-    chained = quoted(rf"(?isU)\G(.*?)(?=({'|'.join(patterns)})).")
-    pieces = (f"named_struct('g', regexp_extract_all({text}, {chained}, 1), "
-              f"'h', regexp_extract_all({text}, {chained}, 2))")
-    start = (f"aggregate(slice({name}.g, 1, i), 0, (acc, y) -> acc + length(y) + 1) + length(x)")
-    key = f"regexp_replace(lower({name}.h[i]), {quoted(r'(?U)[\s-]+')}, ' ')"
-    return let(name, pieces, f"transform({name}.g, (x, i) -> named_struct('s', {start}, "
-                             f"'e', {start} + length({name}.h[i]), 'k', {key}))")
+    either = alternatives(patterns)
+    pieces = f"regexp_extract_all({text}, {quoted(rf'(?isU)\G.*?(?={either}).')}, 0)"
+    start = f"aggregate(slice({name}, 1, i + 1), 0, (acc, y) -> acc + length(y)) - 1"
+    phrase = (f"regexp_extract(substring({text}, {name}s + 1), "
+              f"{quoted(rf'(?isU)\A{either}')}, 0)")
+    key = f"regexp_replace(lower({name}h), {quoted(r'(?U)[\s-]+')}, ' ')"
+    one = let(f"{name}s", start, let(f"{name}h", phrase, (
+        f"named_struct('s', {name}s, 'e', {name}s + length({name}h), 'k', {key})")))
+    return let(name, pieces, f"transform({name}, (x, i) -> {one})")
 
 
 def prefix_free(phrases: list[str]) -> list[list[str]]:
@@ -82,15 +97,17 @@ def prefix_free(phrases: list[str]) -> list[list[str]]:
 
 
 def sentences(text: str) -> str:
-    """Sentences as ``array<struct<text,s,e>>``: per line, trimmed, offsets into the text."""
-    chained = quoted(rf"(?sU)\G(.*?)(\n|{fixed.SENTENCE_BREAK}|\z)")
-    pieces = (f"named_struct('w', regexp_extract_all({text}, {chained}, 0), "
-              f"'g', regexp_extract_all({text}, {chained}, 1))")
+    """Sentences as ``array<struct<text,s,e>>``: per line, trimmed, offsets into the text.
+
+    A piece ends with the whitespace that breaks it off, which trimming removes.
+    """
+    chained = quoted(rf"(?sU)\G.*?(?:\n|{fixed.SENTENCE_BREAK}|\z)")
     lead = f"length(regexp_extract(x, {quoted(r'(?U)^\s*')}, 0))"
-    start = f"aggregate(slice(sp.w, 1, i), 0, (acc, y) -> acc + length(y)) + {lead}"
+    start = f"aggregate(slice(sp, 1, i), 0, (acc, y) -> acc + length(y)) + {lead}"
     trimmed = f"regexp_replace(x, {quoted(r'(?U)^\s+|\s+\z')}, '')"
     one = let("st", trimmed, let("so", start, named("st", "so")))
-    return let("sp", pieces, f"filter(transform(sp.g, (x, i) -> {one}), x -> length(x.text) > 0)")
+    return let("sp", f"regexp_extract_all({text}, {chained}, 0)",
+               f"filter(transform(sp, (x, i) -> {one}), x -> length(x.text) > 0)")
 
 
 def named(text: str, start: str) -> str:

@@ -16,21 +16,30 @@ def require_scope(scope: str | None) -> str:
 
 
 def side_by_side(a: DataFrame, b: DataFrame, scope: str | None) -> DataFrame:
-    """One row per record either definition judged: both verdicts and how the case moved."""
+    """One row per record either run judged: both verdicts and how the case moved.
+
+    For stored assignments. Definitions over the same records need no join: see
+    ``evaluate.judge_both``.
+    """
     require_scope(scope)
 
     def side(df: DataFrame, s: str) -> DataFrame:
         return df.select("record_id", *[F.col(c).alias(f"{c}_{s}") for c in (
             "subject_id", "study_id", "verdict", "deciding_criterion", "reason")])
     both = side(a, "a").join(side(b, "b"), "record_id", "full")
-    was = F.coalesce(F.col("verdict_a") == "case", F.lit(False))
-    now = F.coalesce(F.col("verdict_b") == "case", F.lit(False))
-    return both.select(
+    return case_changes(both.select(
         "record_id", F.coalesce("subject_id_a", "subject_id_b").alias("subject_id"),
         F.coalesce("study_id_a", "study_id_b").alias("study_id"), "verdict_a", "verdict_b",
         F.col("deciding_criterion_a").alias("deciding_a"),
-        F.col("deciding_criterion_b").alias("deciding_b"), "reason_a", "reason_b",
-        F.when(was & now, "shared").when(now, "gained").when(was, "lost").alias("case_change"))
+        F.col("deciding_criterion_b").alias("deciding_b"), "reason_a", "reason_b"))
+
+
+def case_changes(pairs: DataFrame) -> DataFrame:
+    """Add whether a case is shared, gained or lost."""
+    was = F.coalesce(F.col("verdict_a") == "case", F.lit(False))
+    now = F.coalesce(F.col("verdict_b") == "case", F.lit(False))
+    return pairs.withColumn("case_change", F.when(was & now, "shared").when(now, "gained")
+                            .when(was, "lost"))
 
 
 def discordant(pairs: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 GROUP = ["study_id", "subject_id", "concept"]
 BUCKET = [*GROUP, "onset_day", "head"]
 
@@ -19,13 +21,14 @@ def members(recs: DataFrame, tolerance: int = 3, head: int = 6) -> DataFrame:
 
     A record joins its predecessor when onset follows the predecessor's end (or
     onset) by at most ``tolerance`` days. Records without an onset stand alone.
+    The few columns needed are written first, as several passes read them.
     """
-    base = recs.select(
+    base = written(recs.select(
         "record_id", "study_id", "subject_id",
         F.coalesce("concept_id", F.lit("UNCODED")).alias("concept"),
         F.col("onset.value").alias("onset_day"),
         F.coalesce("end.value", "onset.value").alias("closes"),
-        F.substring("source_record_id", 1, head).alias("head"))
+        F.substring("source_record_id", 1, head).alias("head")), "episode-records")
     dated, undated = base.filter("onset_day is not null"), base.filter("onset_day is null")
 
     inside = Window.partitionBy(*BUCKET).orderBy("record_id")
@@ -47,7 +50,7 @@ def members(recs: DataFrame, tolerance: int = 3, head: int = 6) -> DataFrame:
     kept = placed.select(*GROUP, "record_id", "onset_day", "ordinal",
                          F.when(F.col("opens") == 0, F.col("gap")).alias("gap"),
                          F.lit(False).alias("apart"))
-    return kept.unionByName(_undated(undated, placed, head))
+    return written(kept.unionByName(_undated(undated, placed, head)), "episode-members")
 
 
 def _undated(undated: DataFrame, placed: DataFrame, head: int) -> DataFrame:

@@ -123,9 +123,9 @@ def _finding(name: str, outcome: Column, reason: Column, a: Column | None = None
     ).cast(FINDING)
 
 
-def _findings(d: Definition) -> list[Column]:
+def _findings(d: Definition, criteria: str = "criteria") -> list[Column]:
     def out(name: str) -> Column:
-        return F.col(f"criteria.{name}")
+        return F.col(f"{criteria}.{name}")
 
     coded = F.col("coded_event")
     moved = (F.when(coded["reconciliation"] == "flagged_for_review",
@@ -221,8 +221,7 @@ def evaluate(recs: DataFrame, definition: Definition, config: TrialConfig,
     findings = F.array(*_findings(d))
     out = judged.withColumns({"verdict": verdict, "deciding_criterion": deciding})
     out = out.withColumn("findings", findings)
-    why = F.get(F.filter("findings", lambda f: f["name"] == F.col("deciding_criterion")), 0)
-    every = f"every criterion holds: {', '.join(d.criteria)}"
+    reason = _reason(d, F.col("findings"), F.col("deciding_criterion"))
 
     def routes(field: str) -> Column:
         # later findings of one name never occur, so names are unique map keys
@@ -230,7 +229,7 @@ def evaluate(recs: DataFrame, definition: Definition, config: TrialConfig,
         return F.map_from_entries(F.transform(kept, lambda f: F.struct(f["name"], f[field])))
     return out.select(
         "record_id", "subject_id", "study_id", "profile", "source_record_id", "verdict",
-        "deciding_criterion", F.coalesce(why["reason"], F.lit(every)).alias("reason"), "findings",
+        "deciding_criterion", reason.alias("reason"), "findings",
         F.flatten(F.transform("findings", lambda f: f["spans"])).alias("evidence_spans"),
         routes("source_variable").alias("attribute_sources"),
         routes("method").alias("attribute_methods"),
@@ -238,6 +237,36 @@ def evaluate(recs: DataFrame, definition: Definition, config: TrialConfig,
         F.lit(d.content_hash).alias("definition_hash"))
 
 
+def _reason(d: Definition, findings: Column, deciding: Column) -> Column:
+    """Why: the reason of the deciding finding, or that every criterion holds."""
+    why = F.get(F.filter(findings, lambda f: f["name"] == deciding), 0)
+    return F.coalesce(why["reason"], F.lit(f"every criterion holds: {', '.join(d.criteria)}"))
+
+
+def judge_both(recs: DataFrame, a: Definition, b: Definition, config: TrialConfig,
+               ex: DataFrame | None = None) -> DataFrame:
+    """Two definitions over one pass of the records, side by side in one row.
+
+    Verdict, deciding criterion and reason carry the suffix ``_a`` or ``_b`` and are
+    null where a definition has the record out of scope. Nothing is joined.
+    """
+    scopes = {s: [c for c in config.expand(d.include) if c not in d.exclude]
+              for s, d in (("a", a), ("b", b))}
+    rows = recs.filter(F.col("concept_id").isin(*sorted({*scopes["a"], *scopes["b"]})))
+    rows = with_dose(rows, a if a.dose else b, ex)
+    rows = rows.withColumn("criteria", F.explode(F.array(F.struct(
+        outcomes(a).alias("a"), outcomes(b).alias("b")))))
+    columns = []
+    for s, d in (("a", a), ("b", b)):
+        inside = F.col("concept_id").isin(*scopes[s])
+        verdict, deciding = decide(d, f"criteria.{s}")
+        reason = _reason(d, F.array(*_findings(d, f"criteria.{s}")), deciding)
+        columns += [F.when(inside, verdict).alias(f"verdict_{s}"),
+                    F.when(inside, deciding).alias(f"deciding_{s}"),
+                    F.when(inside, reason).alias(f"reason_{s}")]
+    return rows.select("record_id", "subject_id", "study_id", *columns)
+
+
 def cases(assignments: DataFrame) -> DataFrame:
     return assignments.filter("verdict = 'case'")
 

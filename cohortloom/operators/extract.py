@@ -19,6 +19,7 @@ from ..config import TrialConfig
 from ..functions import attrs
 from ..functions.mentions import MentionReader
 from ..schema import MENTION
+from ..sources.scratch import written
 
 BACKEND = "rules"
 PROMPT_VERSION = "rules-1"
@@ -203,7 +204,8 @@ def attempts(recs: DataFrame, documents: DataFrame, config: TrialConfig,
                 {s for m in modifiers for s in config.askable_studies(m)})))
             .select("source_record_id", "doc_id", "full_text"), "full_text", "comment", modifiers)
         parts.append(long(open_.join(docs, "source_record_id"), 1, F.col("doc_id")))
-    tried = reduce(DataFrame.unionByName, parts)
+    # the readings are written once; the cut-off and the summaries below re-read them
+    tried = written(reduce(DataFrame.unionByName, parts), "attempts")
     first = tried.filter("assertion is not null").groupBy("record_id", "modifier").agg(
         F.min("at").alias("first"))
     return tried.join(first, ["record_id", "modifier"], "left").filter(

@@ -18,6 +18,7 @@ from ..functions.mentions import MentionReader
 from ..operators import (ablation, aggregates, anchors, compare, episodes, evaluate, extract,
                          normalize, retrieval, runs, scoring, silver, trace)
 from ..sources import order_trial
+from ..sources.scratch import written
 from ..sources.snapshot import fingerprint, with_numbers
 from .trial import Trial
 
@@ -648,7 +649,8 @@ def mention_ranking(t: Trial) -> DataFrame:
                                  F.col("confidence").alias("score"))
     relevant = t.snapshot.gold().filter("true_assertion = 'present'").select(
         F.col("study_id").alias("query_id"), F.col("source_record_id").alias("item_id"))
-    return scoring.ranking_metrics(ranked, relevant, 20)
+    # ranked rows are read several times, so they are written once
+    return scoring.ranking_metrics(written(ranked, "ranked-mentions"), relevant, 20)
 
 
 @query

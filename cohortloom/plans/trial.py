@@ -121,7 +121,11 @@ class Trial:
         return ablation.staged_verdicts(self.snapshot, self.config, self.definitions[definition])
 
     def compare(self, a: str, b: str, scope: str) -> DataFrame:
-        return compare.side_by_side(self.assignments(a), self.assignments(b), scope)
+        """Two definitions on the same records, in one pass."""
+        compare.require_scope(scope)
+        return compare.case_changes(evaluate.judge_both(
+            self.records, self.definitions[a], self.definitions[b], self.config,
+            self.snapshot.ex))
 
     def flat(self, modifier: str = "mucosal_involvement") -> DataFrame:
         return retrieval.flat_records(self.records, modifier)
