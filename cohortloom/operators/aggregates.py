@@ -50,13 +50,17 @@ def denominators(assignments: DataFrame, overall: bool = False) -> DataFrame:
     """Per study, optionally with the pooled row ``ALL``: counts, fraction and incidence."""
     counts = [F.count(F.lit(1)).alias("n_total"), *[
         count_if(F.col("verdict") == v).alias(f"n_{v}") for v in fixed.VERDICTS]]
-    per_study = assignments.groupBy("study_id", "profile").agg(*counts)
-    if overall:
-        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_total", *VERDICT_COUNTS)]
-        pooled = per_study.agg(*sums).select(F.lit("ALL").alias("study_id"),
-                                             F.lit("").alias("profile"), "*")
-        per_study = per_study.unionByName(pooled)
-    return per_study.select("*", *denominator_columns())
+    if not overall:
+        return assignments.groupBy("study_id", "profile").agg(*counts).select(
+            "*", *denominator_columns())
+    # both groupings from one pass over the assignments
+    rows = assignments.groupingSets([["study_id", "profile"], []], "study_id", "profile").agg(
+        F.grouping_id().alias("level"), *counts)
+    pooled = F.col("level") > 0
+    return rows.select(
+        F.when(pooled, "ALL").otherwise(F.col("study_id")).alias("study_id"),
+        F.when(pooled, "").otherwise(F.col("profile")).alias("profile"), "n_total",
+        *VERDICT_COUNTS).select("*", *denominator_columns())
 
 
 def verdict_counts(assignments: DataFrame) -> DataFrame:

@@ -218,60 +218,51 @@ def _criteria(rows: DataFrame, config: TrialConfig) -> Column:
     return F.map_from_entries(F.transform(names, one))
 
 
-def _home_cell(rows: DataFrame, config: TrialConfig, modifier: str, home: Column) -> Column:
+def _home_cell(rows: DataFrame, home: Home) -> Column:
     """The cell a structured home points at."""
-    declared: dict[str, Home] = {h.home_id: h for p in config.profiles.values()
-                                 for h in p.homes.get(modifier, ()) if h.structured}
-    chain = F.lit(None).cast("string")
-    for home_id, h in declared.items():
-        cell = (F.try_element_at("findings", F.lit(h.variable)) if h.kind == "linked_form"
-                else _cell(rows, h.variable))
-        chain = F.when(home["home_id"] == home_id, cell).otherwise(chain)
-    return chain
+    return (F.try_element_at("findings", F.lit(home.variable)) if home.kind == "linked_form"
+            else _cell(rows, home.variable))
+
+
+def _settled(rows: DataFrame, home: Home) -> Column:
+    """The answer of a filled structured home, or why it could not be read."""
+    kind, cell = T.StringType(), _home_cell(rows, home)
+    state = values.three_state(cell)
+    domain = "SC" if home.kind == "linked_form" else "AE"
+    evidence = F.array(attrs.structured_span(domain, F.col("AESPID"), home.variable, cell))
+    return F.when(state.isNull(), attrs.silent(
+        kind, "unresolved", home.variable, home.kind,
+        _outside(home.variable, cell, "a yes/no/unknown answer"))).otherwise(
+        attrs.direct(kind, state, home.variable, evidence, source=home.kind))
 
 
 def _modifier(rows: DataFrame, config: TrialConfig, modifier: str) -> Column:
-    """The first structured home that is filled; else a placeholder for prose; else silence."""
+    """The first structured home that is filled; else a placeholder for prose; else silence.
+
+    Studies share few arrangements of homes, and each arrangement is one plain branch.
+    """
     kind = T.StringType()
-    homes = F.coalesce(F.try_element_at("homes", F.lit(modifier)), F.array().cast(
-        "array<struct<home_id:string,kind:string,variable:string,structured:boolean,"
-        "is_text:boolean>>"))
-    nowhere = ~F.exists(homes, lambda h: h["kind"].isNotNull() & h["variable"].isNotNull())
-    most = max((len(p.homes.get(modifier, ())) for p in config.profiles.values()), default=0)
-    slots = [F.struct(F.get(homes, i).alias("home"),
-                      _home_cell(rows, config, modifier, F.get(homes, i)).alias("cell"))
-             for i in range(most)]
-    if not slots:
-        return attrs.silent(kind, "not_collected", note=F.concat(
-            F.col("profile"), F.lit(f" keeps {modifier} nowhere")))
-    filled = F.get(F.filter(F.array(*slots), lambda s: F.coalesce(
-        s["home"]["structured"], F.lit(False)) & ~values.is_blank(s["cell"])), 0)
-    home, cell = filled["home"], filled["cell"]
-    state = values.three_state(cell)
-    domain = F.when(home["kind"] == "linked_form", "SC").otherwise("AE")
-    shown = F.concat(home["variable"], F.lit("="), cell)
-    evidence = F.array(attrs.span(
-        F.concat_ws(":", domain, F.col("AESPID")), F.lit(0), F.length(shown), home["variable"],
-        cell, shown, "structured"))
-    prose = F.get(F.filter(homes, lambda h: h["is_text"]), 0)
-    first = F.get(homes, 0)
-    return (
-        F.when(nowhere, attrs.silent(kind, "not_collected", note=F.concat(
-            F.col("profile"), F.lit(f" keeps {modifier} nowhere"))))
-        .when(cell.isNotNull() & state.isNull(), attrs.silent(
-            kind, "unresolved", home["variable"], home["kind"], F.concat(
-                home["variable"], F.lit(" holds '"), cell,
-                F.lit("', which is not a yes/no/unknown answer"))))
-        .when(cell.isNotNull(), attrs.direct(kind, state, home["variable"], evidence,
-                                             source=home["kind"]))
-        .when(prose.isNotNull(), attrs.silent(
-            kind, "unresolved", prose["variable"], prose["kind"],
-            F.concat(F.col("profile"), F.lit(f" keeps {modifier} in the prose of "),
-                     prose["variable"])))
-        .otherwise(attrs.silent(
-            kind, values.silence(F.col("collects"), F.coalesce(first["variable"],
-                                                               F.lit(modifier))),
-            first["variable"], first["kind"], F.concat(first["variable"], F.lit(" is empty")))))
+    arrangements: dict[tuple[Home, ...], list[str]] = {}
+    for p in config.profiles.values():
+        arrangements.setdefault(p.homes.get(modifier, ()), []).append(p.profile_id)
+    out = attrs.silent(kind, "not_collected", note=F.concat(
+        F.col("profile"), F.lit(f" keeps {modifier} nowhere")))
+    for homes, profiles in arrangements.items():
+        if all(h.nowhere for h in homes):
+            continue
+        prose = next((h for h in homes if h.text), None)
+        if prose:
+            read = attrs.silent(kind, "unresolved", prose.variable, prose.kind, F.concat(
+                F.col("profile"), F.lit(f" keeps {modifier} in the prose of {prose.variable}")))
+        else:
+            read = attrs.silent(
+                kind, values.silence(F.col("collects"), homes[0].variable or modifier),
+                homes[0].variable, homes[0].kind, f"{homes[0].variable} is empty")
+        for home in reversed([h for h in homes if h.structured]):
+            read = F.when(values.is_blank(_home_cell(rows, home)), read).otherwise(
+                _settled(rows, home))
+        out = F.when(F.col("profile").isin(*sorted(profiles)), read).otherwise(out)
+    return out
 
 
 def _exposure_relation(onset: Column, anchor: str) -> Column:
