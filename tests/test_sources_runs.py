@@ -186,7 +186,7 @@ def test_rerank(spark):
 
 
 def test_written_tables_survive_reuse(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(scratch, "_local_folder", lambda application: str(tmp_path))
+    monkeypatch.setattr(scratch, "shared_folder", lambda session: str(tmp_path))
     table = scratch.written(spark.range(5), "five")
     assert table.count() == table.count() == 5
     assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["five"]
