@@ -17,7 +17,9 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     session = (SparkSession.builder.master("local[8]").appName("tests")
-               .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8")
+               .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
+               # a few rows gain nothing from re-planning between stages
+               .config("spark.sql.adaptive.enabled", "false")
                .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g")
                .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")

@@ -219,14 +219,14 @@ def test_same_answer_under_other_partitioning(spark, whole_trial):
     before = {tuple(r) for r in evaluate.cases(whole_trial.assignments(TOX)).select(
         "record_id", "verdict").collect()}
     spark.conf.set("spark.sql.shuffle.partitions", "3")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
     try:
         again = Trial(order_trial.snapshot(spark, SF))
         after = {tuple(r) for r in evaluate.cases(again.assignments(TOX)).select(
             "record_id", "verdict").collect()}
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
     assert before == after and before
 
 

@@ -11,14 +11,11 @@ from conftest import SF
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 # the driver compares every query; these cover each family and stay quick
-QUICK = ["snapshot_fingerprint", "linked_row_counts", "code_reconciliation", "codelist_readings",
+QUICK = ["snapshot_fingerprint", "code_reconciliation", "codelist_readings",
          "seriousness_criteria", "structured_modifiers", "exposure_offsets", "sentence_counts",
-         "folded_spelling", "event_mentions", "term_assertions", "enriched_modifiers",
-         "structured_incidence", "narrative_verdicts", "graded_toxicity_verdicts",
-         "narrative_denominators", "evidence_routes", "cumulative_dose", "phenotype_scores",
-         "silver_metrics", "silver_calibration", "ablation_increments", "dose_increases",
-         "latest_anchor", "episode_table", "document_search", "dense_rerank",
-         "comparison_summary"]
+         "folded_spelling", "event_mentions", "term_assertions", "structured_incidence",
+         "narrative_verdicts", "graded_toxicity_verdicts", "cumulative_dose", "silver_calibration",
+         "dose_increases", "latest_anchor", "episode_table", "document_search", "dense_rerank"]
 
 
 @pytest.fixture(scope="module")
