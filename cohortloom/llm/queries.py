@@ -8,7 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packed_ids, suffix_rules, tree_extract, wu_manber
+from . import (bbit_minhash, hilbert, line_runs, mixture_packing, packed_ids, subword_classifier,
+               suffix_rules, surrogates, tree_extract, wu_manber)
 from .common import reachable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +44,23 @@ def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_rules.repetition(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards along a Hilbert curve over source, language and length."""
+    placed = hilbert.shards(table(spark, sf_dir, "documents"), ["source", "lang", "n_chars"], 40, "rows")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op4_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = subword_classifier.fit(documents, table(spark, sf_dir, "labels"))
+    scored = subword_classifier.score(documents, model)
+    return scored.select("doc_id", subword_classifier.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op5_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_extract.main_text(table(spark, sf_dir, "pages"))
@@ -55,3 +73,27 @@ def op6_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = mixture_packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return mixture_packing.pieces(packed, with_ids=False).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
+
+
+@query
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_runs.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced under one key."""
+    return surrogates.replace(table(spark, sf_dir, "documents"), key="op9")
+
+
+@query
+def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents"))
