@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from typing import Any, Iterable
 
 from . import fixed_values as fixed
@@ -57,12 +57,16 @@ class Definition:
     on_missing_modifier: str = "not_ascertainable"
     on_uncertain: str = "review"
     status: str = "draft"
-    content_hash: str = ""
 
     @property
     def key(self) -> str:
         return f"{self.id}.v{self.version}"
 
+    @property
+    def content_hash(self) -> str:
+        """Digest of what the definition says now; its status is not part of that."""
+        return digest({k: v for k, v in asdict(self).items() if k != "status"}, 32)
+
     @property
     def accept_methods(self) -> list[str]:
         return sorted({m for r in self.modifiers for m in r.accept_methods})
@@ -96,7 +100,6 @@ class Definition:
             tuple(m["accept_sources"]) if m.get("accept_sources") is not None else None,
             m.get("on_unavailable", "not_ascertainable"),
         ) for m in body.get("modifiers") or ())
-        content = {k: v for k, v in body.items() if k not in ("status", "definition_hash")}
         return cls(
             id=body["id"], version=int(body["version"]),
             include=tuple(concept_set["include"]), exclude=tuple(concept_set.get("exclude") or ()),
@@ -116,7 +119,7 @@ class Definition:
             below_threshold=evidence.get("below_threshold", "review"),
             on_missing_modifier=policy.get("missing_required_modifier", "not_ascertainable"),
             on_uncertain=policy.get("uncertain_assertion", "review"),
-            status=body.get("status", "draft"), content_hash=digest(content),
+            status=body.get("status", "draft"),
         )
 
     @classmethod

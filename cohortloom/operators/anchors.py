@@ -7,7 +7,7 @@ there are days or buckets, however many exposures one subject has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ConfigError, TrialConfig
@@ -131,29 +131,34 @@ def dose_before(asked: DataFrame, ex: DataFrame) -> DataFrame:
     A dose running from s to e adds dose*(min(e, onset) - s). Summed over exposures
     that is onset*D - M, where D and M are running sums of dose and dose*day that
     rise at each start and fall at each end. The sums need one row per subject and
-    day, so no event is ever paired with an exposure. Decimal keeps them exact.
+    day, so no event is ever paired with an exposure. Decimals keep them exact: doses
+    up to 1e17, to ten digits after the point. A larger one stops the job, as leaving it
+    out or cutting it would give a wrong sum.
     """
+    number, exact = F.col("EXDOSE").try_cast("double"), F.col("EXDOSE").try_cast("decimal(27,10)")
+    fits = F.when(number.isNotNull() & exact.isNull(), F.raise_error(F.concat(
+        F.lit("dose out of range: "), F.col("EXDOSE")))).otherwise(exact)
     end = F.when(~values.is_blank(F.col("EXENDTC")), values.exposure_date(F.col("EXENDTC")))
     usable = ex.select(
         F.col("USUBJID").alias("subject_id"),
         values.exposure_date(F.col("EXSTDTC")).alias("s"), end.alias("e"),
-        F.col("EXDOSE").try_cast("decimal(18,6)").alias("dose"),
+        fits.cast("decimal(27,10)").alias("dose"),
     ).filter("s is not null and dose is not null and (e is null or e > s)")
     steps = usable.select("subject_id", F.explode(F.array(
         F.struct(F.col("s").alias("day"), F.col("dose").alias("d"), F.lit(1).alias("n")),
         F.struct(F.col("e").alias("day"), (-F.col("dose")).alias("d"), F.lit(0).alias("n")),
     )).alias("x")).select("subject_id", "x.*").filter("day is not null")
     daily = steps.groupBy("subject_id", "day").agg(
-        F.sum("d").cast("decimal(28,6)").alias("d"), F.sum("n").alias("n"))
+        F.sum("d").cast("decimal(27,10)").alias("d"), F.sum("n").alias("n"))
     typed = daily.select("subject_id", "day", F.lit(1).alias("turn"), "d",
-                         (F.col("d") * F.unix_date("day")).cast("decimal(38,6)").alias("m"), "n")
+                         (F.col("d") * F.unix_date("day")).cast("decimal(38,10)").alias("m"), "n")
     wanted = _days_asked(asked).select(
-        "subject_id", "day", F.lit(0).alias("turn"), F.lit(None).cast("decimal(28,6)").alias("d"),
-        F.lit(None).cast("decimal(38,6)").alias("m"), F.lit(None).cast("bigint").alias("n"))
+        "subject_id", "day", F.lit(0).alias("turn"), F.lit(None).cast("decimal(27,10)").alias("d"),
+        F.lit(None).cast("decimal(38,10)").alias("m"), F.lit(None).cast("bigint").alias("n"))
     # turn 0 sorts first: an exposure starting on the onset day does not count
     w = Window.partitionBy("subject_id").orderBy("day", "turn").rowsBetween(
         Window.unboundedPreceding, 0)
-    total = F.sum("d").over(w) * F.unix_date("day") - F.sum("m").over(w)
+    total = F.sum("d").over(w).cast("decimal(27,10)") * F.unix_date("day") - F.sum("m").over(w)
     return (typed.unionByName(wanted)
             .select("subject_id", "day", "turn", total.cast("double").alias("total"),
                     F.sum("n").over(w).alias("counted"))
@@ -161,6 +166,3 @@ def dose_before(asked: DataFrame, ex: DataFrame) -> DataFrame:
             .select("subject_id", F.col("day").alias("onset"), F.col("total").alias("dose_days"),
                     F.col("counted").alias("n_exposures")))
 
-
-def days_between(later: Column, earlier: Column) -> Column:
-    return F.datediff(later, earlier)

@@ -1,8 +1,8 @@
 """Episodes: records of one subject, study and concept within a gap tolerance.
 
-A group may hold any share of the records, so it is cut into order-preserving
-buckets (onset day, then the head of the record id). Windows run inside buckets
-and over bucket summaries; members stay one row each and are never collected.
+A group may hold any share of the records. Records are sorted by (group, onset, id) in
+sampled ranges; windows run over a group's rows inside a range and over one summary row per
+group and range. Members stay one row each and are never collected.
 """
 
 from __future__ import annotations
@@ -11,64 +11,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .ranges import before, sorted_rows
 
 GROUP = ["study_id", "subject_id", "concept"]
-BUCKET = [*GROUP, "onset_day", "head"]
+RUN = [*GROUP, "part"]
 
 
-def members(recs: DataFrame, tolerance: int = 3, head: int = 6) -> DataFrame:
+def members(recs: DataFrame, tolerance: int = 3) -> DataFrame:
     """One row per record with its place: group, episode number in the group, joining gap.
 
     A record joins its predecessor when onset follows the predecessor's end (or
     onset) by at most ``tolerance`` days. Records without an onset stand alone.
-    The few columns needed are written first, as several passes read them.
     """
     base = written(recs.select(
         "record_id", "study_id", "subject_id",
         F.coalesce("concept_id", F.lit("UNCODED")).alias("concept"),
         F.col("onset.value").alias("onset_day"),
-        F.coalesce("end.value", "onset.value").alias("closes"),
-        F.substring("source_record_id", 1, head).alias("head")), "episode-records")
-    dated, undated = base.filter("onset_day is not null"), base.filter("onset_day is null")
-
-    inside = Window.partitionBy(*BUCKET).orderBy("record_id")
-    across = Window.partitionBy(*GROUP).orderBy("onset_day", "head")
-    # each bucket hands its last closing day to the next one
-    ends = dated.groupBy(*BUCKET).agg(F.max_by("closes", "record_id").alias("held"))
+        F.coalesce("end.value", "onset.value").alias("closes")), "episode-records")
+    dated = sorted_rows(base.filter("onset_day is not null"), [*GROUP, "onset_day", "record_id"],
+                        "episode-dated")
+    undated = sorted_rows(base.filter("onset_day is null"), [*GROUP, "record_id"], "episode-undated")
+
+    inside = Window.partitionBy(*RUN).orderBy("place")
+    across = Window.partitionBy(*GROUP).orderBy("part")
+    # each range hands its last closing day to the next one of the group
+    ends = dated.groupBy(*RUN).agg(F.max_by("closes", "place").alias("held"))
     carried = ends.withColumn("carry", F.lag("held").over(across)).drop("held")
     gap = F.datediff("onset_day", F.coalesce(F.lag("closes").over(inside), F.col("carry")))
-    joined = dated.join(carried, BUCKET).withColumn("gap", gap)
-    opens = F.when(F.col("gap") <= tolerance, 0).otherwise(1)
-    flagged = joined.withColumn("opens", opens)
-    # episode number in the group = openings in earlier buckets + openings so far here
-    openings = flagged.groupBy(*BUCKET).agg(F.sum("opens").alias("n"))
-    before = openings.withColumn("before", F.coalesce(F.sum("n").over(
-        across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    placed = flagged.join(before, BUCKET).withColumn(
+    joined = dated.join(carried, RUN).withColumn("gap", gap)
+    flagged = joined.withColumn("opens", F.when(F.col("gap") <= tolerance, 0).otherwise(1))
+    # episode number in the group = openings in earlier ranges + openings so far here
+    openings = before(flagged.groupBy(*RUN).agg(F.sum("opens").alias("n")), "n", "before", GROUP).drop("n")
+    placed = flagged.join(openings, RUN).withColumn(
         "ordinal", F.col("before") + F.sum("opens").over(
             inside.rowsBetween(Window.unboundedPreceding, 0)))
     kept = placed.select(*GROUP, "record_id", "onset_day", "ordinal",
                          F.when(F.col("opens") == 0, F.col("gap")).alias("gap"),
                          F.lit(False).alias("apart"))
-    return written(kept.unionByName(_undated(undated, placed, head)), "episode-members")
+    return written(kept.unionByName(_undated(undated, placed)), "episode-members")
 
 
-def _undated(undated: DataFrame, placed: DataFrame, head: int) -> DataFrame:
+def _undated(undated: DataFrame, placed: DataFrame) -> DataFrame:
     """Records without onset follow the dated ones, each its own episode."""
     dated = placed.groupBy(*GROUP).agg(F.max("ordinal").alias("dated"))
-    part = [*GROUP, "head"]
-    sizes = undated.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*GROUP).orderBy("head")
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(
-        w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inside = Window.partitionBy(*part).orderBy("record_id")
-    numbered = undated.join(before, part).join(dated, GROUP, "left").withColumn(
-        "place", F.col("before") + F.row_number().over(inside))
+    sizes = before(undated.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")),
+                   "n", "before", GROUP).drop("n")
+    numbered = undated.join(sizes, RUN).join(dated, GROUP, "left").withColumn(
+        "nth", F.col("before") + F.col("place") - F.col("first") + 1)
     dated_so_far = F.coalesce("dated", F.lit(0))
     return numbered.select(
-        *GROUP, "record_id", "onset_day", (dated_so_far + F.col("place")).alias("ordinal"),
+        *GROUP, "record_id", "onset_day", (dated_so_far + F.col("nth")).alias("ordinal"),
         F.lit(None).cast("int").alias("gap"),
-        (dated_so_far + F.col("place") > 1).alias("apart"))
+        (dated_so_far + F.col("nth") > 1).alias("apart"))
 
 
 def episodes(placed: DataFrame, tolerance: int = 3) -> DataFrame:
@@ -92,31 +86,14 @@ def episodes(placed: DataFrame, tolerance: int = 3) -> DataFrame:
         note.alias("note"))
 
 
-def number(grouped: DataFrame, head: int = 5) -> DataFrame:
-    """Add the global episode number and id without a single-partition window over groups.
-
-    Groups are counted per order-preserving bucket (study, head of the subject id).
-    Bucket totals are summed over the short bucket list of a study, studies over the
-    list of studies, and groups inside their bucket.
-    """
-    sized = grouped.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "head", F.substring("subject_id", 1, head))
-    buckets = sized.groupBy("study_id", "head").agg(F.sum("n").alias("n"))
-    studies = buckets.groupBy("study_id").agg(F.sum("n").alias("n"))
-    up_to_here = (Window.unboundedPreceding, -1)
-
-    def running(w):
-        return F.coalesce(F.sum("n").over(w.rowsBetween(*up_to_here)), F.lit(0))
-    # the list of studies is configuration-sized
-    study_base = studies.select("study_id", running(
-        Window.partitionBy(F.lit(1)).orderBy("study_id")).alias("study_base"))
-    bucket_base = buckets.select("study_id", "head", running(
-        Window.partitionBy("study_id").orderBy("head")).alias("bucket_base"))
-    group_base = sized.select(*GROUP, "head", running(
-        Window.partitionBy("study_id", "head").orderBy("subject_id", "concept"))
-        .alias("group_base"))
-    base = group_base.join(bucket_base, ["study_id", "head"]).join(study_base, "study_id").select(
-        *GROUP, (F.col("study_base") + F.col("bucket_base") + F.col("group_base")).alias("base"))
+def number(grouped: DataFrame) -> DataFrame:
+    """Add the global episode number and id: groups counted in sorted ranges, ranges summed up."""
+    sized = sorted_rows(grouped.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")), GROUP, "episode-groups")
+    earlier = before(sized.groupBy("part").agg(F.sum("n").alias("total")), "total", "part_base") \
+        .select("part", "part_base")  # a row per range
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    base = sized.join(earlier, "part").select(
+        *GROUP, (F.col("part_base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("base"))
     serial = F.col("base") + F.col("ordinal")
     text = serial.cast("string")
     padded = F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed_values as fixed
-from ..config import Home, TrialConfig, dimension
+from ..config import CELL, NOWHERE, PROSE, TrialConfig, dimension
 from ..functions import attrs, values
 from ..schema import SCALAR_ATTRIBUTES, attribute
 from ..sources.snapshot import Snapshot
@@ -94,8 +94,7 @@ def linked_findings(sc: DataFrame, config: TrialConfig) -> DataFrame:
     result. One grouped pass with map-side combine; nothing grows with the group
     but the set of distinct test codes.
     """
-    tests = sorted({h.variable.split(".", 1)[-1] for p in config.profiles.values()
-                    for hs in p.homes.values() for h in hs if h.kind == "linked_form"})
+    tests = sorted({p.variable.split(".", 1)[-1] for p in config.places if p.kind == "linked_form"})
     order = F.col("SRC_ORDER") if "SRC_ORDER" in sc.columns else F.col("SCORRES")
     firsts = [F.min_by(F.when(F.col("SCTESTCD") == t, F.struct("SCORRES")),
                        F.when(F.col("SCTESTCD") == t, F.struct(order.alias("o")))
@@ -218,49 +217,52 @@ def _criteria(rows: DataFrame, config: TrialConfig) -> Column:
     return F.map_from_entries(F.transform(names, one))
 
 
-def _home_cell(rows: DataFrame, home: Home) -> Column:
-    """The cell a structured home points at."""
-    return (F.try_element_at("findings", F.lit(home.variable)) if home.kind == "linked_form"
-            else _cell(rows, home.variable))
+def _placed(rows: DataFrame, where: str, variable: str) -> Column:
+    """The cell that a declared place names."""
+    return (F.try_element_at("findings", F.lit(variable)) if where == "linked_form"
+            else _cell(rows, variable))
 
 
-def _settled(rows: DataFrame, home: Home) -> Column:
-    """The answer of a filled structured home, or why it could not be read."""
-    kind, cell = T.StringType(), _home_cell(rows, home)
+def _settled(rows: DataFrame, where: str, variable: str) -> Column:
+    """The answer of a filled cell, or why it could not be read."""
+    kind, cell = T.StringType(), _placed(rows, where, variable)
     state = values.three_state(cell)
-    domain = "SC" if home.kind == "linked_form" else "AE"
-    evidence = F.array(attrs.structured_span(domain, F.col("AESPID"), home.variable, cell))
-    return F.when(state.isNull(), attrs.silent(
-        kind, "unresolved", home.variable, home.kind,
-        _outside(home.variable, cell, "a yes/no/unknown answer"))).otherwise(
-        attrs.direct(kind, state, home.variable, evidence, source=home.kind))
+    domain = "SC" if where == "linked_form" else "AE"
+    evidence = F.array(attrs.structured_span(domain, F.col("AESPID"), variable, cell))
+    unread = attrs.silent(kind, "unresolved", variable, where,
+                          _outside(variable, cell, "a yes/no/unknown answer"))
+    return F.when(state.isNull(), unread).otherwise(
+        attrs.direct(kind, state, variable, evidence, source=where))
 
 
 def _modifier(rows: DataFrame, config: TrialConfig, modifier: str) -> Column:
-    """The first structured home that is filled; else a placeholder for prose; else silence.
+    """The first filled cell; else a placeholder for prose; else silence.
 
-    Studies share few arrangements of homes, and each arrangement is one plain branch.
+    Studies share few arrangements of places, and each arrangement is one plain branch.
     """
     kind = T.StringType()
-    arrangements: dict[tuple[Home, ...], list[str]] = {}
-    for p in config.profiles.values():
-        arrangements.setdefault(p.homes.get(modifier, ()), []).append(p.profile_id)
+    arrangements: dict[tuple, list[str]] = {}
+    for profile in config.profiles:
+        key = tuple((p.way, p.kind, p.variable) for p in config.places_of(modifier, profile=profile))
+        arrangements.setdefault(key, []).append(profile)
     out = attrs.silent(kind, "not_collected", note=F.concat(
-        F.col("profile"), F.lit(f" keeps {modifier} nowhere")))
-    for homes, profiles in arrangements.items():
-        if all(h.nowhere for h in homes):
+        F.col("profile"), F.lit(f" has no place for {modifier}")))
+    for key, profiles in arrangements.items():
+        if all(way == NOWHERE for way, _, _ in key):
             continue
-        prose = next((h for h in homes if h.text), None)
+        prose = [(k, v) for way, k, v in key if way == PROSE]
         if prose:
-            read = attrs.silent(kind, "unresolved", prose.variable, prose.kind, F.concat(
-                F.col("profile"), F.lit(f" keeps {modifier} in the prose of {prose.variable}")))
+            where, variable = prose[0]
+            read = attrs.silent(kind, "unresolved", variable, where, F.concat(
+                F.col("profile"), F.lit(f" leaves {modifier} to the text of {variable}")))
         else:
-            read = attrs.silent(
-                kind, values.silence(F.col("collects"), homes[0].variable or modifier),
-                homes[0].variable, homes[0].kind, f"{homes[0].variable} is empty")
-        for home in reversed([h for h in homes if h.structured]):
-            read = F.when(values.is_blank(_home_cell(rows, home)), read).otherwise(
-                _settled(rows, home))
+            _, where, variable = key[0]
+            read = attrs.silent(kind, values.silence(F.col("collects"), variable or modifier),
+                                variable, where, f"nothing in {variable}")
+        for way, where, variable in reversed(key):
+            if way == CELL:
+                read = F.when(values.is_blank(_placed(rows, where, variable)), read).otherwise(
+                    _settled(rows, where, variable))
         out = F.when(F.col("profile").isin(*sorted(profiles)), read).otherwise(out)
     return out
 

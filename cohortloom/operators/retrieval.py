@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ConfigError, TrialConfig
 from ..functions.text import quoted
+from ..sources.snapshot import exists
 
 K1, B = 1.2, 0.75
 INDEX_SCHEMA_VERSION = "1"
@@ -72,14 +73,31 @@ def build_index(path: str, flat: DataFrame, mentions: DataFrame, documents: Data
 
 
 def update_verdicts(path: str, assignments: DataFrame) -> str:
-    """Rewrite the flat table with verdicts beside the old one; returns the new location."""
+    """Write the newest flat table again with these verdicts in it; returns the new location.
+
+    A row keeps what earlier definitions said of it unless this one judges it too. Each
+    version has a folder of its own and the pointer to it is appended last, so readers of an
+    earlier version are not disturbed and a torn write is never read.
+    """
     spark = assignments.sparkSession
-    target = f"{path}/records_with_verdicts"
-    attach_verdicts(spark.read.parquet(f"{path}/records"), assignments).write.mode(
+    version, newest = current_records(spark, path)
+    target = f"{path}/records_v{version + 1}"
+    attach_verdicts(spark.read.parquet(newest), assignments).write.mode(
         "overwrite").partitionBy("study_id").parquet(target)
+    spark.createDataFrame([(version + 1, target)], "version int, location string").coalesce(1) \
+        .write.mode("append").json(f"{path}/record_versions")
     return target
 
 
+def current_records(spark: SparkSession, path: str) -> tuple[int, str]:
+    """Version and location of the flat table that was written last."""
+    if not exists(spark, f"{path}/record_versions"):
+        return 0, f"{path}/records"
+    last = spark.read.schema("version int, location string").json(f"{path}/record_versions") \
+        .orderBy(F.desc("version")).first()
+    return (last["version"], last["location"]) if last else (0, f"{path}/records")
+
+
 def stale(meta: DataFrame, extractor: str, normalizer: str) -> DataFrame:
     """Version differences of a built index; no rows means it is current."""
     current = {"schema_version": INDEX_SCHEMA_VERSION, "extractor_version": extractor,
@@ -103,7 +121,7 @@ LIST_FILTERS = ("assertion", "availability", "value", "method", "profile", "verd
 def retrieve(flat: DataFrame, config: TrialConfig, *, concept: str | None = None,
              group: str | None = None, studies: Sequence[str] | None = None,
              window: tuple[int, int] | None = None, definition_id: str | None = None,
-             definition_version: int | None = None, top_k: int | None = 50, **lists
+             definition_version: int | None = None, top_k: int | None = None, **lists
              ) -> DataFrame:
     """Cohort-eligible rows under exact filters, ordered by record id.
 
@@ -198,7 +216,7 @@ def bm25(index: DataFrame, text: str, id_column: str = "doc_id") -> DataFrame:
 def discover(mentions: DataFrame, index: DataFrame | None = None, *, text: str | None = None,
              modifier: Sequence[str] | None = None, assertion: Sequence[str] | None = None,
              value: Sequence[str] | None = None, studies: Sequence[str] | None = None,
-             profile: Sequence[str] | None = None, top_k: int | None = 50) -> DataFrame:
+             profile: Sequence[str] | None = None, top_k: int | None = None) -> DataFrame:
     """Mentions in prose, best documents first. Every row is marked a candidate."""
     rows = mentions
     for column, wanted in (("modifier", modifier), ("assertion", assertion), ("value", value),
@@ -218,17 +236,29 @@ def rerank(candidates: DataFrame, vectors: DataFrame, query: Sequence[float] | D
            key: str = "mention_id", top_k: int | None = None) -> DataFrame:
     """Reorder candidates by the dot product of their vector with the query vector.
 
-    ``vectors`` has ``key`` and ``embedding``. The query is one vector: a literal, or a
-    one-row frame with a ``query`` column.
+    ``vectors`` has ``key`` and ``embedding``. The query is a literal vector, or a frame of
+    stated queries with ``query_id`` and ``query``: every query then ranks all candidates and
+    ``top_k`` holds for each. A frame without ``query_id`` must have one row.
     """
     rows = candidates.join(vectors.select(key, "embedding"), key)
+    by = []
     if isinstance(query, DataFrame):
-        rows = rows.crossJoin(F.broadcast(query.limit(1)))
+        if "query_id" in query.columns:
+            by, asked = ["query_id"], query.select("query_id", "query")
+        else:
+            whole = query.agg(F.any_value("query").alias("query"), F.count(F.lit(1)).alias("n"))
+            asked = whole.select(F.when(F.col("n") == 1, F.col("query")).otherwise(F.raise_error(
+                F.lit("several query rows need a query_id"))).alias("query"))
+        rows = rows.crossJoin(asked)  # a stated set of queries against the candidates
     else:
         rows = rows.withColumn("query", F.array(*[F.lit(float(q)) for q in query]))
     products = F.zip_with("embedding", "query",
                           lambda a, b: a.cast("double") * b.cast("double"))
     scored = rows.withColumn("score", F.aggregate(
-        products, F.lit(0.0), lambda acc, x: acc + x)).drop("embedding", "query").orderBy(
-        F.desc("score"), key)
+        products, F.lit(0.0), lambda acc, x: acc + x)).drop("embedding", "query")
+    if by and top_k:  # Spark cuts such a rank inside each task before it shuffles
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), key))
+        return scored.withColumn("place", rank).filter(F.col("place") <= top_k).drop("place") \
+            .orderBy(*by, F.desc("score"), key)
+    scored = scored.orderBy(*by, F.desc("score"), key)
     return scored.limit(top_k) if top_k else scored

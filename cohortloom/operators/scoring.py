@@ -104,11 +104,12 @@ def assertion_summary(cells: DataFrame) -> DataFrame:
     return counted.withColumn("accuracy", ratio(F.col("correct"), F.col("records")))
 
 
-def assertion_examples(rows: DataFrame, limit: int = 10) -> DataFrame:
-    """The first disagreements in stable record order."""
-    return rows.filter("expected <> actual").orderBy(
-        "study_id", "subject_id", "source_record_id").limit(limit).select(
-        "source_record_id", "profile", "expected", "actual", "note")
+def assertion_examples(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """The disagreements, all of them or the first ``limit`` in stable record order."""
+    found = rows.filter("expected <> actual")
+    if limit:
+        found = found.orderBy("study_id", "subject_id", "source_record_id").limit(limit)
+    return found.select("source_record_id", "profile", "expected", "actual", "note")
 
 
 # -- one truth, several renderings -----------------------------------------------------
@@ -154,9 +155,12 @@ def invariance(agreement: DataFrame) -> DataFrame:
         .alias("supported_agreement"))
 
 
-def discordant(agreement: DataFrame, limit: int = 20) -> DataFrame:
-    return agreement.filter("n_readable > 0 and not readable_agrees").orderBy("truth_id").limit(
-        limit).select("truth_id", "reference", "verdicts", "example_reason")
+def discordant(agreement: DataFrame, limit: int | None = None) -> DataFrame:
+    """Truths whose readable renderings disagree, all or the first ``limit`` by id."""
+    found = agreement.filter("n_readable > 0 and not readable_agrees")
+    if limit:
+        found = found.orderBy("truth_id").limit(limit)
+    return found.select("truth_id", "reference", "verdicts", "example_reason")
 
 
 # -- whole-study holdout -----------------------------------------------------------------
@@ -204,21 +208,23 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame
     wanted = relevant.distinct().withColumn("hit", F.lit(1))
     cut = ranked.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
     at_k = cut.join(wanted, ["query_id", "item_id"], "left").groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("returned"), F.count("hit").alias("hits"))
+        F.count(F.lit(1)).alias("returned"), F.count("hit").alias("hits"),
+        F.count_distinct(F.when(F.col("hit") == 1, F.col("item_id"))).alias("found"))
     best = ranked.join(wanted, ["query_id", "item_id"]).groupBy("query_id").agg(
-        F.max(F.struct(F.col("score").alias("s"))).alias("m"), F.max("score").alias("best"),
+        F.max("score").alias("best"),
         F.min_by("item_id", F.struct((-F.col("score")).alias("s"), "item_id")).alias("best_item"))
     ahead = (F.col("score") > F.col("best")) | (
         (F.col("score") == F.col("best")) & (F.col("item_id") < F.col("best_item")))
+    # a row per query with a hit; the ranked side may be split where a query holds most rows
     rank = ranked.join(best, "query_id").groupBy("query_id").agg(
         (count_if(ahead) + 1).alias("first_hit"))
     size = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
     queries = ranked.select("query_id").distinct()
     joined = queries.join(at_k, "query_id", "left").join(rank, "query_id", "left").join(
-        size, "query_id", "left").fillna(0, ["returned", "hits", "relevant"])
+        size, "query_id", "left").fillna(0, ["returned", "hits", "found", "relevant"])
     return joined.select(
         "query_id", "relevant", "returned", "hits",
         F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0)).alias("reciprocal_rank"),
-        ratio(F.col("hits"), F.col("relevant")).alias("recall_at_k"),
+        ratio(F.col("found"), F.col("relevant")).alias("recall_at_k"),
         ratio(F.least(F.lit(k), "relevant"), F.col("relevant")).alias("recall_ceiling"),
         ratio(F.col("hits"), F.col("returned")).alias("precision_at_k"))

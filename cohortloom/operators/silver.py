@@ -7,12 +7,12 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import TrialConfig
+from ..config import CELL, PROSE, TrialConfig
 from ..functions import values
 from ..functions.mentions import MentionReader
 from ..functions.stats import count_if, f1, ratio, round4
 
-CONFIDENCE = "decimal(10,6)"  # exact sums, whatever the order rows arrive in
+CONFIDENCE = "double"  # as stated; results are rounded, so the order of the sum does not show
 
 
 def comparisons(linked: DataFrame, documents: DataFrame, config: TrialConfig,
@@ -26,10 +26,10 @@ def comparisons(linked: DataFrame, documents: DataFrame, config: TrialConfig,
     eligible = [p for p in config.both_routes(modifier) if profiles is None or p in profiles]
     rows = linked.filter(F.col("profile").isin(*eligible))
     in_comment = [p for p in eligible
-                  if config.profiles[p].first(modifier, "text").kind == "comment"]
+                  if config.places_of(modifier, PROSE, p)[0].kind == "comment"]
     raw, variable = F.lit(None).cast("string"), F.lit(None).cast("string")
     for pid in eligible:
-        home = config.profiles[pid].first(modifier, "structured")
+        home = config.places_of(modifier, CELL, pid)[0]
         cell = (F.try_element_at("findings", F.lit(home.variable)) if home.kind == "linked_form"
                 else F.col(home.variable))
         raw = F.when(F.col("profile") == pid, cell).otherwise(raw)

@@ -13,6 +13,7 @@ fd AS (SELECT o_custkey AS k, min(o_orderkey % 200) AS fday FROM orders GROUP BY
 e0 AS (SELECT ln.*, o.o_custkey AS k, fd.fday, CAST(o.o_custkey % 7 AS INT) AS s,
               CAST((ok + ln) % 5 AS INT) AS t
        FROM ln JOIN orders o ON ok = o.o_orderkey JOIN fd ON fd.k = o.o_custkey),
+w0 AS (SELECT *, CASE WHEN s = 3 AND t = 0 AND sk % 13 = 0 THEN 1 WHEN s = 4 AND t = 1 AND sk % 17 = 0 THEN 0 ELSE t END AS w FROM e0),
 e1 AS (SELECT *, 'R-' || ok || '-' || ln AS rid, 'C-' || k AS subject_id,
   'STUDY-' || substr('ABCDEFG', s + 1, 1) AS study_id,
   ['P_structured','P_text','P_absent','P_both','P_negated','P_version','P_concept_variant'][s + 1] AS profile,
@@ -20,16 +21,16 @@ e1 AS (SELECT *, 'R-' || ok || '-' || ln AS rid, 'C-' || k AS subject_id,
   ['RASH','RASH','RASH','RASH_ERYTHEMATOUS','RASH_MACULOPAPULAR','PRURITUS','NAUSEA','NEUTROPENIA'][CAST(pk % 8 AS INT) + 1] AS concept,
   CASE WHEN pk % 8 = 3 AND s NOT IN (1, 5) THEN 'Erythematous rash' ELSE
     ['Rash','Rash','Rash','Rash erythematous','Rash maculopapular','Pruritus','Nausea','Neutropenia'][CAST(pk % 8 AS INT) + 1] END AS code,
-  CASE WHEN pk % 8 <= 2 THEN ['rash','skin rash','eruption'][CAST(sk % 3 AS INT) + 1]
-       WHEN pk % 8 = 3 THEN ['erythematous rash','red rash'][CAST(sk % 2 AS INT) + 1]
-       WHEN pk % 8 = 4 THEN ['maculopapular rash','morbilliform rash'][CAST(sk % 2 AS INT) + 1]
-       WHEN pk % 8 = 5 THEN ['pruritus','itching'][CAST(sk % 2 AS INT) + 1]
-       WHEN pk % 8 = 6 THEN 'nausea' ELSE 'neutropenia' END AS event,
-  ['ORAL','ORAL','ORAL','ORAL','ORAL','OCULAR','OCULAR','GENITAL','GENITAL','UNSPECIFIED','UNSPECIFIED','UNSPECIFIED'][CAST(pk % 12 AS INT) + 1] AS site,
-  CASE t WHEN 1 THEN ['mucosal involvement','mucous membrane involvement','mucosal erosions'][CAST(pk % 3 AS INT) + 1]
-         WHEN 4 THEN ['involvement of the wet surfaces','erosive changes internally','lining tissue affected'][CAST(pk % 3 AS INT) + 1]
+  CASE WHEN pk % 8 <= 2 THEN ['exanthem','rash','skin rash'][CAST(sk % 3 AS INT) + 1]
+       WHEN pk % 8 = 3 THEN ['erythematous eruption','red rash'][CAST(sk % 2 AS INT) + 1]
+       WHEN pk % 8 = 4 THEN ['morbilliform rash','maculopapular rash'][CAST(sk % 2 AS INT) + 1]
+       WHEN pk % 8 = 5 THEN ['itch','pruritus'][CAST(sk % 2 AS INT) + 1]
+       WHEN pk % 8 = 6 THEN 'feeling sick' ELSE 'low neutrophils' END AS event,
+  ['ORAL','OCULAR','UNSPECIFIED','ORAL','GENITAL','ORAL','OCULAR','UNSPECIFIED','ORAL','GENITAL','OCULAR','UNSPECIFIED'][CAST(pk % 12 AS INT) + 1] AS site,
+  CASE w WHEN 1 THEN ['mucosal lesions','mucosal erosions','mucous membrane involvement'][CAST(pk % 3 AS INT) + 1]
+         WHEN 4 THEN ['raw patches inside the lip','a sore wet lining','blisters on the inner surfaces'][CAST(pk % 3 AS INT) + 1]
          WHEN 3 THEN NULL
-         ELSE ['oral mucosal involvement','mucosal lesions of the mouth','oral ulceration','buccal erosions','stomatitis','ocular involvement','conjunctival involvement','genital erosions','genital involvement','mucosal involvement','mucous membrane involvement','mucosal erosions'][CAST(pk % 12 AS INT) + 1] END AS phrase,
+         ELSE ['mouth ulceration','conjunctivitis','mucosal lesions','oral ulcers','genital ulceration','stomatitis','eye involvement','mucosal erosions','buccal erosions','genital erosions','ocular involvement','mucous membrane involvement'][CAST(pk % 12 AS INT) + 1] END AS phrase,
   CAST(pk % 240 - fday AS INT) AS off_true,
   DATE '2022-01-01' + CAST(pk % 240 AS INT) AS onset_true,
   CASE WHEN sk % 23 = 0 OR sk % 29 = 0 THEN NULL ELSE DATE '2022-01-01' + CAST(pk % 240 AS INT) END AS onset,
@@ -38,22 +39,23 @@ e1 AS (SELECT *, 'R-' || ok || '-' || ln AS rid, 'C-' || k AS subject_id,
   CAST(1 + CAST(q AS INT) % 4 AS INT) AS grade,
   (s = 1 AND t IN (0, 2, 4)) OR (s IN (3, 4) AND t <> 3) AS in_term,
   s IN (0, 3, 5) AND t <> 3 AS in_structured, s = 6 AND t <> 3 AS in_comment,
-  CASE WHEN t IN (0, 4) THEN 'present' WHEN t = 1 THEN 'absent' WHEN t = 2 THEN 'uncertain' END AS said
-  FROM e0),
+  CASE WHEN t IN (0, 4) THEN 'present' WHEN t = 1 THEN 'absent' WHEN t = 2 THEN 'uncertain' END AS said,
+  CASE w WHEN 0 THEN 'present' WHEN 1 THEN 'absent' WHEN 2 THEN 'uncertain' END AS told
+  FROM w0),
 ev AS (SELECT *, study_id || ':' || rid AS record_id,
   CAST(date_diff('day', anchor, onset) AS INT) AS off,
   CASE WHEN NOT in_term THEN event
-    WHEN t IN (0, 4) THEN event || [' with ' || phrase, ' and ' || phrase, ', ' || phrase || ' noted'][CAST(sk % 3 AS INT) + 1]
-    WHEN t = 1 THEN event || [' without ' || phrase, ', no ' || phrase, '; ' || phrase || ' was absent', ', ' || phrase || ' was not present'][CAST(sk % 4 AS INT) + 1]
-    ELSE event || [' with possible ' || phrase, ', query ' || phrase, '; ' || phrase || ' cannot be excluded'][CAST(sk % 3 AS INT) + 1] END AS aeterm,
+    WHEN w IN (0, 4) THEN event || [' with the ' || phrase, ' on the trunk plus ' || phrase, ' and ' || phrase || ' as well'][CAST(sk % 3 AS INT) + 1]
+    WHEN w = 1 THEN event || [', negative for ' || phrase, ' in absence of ' || phrase, ': ' || phrase || ' not observed', ', ' || phrase || ' was excluded'][CAST(sk % 4 AS INT) + 1]
+    ELSE event || [' with suspected ' || phrase, ', equivocal ' || phrase, ', ' || phrase || ' remains unclear'][CAST(sk % 3 AS INT) + 1] END AS aeterm,
   CASE WHEN NOT in_comment THEN NULL
-    WHEN t IN (0, 4) THEN ['Investigator comment: ' || phrase || ' confirmed at the study visit.', 'Site clarification: the eruption was accompanied by ' || phrase || '.'][CAST(sk % 2 AS INT) + 1]
-    WHEN t = 1 THEN ['Investigator comment: no ' || phrase || ' was seen at any visit.', 'Site clarification: the mucosa was examined and spared.'][CAST(sk % 2 AS INT) + 1]
-    ELSE 'Investigator comment: possible ' || phrase || ', not confirmed.' END AS remark,
-  CASE WHEN in_term AND t IN (0, 1, 2) THEN said END AS term_says,
-  CASE WHEN in_term AND t IN (0, 2) AND site <> 'UNSPECIFIED' THEN site END AS term_site,
-  CASE WHEN NOT in_term THEN NULL WHEN t = 0 THEN [0.95, 0.95, 0.78][CAST(sk % 3 AS INT) + 1]
-       WHEN t = 1 THEN 0.9 WHEN t = 2 THEN 0.55 END AS term_conf,
+    WHEN t IN (0, 4) THEN ['Reviewed by the site: ' || phrase || ' present on both visits.', 'Photographs on file. The exanthem came together with ' || phrase || ' at the ward round.'][CAST(sk % 2 AS INT) + 1]
+    WHEN t = 1 THEN ['On review there is no evidence of ' || phrase || '.', 'Linings looked at and normal.'][CAST(sk % 2 AS INT) + 1]
+    ELSE 'Follow-up pending: possibly ' || phrase || '.' END AS remark,
+  CASE WHEN in_term AND w IN (0, 1, 2) THEN told END AS term_says,
+  CASE WHEN in_term AND w IN (0, 2) AND site <> 'UNSPECIFIED' THEN site END AS term_site,
+  CASE WHEN NOT in_term THEN NULL WHEN w = 0 THEN [0.95, 0.78, 0.95][CAST(sk % 3 AS INT) + 1]
+       WHEN w = 1 THEN 0.9 WHEN w = 2 THEN 0.55 END AS term_conf,
   CASE WHEN in_comment AND (t IN (0, 2) OR (t = 1 AND sk % 2 = 0)) THEN said END AS comment_says,
   CASE WHEN in_comment AND t IN (0, 2) AND site <> 'UNSPECIFIED' THEN site END AS comment_site,
   CASE WHEN NOT in_comment THEN NULL WHEN t = 0 THEN 0.85 WHEN t = 1 AND sk % 2 = 0 THEN 0.9
@@ -214,17 +216,17 @@ DECISION = ("CASE WHEN material THEN 'ADOPT' WHEN added_cases = 0 THEN 'DO NOT A
             "WHEN precision_on_added < 0.8 THEN 'DO NOT ADOPT AS IT STANDS: too many additions are wrong' "
             "ELSE 'DO NOT ADOPT: gain below the declared floor' END")
 MENTIONS = """
-mn0 AS (SELECT 'AE:' || rid || ':AETERM' AS doc_id, study_id, rid, 'reported_term' AS source_kind, aeterm AS txt, phrase, t, sk,
+mn0 AS (SELECT 'AE:' || rid || ':AETERM' AS doc_id, study_id, rid, 'reported_term' AS source_kind, aeterm AS txt, phrase, w AS t, sk,
     term_says AS a, term_site AS v, term_conf AS c, said,
-    CASE WHEN t = 1 THEN ['without ' || phrase, 'no ' || phrase, phrase || ' was absent', phrase || ' was not present'][CAST(sk % 4 AS INT) + 1]
-         WHEN t = 2 THEN ['possible ' || phrase, 'query ' || phrase, phrase || ' cannot be excluded'][CAST(sk % 3 AS INT) + 1]
+    CASE WHEN w = 1 THEN ['negative for ' || phrase, 'absence of ' || phrase, phrase || ' not observed', phrase || ' was excluded'][CAST(sk % 4 AS INT) + 1]
+         WHEN w = 2 THEN ['suspected ' || phrase, 'equivocal ' || phrase, phrase || ' remains unclear'][CAST(sk % 3 AS INT) + 1]
          ELSE phrase END AS surface FROM ev WHERE term_says IS NOT NULL
-  UNION ALL SELECT rid || '-CO', study_id, rid, 'comment', '*** SYNTHETIC RECORD - COMPUTER GENERATED - NOT REAL PATIENT DATA ***' || chr(10) || remark, phrase, t, sk,
+  UNION ALL SELECT rid || '-CO', study_id, rid, 'comment', '--- derived from order rows, for tests only ---' || chr(10) || remark, phrase, t, sk,
     comment_says, comment_site, comment_conf, said,
-    CASE WHEN t = 1 THEN 'no ' || phrase WHEN t = 2 THEN 'possible ' || phrase ELSE phrase END FROM ev WHERE comment_says IS NOT NULL),
+    CASE WHEN t = 1 THEN 'no evidence of ' || phrase WHEN t = 2 THEN 'possibly ' || phrase ELSE phrase END FROM ev WHERE comment_says IS NOT NULL),
 mn AS (SELECT *, doc_id || ':' || (instr(txt, surface) - 1) || ':' || a AS mention_id FROM mn0)"""
 DOCS = """
-docs AS (SELECT rid || '-CO' AS doc_id, rid, '*** SYNTHETIC RECORD - COMPUTER GENERATED - NOT REAL PATIENT DATA ***' || chr(10) || remark AS full_text
+docs AS (SELECT rid || '-CO' AS doc_id, rid, '--- derived from order rows, for tests only ---' || chr(10) || remark AS full_text
   FROM ev WHERE in_comment)"""
 EPISODES = """
 ep0 AS (SELECT record_id, rid, study_id, subject_id, concept, onset, coalesce(ends, onset) AS closes FROM rc),
@@ -387,13 +389,15 @@ twin("sentence_counts", r"""WITH m AS (SELECT doc_id, regexp_replace(text, '([.?
 p AS (SELECT doc_id, list_filter(list_transform(string_split(x, chr(10)), lambda y: trim(y, E' \t\r\f\v')), lambda y: length(y) > 0) AS s FROM m)
 SELECT doc_id, len(s)::BIGINT AS n_sentences, coalesce(list_sum(list_transform(s, lambda y: length(y))), 0)::BIGINT AS n_chars FROM p""", base="")
 twin("word_counts", r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z][A-Za-z''’-]*|\d+(\.\d+)?'))::BIGINT AS n_words FROM documents""", base="")
-twin("folded_spelling", r"""SELECT doc_id, md5(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text),
-  'isation\b', 'ization', 'g'), 'ise\b', 'ize', 'g'), 'ised\b', 'ized', 'g'), 'ising\b', 'izing', 'g'), 'ae', 'e'), 'oe', 'e')) AS digest
-  FROM documents WHERE lang = 'en'""", base="")
+WORD_END = r"($|[^\p{L}\p{M}\p{N}_])"
+FOLDED = "lower(text)"
+for ending, folded in (("isation", "ization"), ("ise", "ize"), ("ised", "ized"), ("ising", "izing")):
+    FOLDED = f"regexp_replace({FOLDED}, '{ending}{WORD_END}', '{folded}\\1', 'g')"
+twin("folded_spelling", f"""SELECT doc_id, md5(replace(replace({FOLDED}, 'ae', 'e'), 'oe', 'e')) AS digest FROM documents""", base="")
 twin("event_mentions", """SELECT rid AS source_record_id, 1::BIGINT AS n_events, 0 AS first_start, length(event)::INT AS first_end,
   concept AS first_concept FROM ev""")
 twin("term_assertions", """SELECT rid AS source_record_id, term_says AS assertion, term_site AS value, term_conf::DOUBLE AS confidence,
-  CASE WHEN term_says IS NULL THEN NULL WHEN t = 1 THEN 'negated' WHEN t = 2 THEN 'uncertain' WHEN sk % 3 = 2 THEN 'same_sentence' ELSE 'direct_phrase' END AS rule FROM ev""")
+  CASE WHEN term_says IS NULL THEN NULL WHEN w = 1 THEN 'negated' WHEN w = 2 THEN 'uncertain' WHEN sk % 3 = 1 THEN 'same_sentence' ELSE 'direct_phrase' END AS rule FROM ev""")
 twin("mention_table", """SELECT mention_id, doc_id, study_id, source_kind, a AS assertion, v AS value, surface, c::DOUBLE AS confidence FROM mn""", MENTIONS)
 twin("enriched_modifiers", """SELECT record_id, m_says AS assertion, m_avail AS availability, m_value AS value, m_method AS method, m_variable AS source_variable,
   m_conf::DOUBLE AS confidence, CASE WHEN m_method = 'extracted' THEN 'unresolved' END AS prior_availability FROM rc""")
@@ -466,14 +470,13 @@ twin("assertion_confusion", """SELECT 'assertion' AS matrix, expected AS gold, a
 twin("assertion_summary", """SELECT count(*) AS records, count(*) FILTER (expected = actual) AS correct, count(*) FILTER (expected = 'absent' AND actual <> 'absent') AS negatives_lost,
   count(*) FILTER (expected = 'silent' AND actual <> 'silent') AS silence_invented, count(*) FILTER (expected = 'absent' AND actual = 'absent') AS negatives_recovered,
   count(*) FILTER (expected = actual)::DOUBLE / count(*) AS accuracy FROM ar""", ASSERT)
-twin("assertion_examples", """SELECT rid AS source_record_id, profile, expected, actual FROM ar WHERE expected <> actual
-  ORDER BY study_id, subject_id, rid LIMIT 10""", ASSERT)
+twin("assertion_examples", """SELECT rid AS source_record_id, profile, expected, actual FROM ar WHERE expected <> actual""", ASSERT)
 twin("representation_invariance", """, c AS (SELECT count(*) AS truths_compared, count(*) FILTER (agrees) AS agreeing, count(*) FILTER (nr > 0) AS truths_with_evidence,
   count(*) FILTER (nr > 0 AND ra) AS agreeing_with_evidence FROM ag)
 SELECT *, truths_with_evidence - agreeing_with_evidence AS discordant, agreeing::DOUBLE / truths_compared AS raw_agreement,
   agreeing_with_evidence::DOUBLE / truths_with_evidence AS supported_agreement FROM c""", V2, RENDER)
 ORACLE["representation_invariance"] = ORACLE["representation_invariance"].replace("\n, c AS", ",\nc AS", 1)
-twin("discordant_truths", "SELECT truth_id, reference, verdicts FROM ag WHERE nr > 0 AND NOT ra ORDER BY truth_id LIMIT 20", V2, RENDER)
+twin("discordant_truths", "SELECT truth_id, reference, verdicts FROM ag WHERE nr > 0 AND NOT ra", V2, RENDER)
 twin("study_holdout", "SELECT * FROM cm", V2, CELLS, HOLD, CASE_METRICS)
 twin("holdout_drop", """SELECT round_even(d.sensitivity - h.sensitivity, 4) AS sensitivity_drop, round_even(d.ppv - h.ppv, 4) AS ppv_drop,
   round_even(h.not_ascertainable_rate - d.not_ascertainable_rate, 4) AS not_ascertainable_rate_change
@@ -556,11 +559,11 @@ def bm25(docs: str, terms: list[str], key: str) -> str:
 
 twin("mention_search", """SELECT mention_id, v AS value, round(score, 6) AS score, true AS candidate FROM mn JOIN bm USING (doc_id)
   WHERE a = 'present' ORDER BY score, mention_id LIMIT 40""", MENTIONS, DOCS,
-     bm25("SELECT doc_id, full_text AS body FROM docs", ["eruption", "accompanied"], "doc_id"))
+     bm25("SELECT doc_id, full_text AS body FROM docs", ["exanthem", "together"], "doc_id"))
 twin("mention_browse", """SELECT mention_id, a AS assertion, 0.0::DOUBLE AS score FROM mn WHERE a = 'absent' AND study_id IN ('STUDY-E', 'STUDY-G')
   ORDER BY mention_id LIMIT 30""", MENTIONS)
 twin("document_search", "SELECT doc_id, round(score, 6) AS score FROM bm",
-     bm25("SELECT doc_id, text AS body FROM documents", ["the", "system"], "doc_id"), base="")
+     bm25("SELECT doc_id, text AS body FROM documents", ["the", "of"], "doc_id"), base="")
 twin("dense_rerank", """SELECT vec_id, label, round(list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0)), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 5) AS score
   FROM embeddings""", base="")
 

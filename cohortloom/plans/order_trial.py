@@ -1,7 +1,10 @@
-"""Clinical tables derived from order tables, so that work grows with them.
+"""Clinical tables derived from order tables, for the registered queries.
 
-Customers are subjects, orders are exposures and line items are event rows; keys
-and arithmetic decide everything, so the same rows can be restated in plain SQL.
+Customers are subjects, orders are exposures and line items are event rows, so work grows
+with the tables. Keys and arithmetic decide everything, what a text says included, so the
+same rows can be restated in plain SQL. Some texts say something else than the truth behind
+them (``w`` against ``t``): studies that hold a modifier twice then disagree with themselves,
+and some studies report what was not there.
 """
 
 from __future__ import annotations
@@ -9,34 +12,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .snapshot import Snapshot, document_defaults
+from ..sources.snapshot import Snapshot, document_defaults
 
-# --- fixed values: phrases and templates --------------------------------------
+# sentences of this mapping; the forms inside them are the catalogue's
 EVENT_WORDS = (
-    ("rash", "skin rash", "eruption"), ("erythematous rash", "red rash"),
-    ("maculopapular rash", "morbilliform rash"), ("pruritus", "itching"), ("nausea",),
-    ("neutropenia",),
+    ("exanthem", "rash", "skin rash"), ("erythematous eruption", "red rash"),
+    ("morbilliform rash", "maculopapular rash"), ("itch", "pruritus"), ("feeling sick",),
+    ("low neutrophils",),
 )
 SITE_PHRASES = (
-    ("ORAL", "oral mucosal involvement"), ("ORAL", "mucosal lesions of the mouth"),
-    ("ORAL", "oral ulceration"), ("ORAL", "buccal erosions"), ("ORAL", "stomatitis"),
-    ("OCULAR", "ocular involvement"), ("OCULAR", "conjunctival involvement"),
-    ("GENITAL", "genital erosions"), ("GENITAL", "genital involvement"),
-    ("UNSPECIFIED", "mucosal involvement"), ("UNSPECIFIED", "mucous membrane involvement"),
-    ("UNSPECIFIED", "mucosal erosions"),
+    ("ORAL", "mouth ulceration"), ("OCULAR", "conjunctivitis"), ("UNSPECIFIED", "mucosal lesions"),
+    ("ORAL", "oral ulcers"), ("GENITAL", "genital ulceration"), ("ORAL", "stomatitis"),
+    ("OCULAR", "eye involvement"), ("UNSPECIFIED", "mucosal erosions"), ("ORAL", "buccal erosions"),
+    ("GENITAL", "genital erosions"), ("OCULAR", "ocular involvement"),
+    ("UNSPECIFIED", "mucous membrane involvement"),
 )
-UNSPECIFIED_PHRASES = ("mucosal involvement", "mucous membrane involvement", "mucosal erosions")
-UNLISTED_PHRASES = ("involvement of the wet surfaces", "erosive changes internally",
-                    "lining tissue affected")
-PRESENT_TERMS = ("{e} with {m}", "{e} and {m}", "{e}, {m} noted")
-ABSENT_TERMS = ("{e} without {m}", "{e}, no {m}", "{e}; {m} was absent", "{e}, {m} was not present")
-UNCERTAIN_TERMS = ("{e} with possible {m}", "{e}, query {m}", "{e}; {m} cannot be excluded")
-PRESENT_COMMENTS = ("Investigator comment: {m} confirmed at the study visit.",
-                    "Site clarification: the eruption was accompanied by {m}.")
-ABSENT_COMMENTS = ("Investigator comment: no {m} was seen at any visit.",
-                   "Site clarification: the mucosa was examined and spared.")
-UNCERTAIN_COMMENTS = ("Investigator comment: possible {m}, not confirmed.",)
-COMMENT_HEADER = "*** SYNTHETIC RECORD - COMPUTER GENERATED - NOT REAL PATIENT DATA ***"
+UNSPECIFIED_PHRASES = ("mucosal lesions", "mucosal erosions", "mucous membrane involvement")
+UNLISTED_PHRASES = ("raw patches inside the lip", "a sore wet lining", "blisters on the inner surfaces")
+PRESENT_TERMS = ("{e} with the {m}", "{e} on the trunk plus {m}", "{e} and {m} as well")
+ABSENT_TERMS = ("{e}, negative for {m}", "{e} in absence of {m}", "{e}: {m} not observed",
+                "{e}, {m} was excluded")
+UNCERTAIN_TERMS = ("{e} with suspected {m}", "{e}, equivocal {m}", "{e}, {m} remains unclear")
+PRESENT_COMMENTS = ("Reviewed by the site: {m} present on both visits.",
+                    "Photographs on file. The exanthem came together with {m} at the ward round.")
+ABSENT_COMMENTS = ("On review there is no evidence of {m}.", "Linings looked at and normal.")
+UNCERTAIN_COMMENTS = ("Follow-up pending: possibly {m}.",)
+COMMENT_HEADER = "--- derived from order rows, for tests only ---"
 CONCEPT_BY_KEY = ("RASH", "RASH", "RASH", "RASH_ERYTHEMATOUS", "RASH_MACULOPAPULAR", "PRURITUS",
                   "NAUSEA", "NEUTROPENIA")
 CODE_BY_KEY = ("Rash", "Rash", "Rash", "Rash erythematous", "Rash maculopapular", "Pruritus",
@@ -58,14 +59,20 @@ def day(offset: Column) -> Column:
     return F.date_add(F.lit("2022-01-01").cast("date"), offset.cast("int"))
 
 
-def _events(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per event, with every derived ingredient still typed."""
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys and quantities behind every event: all the joins of the mapping, few columns."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     lines = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"),
         F.min("l_quantity").alias("q"))
     first = orders.groupBy("o_custkey").agg(F.min(F.col("o_orderkey") % 200).alias("first_day"))
     own = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    base = lines.join(own, "l_orderkey").join(first, "o_custkey")
+    return lines.join(own, "l_orderkey").join(first, "o_custkey")
+
+
+def _events(base: DataFrame) -> DataFrame:
+    """One row per event, with every derived ingredient still typed; no join."""
     pk, sk = F.col("pk"), F.col("sk")
     words = F.array(*[F.array(*[F.lit(w) for w in ws]) for ws in (
         EVENT_WORDS[0], EVENT_WORDS[0], EVENT_WORDS[0], *EVENT_WORDS[1:])])
@@ -80,15 +87,19 @@ def _events(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         "site": pick(tuple(s for s, _ in SITE_PHRASES), pk % 12),
         "onset_day": pk % 240,
     })
-    t = F.col("t")
-    phrase = (F.when(t == 1, pick(UNSPECIFIED_PHRASES, pk % 3))
-              .when(t == 4, pick(UNLISTED_PHRASES, pk % 3))
-              .when(t != 3, pick(tuple(p for _, p in SITE_PHRASES), pk % 12)))
-    term = (F.when(t.isin(0, 4), pick(PRESENT_TERMS, sk % 3))
-            .when(t == 1, pick(ABSENT_TERMS, sk % 4)).when(t == 2, pick(UNCERTAIN_TERMS, sk % 3)))
-    remark = (F.when(t.isin(0, 4), pick(PRESENT_COMMENTS, sk % 2))
-              .when(t == 1, pick(ABSENT_COMMENTS, sk % 2))
-              .when(t == 2, pick(UNCERTAIN_COMMENTS, sk % 1)))
+    # what is written, against what is true
+    step = step.withColumn("w", F.when((F.col("study") == 3) & (F.col("t") == 0) & (sk % 13 == 0), 1)
+                           .when((F.col("study") == 4) & (F.col("t") == 1) & (sk % 17 == 0), 0)
+                           .otherwise(F.col("t")))
+    t, w = F.col("t"), F.col("w")
+    phrase = (F.when(w == 1, pick(UNSPECIFIED_PHRASES, pk % 3))
+              .when(w == 4, pick(UNLISTED_PHRASES, pk % 3))
+              .when(w != 3, pick(tuple(p for _, p in SITE_PHRASES), pk % 12)))
+    term = (F.when(w.isin(0, 4), pick(PRESENT_TERMS, sk % 3))
+            .when(w == 1, pick(ABSENT_TERMS, sk % 4)).when(w == 2, pick(UNCERTAIN_TERMS, sk % 3)))
+    remark = (F.when(w.isin(0, 4), pick(PRESENT_COMMENTS, sk % 2))
+              .when(w == 1, pick(ABSENT_COMMENTS, sk % 2))
+              .when(w == 2, pick(UNCERTAIN_COMMENTS, sk % 1)))
     study = F.col("study")
     in_term = ((study == 1) & t.isin(0, 2, 4)) | (study.isin(3, 4) & (t != 3))
     return step.withColumns({
@@ -113,15 +124,16 @@ def _written(date: Column, dmy: Column) -> Column:
     return F.when(dmy, F.date_format(date, "dd-MMM-yyyy")).otherwise(date.cast("string"))
 
 
-def snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
-    """The clinical snapshot behind one directory of order tables."""
+def snapshot(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None) -> Snapshot:
+    """The clinical snapshot behind one directory of order tables.
+
+    ``keys`` is ``base`` written before, for jobs that need several of the tables.
+    """
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     orders = table("orders").select("o_orderkey", "o_custkey")
-    lineitem = table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                        "l_quantity")
-    events = _events(lineitem, orders)
+    events = _events(base(spark, sf_dir) if keys is None else keys)
     flag = F.lit("Y").alias("SYNTHETIC")
     pk, sk, key = F.col("pk"), F.col("sk"), F.col("o_orderkey")
     dmy = F.col("study") == 5

@@ -6,7 +6,6 @@ bigint and ratios double, so a plain SQL engine can restate every result.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +16,9 @@ from ..functions import attrs, stats, text, values
 from ..functions.mentions import MentionReader
 from ..operators import (ablation, aggregates, anchors, compare, episodes, evaluate, extract,
                          normalize, retrieval, runs, scoring, silver, trace)
-from ..sources import order_trial
 from ..sources.scratch import written
 from ..sources.snapshot import fingerprint, with_numbers
+from . import order_trial
 from .trial import Trial
 
 MUCOSAL = "mucosal_involvement"
@@ -29,21 +28,23 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-@lru_cache(maxsize=8)
-def _trial(application: str, spark: SparkSession, sf_dir: str) -> Trial:
-    return Trial(order_trial.snapshot(spark, sf_dir))
-
-
 def trial(spark: SparkSession, sf_dir: str) -> Trial:
-    """The trial behind a directory; plans are kept per application, never data."""
-    return _trial(spark.sparkContext.applicationId, spark, sf_dir)
+    """The trial behind a directory, its event keys joined once and written."""
+    return Trial(order_trial.snapshot(spark, sf_dir, written(order_trial.base(spark, sf_dir), "event-keys")))
 
 
 def query(fn: Callable[[Trial], DataFrame]) -> Callable[[Trial], DataFrame]:
+    """A query that needs several tables of the trial."""
     QUERIES[fn.__name__] = lambda spark, sf_dir: fn(trial(spark, sf_dir))
     return fn
 
 
+def scan_query(fn: Callable[[Trial], DataFrame]) -> Callable[[Trial], DataFrame]:
+    """A query that reads one table of the trial once: nothing is written for it."""
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Trial(order_trial.snapshot(spark, sf_dir)))
+    return fn
+
+
 def table_query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -63,7 +64,7 @@ def n_rows(df: DataFrame, *by: str) -> DataFrame:
 
 # -- sources ------------------------------------------------------------------------
 
-@query
+@scan_query
 def domain_table_scan(t: Trial) -> DataFrame:
     """Event cells with numeric readings beside them, per study."""
     return with_numbers(t.snapshot.ae).groupBy(F.col("STUDYID").alias("study_id")).agg(
@@ -79,12 +80,12 @@ def document_full_text(t: Trial) -> DataFrame:
         F.md5("full_text").alias("digest"))
 
 
-@query
+@scan_query
 def answer_key_counts(t: Trial) -> DataFrame:
     return n_rows(t.snapshot.gold(), "study_id", "true_availability", "true_verdict")
 
 
-@query
+@scan_query
 def truth_renderings(t: Trial) -> DataFrame:
     return t.snapshot.truths().select("truth_id", "concept", "onset_offset_days", "n_renderings",
                                       "rendered_in")
@@ -105,7 +106,7 @@ def linked_row_counts(t: Trial) -> DataFrame:
     return t.snapshot.linked_counts()
 
 
-@query
+@scan_query
 def exposures_by_subject(t: Trial) -> DataFrame:
     return t.snapshot.exposures_by_subject().select("subject_id", "n_exposures",
                                                     whole("first_seq"), whole("last_seq"))
@@ -149,7 +150,7 @@ def codelist_readings(t: Trial) -> DataFrame:
         .select("x.*"), "codelist", "value", "availability")
 
 
-@query
+@scan_query
 def three_state_readings(t: Trial) -> DataFrame:
     """The structured qualifier cell and the seriousness answer, as read."""
     cell = F.col("AEMUCOS")
@@ -173,7 +174,7 @@ def record_dates(t: Trial) -> DataFrame:
         (F.col("onset.note") != "").alias("onset_noted"))
 
 
-@query
+@scan_query
 def exposure_dates(t: Trial) -> DataFrame:
     return t.snapshot.ex.select(
         F.col("USUBJID").alias("subject_id"), F.col("EXSEQ").alias("seq"),
@@ -213,7 +214,7 @@ def canonical_records(t: Trial) -> DataFrame:
         F.array_join("linked_form_ids", ",").alias("linked_forms"))
 
 
-@query
+@scan_query
 def undeclared_studies(t: Trial) -> DataFrame:
     return normalize.undeclared_studies(t.snapshot.ae, t.config).agg(
         F.count(F.lit(1)).alias("n_undeclared"))
@@ -381,11 +382,11 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @table_query
 def folded_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants folded in every document; the digest covers the whole text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", F.md5(F.expr(text.fold("text"))).alias("digest"))
 
 
-@query
+@scan_query
 def event_mentions(t: Trial) -> DataFrame:
     """Event names found in each reported term."""
     found = F.expr(MentionReader(t.config).event_hits("term"))
@@ -396,7 +397,7 @@ def event_mentions(t: Trial) -> DataFrame:
         F.get("e", F.lit(0))["c"].alias("first_concept"))
 
 
-@query
+@scan_query
 def term_assertions(t: Trial) -> DataFrame:
     """What each reported term says by itself, whatever the structured side holds."""
     best = F.expr(MentionReader(t.config).best("term", MUCOSAL, "'reported_term'"))
@@ -425,7 +426,7 @@ def extraction_statistics(t: Trial) -> DataFrame:
     return extract.attempt_summary(t.attempts)
 
 
-@query
+@scan_query
 def answer_validation(t: Trial) -> DataFrame:
     """Answers made up per record by arithmetic, checked like any outside answer."""
     number = F.col("AESEQ").cast("int")
@@ -706,7 +707,7 @@ def evaluation_bundle(t: Trial) -> DataFrame:
 
 # -- order-dependent -----------------------------------------------------------------------------
 
-@query
+@scan_query
 def first_exposure(t: Trial) -> DataFrame:
     return anchors.first_exposure(t.snapshot.ex).select("subject_id", text_date("anchor_date"))
 
@@ -716,12 +717,12 @@ def _changes(t: Trial, rule: str) -> DataFrame:
         "subject_id", text_date("day"), whole("seq"), "before", "dose")
 
 
-@query
+@scan_query
 def dose_increases(t: Trial) -> DataFrame:
     return _changes(t, "dose_increase")
 
 
-@query
+@scan_query
 def dose_decreases(t: Trial) -> DataFrame:
     return _changes(t, "dose_decrease")
 
@@ -776,7 +777,7 @@ def verdict_upsert(t: Trial) -> DataFrame:
 
 @query
 def mention_search(t: Trial) -> DataFrame:
-    return t.discover("eruption accompanied", assertion=["present"], top_k=40).select(
+    return t.discover("exanthem together", assertion=["present"], top_k=40).select(
         "mention_id", "value", F.round("score", 6).alias("score"), "candidate")
 
 
@@ -791,7 +792,7 @@ def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         "doc_id", F.lit("document").alias("kind"), F.col("text").alias("full_text"))
-    return retrieval.bm25(retrieval.text_index(docs), "the system").select(
+    return retrieval.bm25(retrieval.text_index(docs), "the of").select(
         "doc_id", F.round("score", 6).alias("score"))
 
 

@@ -12,8 +12,12 @@ from ..config import TrialConfig
 from ..definitions import Definition, shipped_definitions
 from ..operators import (ablation, aggregates, compare, episodes, evaluate, extract, normalize,
                          retrieval, runs, scoring, silver, trace)
+from ..sources.scratch import written
 from ..sources.snapshot import Snapshot
 
+#: The modifier that views take where none is named.
+MODIFIER = "mucosal_involvement"
+
 
 class Trial:
     """Plans are built once and reused; nothing runs until a result is asked for."""
@@ -58,11 +62,6 @@ class Trial:
     def attributes(self) -> DataFrame:
         return normalize.attribute_table(self.records, self.config)
 
-    def persist(self) -> "Trial":
-        """Keep the records for a bundle of jobs; the caller unpersists."""
-        self.records.persist()
-        return self
-
     # -- evaluation ---------------------------------------------------------------
     def structured_assignments(self, definition: str) -> DataFrame:
         """The definition over structured reading alone."""
@@ -75,29 +74,27 @@ class Trial:
     def assignments(self, definition: Definition | str, studies: Sequence[str] | None = None
                     ) -> DataFrame:
         d = self.definitions[definition] if isinstance(definition, str) else definition
-        if d.key not in self._evaluated:
+        kept = d.content_hash
+        if kept not in self._evaluated:
             # without a modifier criterion no prose can matter, so none is read
             recs = self.records if d.modifiers else self.structured
-            self._evaluated[d.key] = evaluate.evaluate(recs, d, self.config, self.snapshot.ex)
-        return aggregates.study_filter(self._evaluated[d.key], studies)
+            self._evaluated[kept] = evaluate.evaluate(recs, d, self.config, self.snapshot.ex)
+        return aggregates.study_filter(self._evaluated[kept], studies)
 
     def supportability(self, modifier: str) -> DataFrame:
         """Which studies can answer at all, from declared metadata; no patient row is read."""
-        rows = [(p.study_id, p.profile_id, *p.support(modifier),
-                 [h.home_id for h in p.homes.get(modifier, ())])
-                for p in sorted(self.config.profiles.values(), key=lambda p: p.study_id)]
         return self.spark.createDataFrame(
-            rows, "study_id string, profile string, status string, reason string, "
+            self.config.support(modifier), "study_id string, profile string, status string, reason string, "
                   "homes array<string>")
 
     def supportable(self, df: DataFrame, modifier: str) -> DataFrame:
         """Rows of studies that can answer; the short list prunes partitions."""
-        able = [p.study_id for p in self.config.profiles.values()
-                if p.support(modifier)[0] != "cannot_ascertain"]
+        able = [study for study, _, status, _, _ in self.config.support(modifier)
+                if status != "cannot_ascertain"]
         return df.filter(F.col("study_id").isin(*sorted(able)))
 
     # -- prose ----------------------------------------------------------------------
-    def mentions(self, modifier: str = "mucosal_involvement") -> DataFrame:
+    def mentions(self, modifier: str = MODIFIER) -> DataFrame:
         return extract.mention_table(self.structured, self.snapshot.documents, self.config,
                                      modifier)
 
@@ -105,7 +102,7 @@ class Trial:
     def attempts(self) -> DataFrame:
         return extract.attempts(self.structured, self.snapshot.documents, self.config, self.reader)
 
-    def silver(self, modifier: str = "mucosal_involvement") -> DataFrame:
+    def silver(self, modifier: str = MODIFIER) -> DataFrame:
         return silver.comparisons(self.linked, self.snapshot.documents, self.config, modifier)
 
     # -- jobs -------------------------------------------------------------------------
@@ -127,7 +124,7 @@ class Trial:
             self.records, self.definitions[a], self.definitions[b], self.config,
             self.snapshot.ex))
 
-    def flat(self, modifier: str = "mucosal_involvement") -> DataFrame:
+    def flat(self, modifier: str = MODIFIER) -> DataFrame:
         return retrieval.flat_records(self.records, modifier)
 
     def retrieve(self, definition: str | None = None, **filters) -> DataFrame:
@@ -159,10 +156,18 @@ class Trial:
                                                     self.snapshot.dm),
                 "trace": chain}
 
-    def evaluation(self, definition: str, holdout: Sequence[str] | None = None) -> DataFrame:
-        """The full evaluation as one long table (section, key, metric, value)."""
-        gold = self.snapshot.gold()
-        assigned = self.assignments(definition)
+    def evaluation(self, definition: str, holdout: Sequence[str] | None = None,
+                   modifier: str | None = None) -> DataFrame:
+        """The full evaluation as one long table (section, key, metric, value).
+
+        The judged records, the answers, the comparison and the ablation are each read by
+        several sections, so they are written once. ``modifier`` is the first one that the
+        definition asks for, unless named.
+        """
+        d = self.definitions[definition]
+        modifier = modifier or next((m.name for m in d.modifiers), MODIFIER)
+        gold = written(self.snapshot.gold(), "evaluation-gold")
+        assigned = written(self.assignments(definition), "evaluation-judged")
         parts = []
 
         def add(section: str, df: DataFrame, *keys: str) -> None:
@@ -177,18 +182,19 @@ class Trial:
                                               "key"), "scope", "key")
         add("denominators", aggregates.denominators(assigned, overall=True).drop("profile"),
             "study_id")
-        rows = scoring.assertion_rows(self.records, gold, "mucosal_involvement")
+        rows = scoring.assertion_rows(self.records, gold, modifier)
         add("assertion", scoring.assertion_summary(scoring.assertion_cells(rows)))
         held = scoring.holdout_split(self.config, holdout)
-        moved = scoring.case_metrics(scoring.holdout_cells(assigned, gold, held), "scope", "key")
+        moved = written(scoring.case_metrics(scoring.holdout_cells(assigned, gold, held), "scope", "key"),
+                        "evaluation-holdout")
         add("holdout", moved, "scope", "key")
         add("holdout_drop", scoring.holdout_drop(moved))
         add("invariance", scoring.invariance(scoring.truth_agreement(
             scoring.renderings(assigned, gold))))
-        compared = self.silver()
+        compared = written(self.silver(modifier), "evaluation-silver")
         add("silver", silver.metrics(compared), "scope", "key")
         add("calibration", silver.calibration(compared))
-        staged = self.ablation(definition)
+        staged = written(self.ablation(definition), "evaluation-ablation")
         add("ablation", ablation.stage_metrics(staged).drop("position"), "stage")
         add("increment", ablation.increments(staged).select(
             "to_stage", "added_cases", "added_correct", "precision_on_added", "relative_gain"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
-from pathlib import Path
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,8 +44,17 @@ def with_numbers(df: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Documents from JSON lines, with defaults for what a line leaves out."""
-    raw = spark.read.schema(schema.DOCUMENTS).json(path)
-    return document_defaults(raw.filter(F.col("doc_id").isNotNull()))
+    lines = spark.read.schema(schema.DOCUMENTS).json(path).filter(F.col("doc_id").isNotNull()).select(
+        "*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"))
+    return document_defaults(last_of_each(lines, ["file", "block", "line"]))
+
+
+def last_of_each(documents: DataFrame, order: list[str]) -> DataFrame:
+    """One row per document id: the one that comes last in ``order``, whose columns then go."""
+    own = [c for c in documents.columns if c not in order]
+    kept = documents.groupBy("doc_id").agg(F.max_by(F.struct(*own), F.struct(*order)).alias("d"))
+    return kept.select("d.*")
 
 
 def document_defaults(df: DataFrame) -> DataFrame:
@@ -252,11 +260,11 @@ def fingerprint(df: DataFrame, name: str) -> DataFrame:
     ).select(F.lit(name).alias("input"), "n_rows", "row_sum", "row_xor")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Does the path exist on the file system that the session, and so every executor, reads?"""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def _first_existing(spark: SparkSession, path: str) -> str | None:
-    """The path when it exists on whatever file system the session reads."""
-    if Path(path).exists():
-        return path
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return path if fs.exists(target) else None
+    return path if exists(spark, path) else None

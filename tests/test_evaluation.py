@@ -215,7 +215,7 @@ def test_invariance(spark):
 
 
 def test_same_answer_under_other_partitioning(spark, whole_trial):
-    from cohortloom.plans.queries import order_trial
+    from cohortloom.plans import order_trial
     before = {tuple(r) for r in evaluate.cases(whole_trial.assignments(TOX)).select(
         "record_id", "verdict").collect()}
     spark.conf.set("spark.sql.shuffle.partitions", "3")

@@ -140,7 +140,7 @@ def test_config_is_checked(config):
         config.surface_forms("unknown")
     bad = dict(config.profiles_raw, profiles={"P": {"modifier_homes": {MODIFIER: "attic"}}})
     with pytest.raises(ConfigError):
-        TrialConfig(config.concepts_raw, config.extraction_raw, bad).profiles
+        TrialConfig(config.concepts_raw, config.extraction_raw, bad).places
 
 
 def test_config_files(tmp_path, config):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators import retrieval, runs, trace
 from cohortloom.plans.trial import Trial
-from cohortloom.sources import registry, scratch
+from cohortloom.sources import registry, scratch, snapshot
 from cohortloom.sources.snapshot import (IngestError, Snapshot, duplicate_documents, fingerprint,
                                          with_numbers)
 
@@ -164,6 +164,11 @@ def test_retrieval_tables(spark, loaded, tmp_path):
     assert {r[0] for r in retrieval.stored_studies(flat).collect()} == {"STUDY-A", "STUDY-G"}
     with pytest.raises(Exception, match="unknown concept"):
         retrieval.retrieve(flat, t.config, concept="NOBODY")
+    # a second definition is written over the first one's table: verdicts it does not give stay
+    again = spark.read.parquet(retrieval.update_verdicts(path, t.assignments("graded_toxicity.v1")))
+    kept = {r["record_id"]: r["definition_id"] for r in again.filter("verdict is not null").collect()}
+    assert kept["STUDY-A:R1"] == "cutaneous_mucosal"
+    assert retrieval.current_records(spark, path)[0] == 2
 
 
 def test_search_results_are_no_cohort(loaded):
@@ -183,6 +188,33 @@ def test_rerank(spark):
                                     "mention_id string, embedding array<float>")
     assert [r["mention_id"] for r in retrieval.rerank(rows, vectors, [1.0, 0.1]).collect()] == [
         "a", "c", "b"]
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id int, query array<float>")
+    both = retrieval.rerank(rows, vectors, queries, top_k=1).collect()
+    assert [(r["query_id"], r["mention_id"]) for r in both] == [(1, "a"), (2, "b")]
+    with pytest.raises(Exception, match="query_id"):
+        retrieval.rerank(rows, vectors, queries.drop("query_id")).collect()
+
+
+def test_edited_definition_is_judged_anew(loaded, tmp_path):
+    from dataclasses import replace
+    t = Trial(loaded)
+    d = t.definition(V2)
+    before = {r["record_id"]: r["verdict"] for r in t.assignments(d).collect()}
+    closed = replace(d, temporal=replace(d.temporal, minimum=-2, maximum=-1))
+    after = {r["record_id"]: r["verdict"] for r in t.assignments(closed).collect()}
+    assert closed.key == d.key and closed.content_hash != d.content_hash
+    assert "case" in before.values() and "case" not in after.values()
+    first, _ = runs.execute(t, d, str(tmp_path / "res"), str(tmp_path / "runs"))
+    moved = {x["part"] for x in runs.replay(t, first["manifest_id"], closed, str(tmp_path / "res"),
+                                            str(tmp_path / "runs"))["differences"]}
+    assert {"definition", "results hash", "manifest id"} <= moved
+
+
+def test_last_duplicate_document_wins(spark, tmp_path):
+    (tmp_path / "documents.jsonl").write_text("\n".join(
+        '{"doc_id": "D1", "text": "%s"}' % t for t in ("first", "second", "last")) + '\n{"doc_id": "D2", "text": "own"}')
+    got = {r["doc_id"]: r["text"] for r in snapshot.read_documents(spark, str(tmp_path / "documents.jsonl")).collect()}
+    assert got == {"D1": "last", "D2": "own"}
 
 
 def test_written_tables_survive_reuse(spark, tmp_path, monkeypatch):
