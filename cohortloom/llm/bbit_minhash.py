@@ -351,7 +351,7 @@ def _by_sets(percent: int) -> Callable:
 
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n (set size), s1, s2 (128-bit hash of the set), bands, sig: one pass, no shuffle."""
+    """doc_id, mark, n (set size), s1, s2 (128-bit hash of the set), bands, sig: one pass, no shuffle."""
     def look(part: pa.RecordBatch) -> pa.RecordBatch:
         hashes, bounds = shingle_sets(utf8(part, "text"), width)
         sizes = np.diff(bounds)
@@ -363,14 +363,14 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
         s1, s2 = _set_hash(hashes, bounds)
         sig = packed(mins)
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(s1.view(np.int64)),
+            [part.column("doc_id"), part.column("mark"), pa.array(sizes, pa.int64()), pa.array(s1.view(np.int64)),
              pa.array(s2.view(np.int64)),
              pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32),
                                       pa.array(bands.reshape(-1).view(np.int64))),
              pa.array([s.tobytes() for s in sig], pa.binary())],
-            names=["doc_id", "n", "s1", "s2", "bands", "sig"])
+            names=["doc_id", "mark", "n", "s1", "s2", "bands", "sig"])
 
-    return map_texts(docs, "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary", look)
+    return map_texts(docs, "doc_id long, mark long, n long, s1 long, s2 long, bands array<long>, sig binary", look)
 
 
 def _set_hash(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -394,13 +394,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     rows are kept). Empty tables give no rows; extra columns are not read.
     """
     slim = keyed_text(docs, id_col, text_col).withColumn(
-        "doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
+        "doc_id", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("mark", F.xxhash64("text"))
     signed = written(signatures(slim, width), "bbit-signatures")
     filled = signed.filter("n > 0")
     # classes go by a number of their own: ids may repeat between different texts
     classes = written(filled.groupBy("s1", "s2", "n").agg(
-        F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-        .withColumn("cls", F.monotonically_increasing_id()), "bbit-classes")
+        F.min(F.struct("doc_id", "mark")).alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        .withColumn("cls", F.monotonically_increasing_id()), "bbit-classes") \
+        .withColumns({"least_id": F.col("least.doc_id"), "least_mark": F.col("least.mark")})
     entries = classes.select(F.explode("bands").alias("grp"), F.col("cls").alias("id"))
     crowded = entries.groupBy("grp").agg(
         F.count(F.lit(1)).alias("k"), F.min("id").alias("low"), F.max("id").alias("high"),
@@ -413,10 +414,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     likely = _linked(entries, BUCKET_ROWS, _by_signature(least, percent), "bbit-likely")
     groups = components(likely, "bbit-groups")
     # the full sets of the classes in groups, read again from the texts
-    wanted = groups.join(classes.select(F.col("cls").alias("id"), F.col("least_id").alias("want_id"), "s1", "s2"),
-                         "id").select("want_id", "s1", "s2", F.col("component").alias("grp"),
+    wanted = groups.join(classes.select(F.col("cls").alias("id"), F.col("least_id").alias("want_id"),
+                                        F.col("least_mark").alias("want_mark"), "s1", "s2"),
+                         "id").select("want_id", "want_mark", "s1", "s2", F.col("component").alias("grp"),
                                       F.col("id").alias("cls"))
-    again = slim.join(wanted, F.col("doc_id") == F.col("want_id"))
+    again = slim.join(wanted, (F.col("doc_id") == F.col("want_id")) & (F.col("mark") == F.col("want_mark")))
     sets = written(_sets(again, width).dropDuplicates(["id"]), "bbit-sets").withColumn("weight", F.col("n"))
     links = _linked(sets, GROUP_ELEMENTS, _by_sets(percent), "bbit-exact")
     found = components(links, "bbit-components")
@@ -451,3 +453,14 @@ def _sets(joined: DataFrame, width: int) -> DataFrame:
 
     return joined.select("text", "s1", "s2", "grp", "cls").mapInArrow(
         run, "grp long, id long, n long, load binary")
+
+
+def keep_one(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are not near-duplicates of a row with a lesser id.
+
+    Rows with equal ids stay or go together; rows without an id stay.
+    """
+    gone = near_duplicates(docs, percent, width, id_col, text_col).filter("not kept") \
+        .select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, F.col(id_col).cast("bigint") == F.col("gone_id"), "left_anti")

@@ -1,4 +1,4 @@
-"""What the operators share: table access, bounded Arrow batches, running totals over a sorted table."""
+"""What the operators share: table access and bounded Arrow batches."""
 
 from __future__ import annotations
 
@@ -7,11 +7,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
-
 #: White space that ends a word, a line's margin or a token unit in the contracts: space, tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,27 +64,6 @@ def map_texts(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Reco
     return df.mapInArrow(run, schema)
 
 
-def sorted_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """The table in the order of ``order``, written once, with ``part`` and ``place``.
-
-    Rows are dealt by sampled ranges, so no key, however common, sits in one task as long
-    as ``order`` ends in something that tells rows apart. ``part`` grows with the order and
-    ``place`` counts from 0 inside it. Writing fixes both for every later reader.
-    """
-    laid = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-            .withColumn("row_mark", F.monotonically_increasing_id()))
-    kept = written(laid, name)
-    return kept.select(*df.columns, F.shiftright("row_mark", 33).alias("part"),
-                       F.col("row_mark").bitwiseAND((1 << 33) - 1).alias("place"))
-
-
-def before(totals: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Sum of ``value`` over the earlier parts: one row per part (and group), so the window stays small."""
-    window = Window.partitionBy(*(by or [])).orderBy("part").rowsBetween(
-        Window.unboundedPreceding, -1)
-    return totals.withColumn(out, F.coalesce(F.sum(value).over(window), F.lit(0)))
-
-
 def blank_free(column: Column) -> Column:
     return F.btrim(column, F.lit(BLANKS))
 

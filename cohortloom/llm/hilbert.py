@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranges import before, sorted_rows
 from ..sources.scratch import written
-from .common import before, sorted_rows
 
 #: Bits of a column's cell; the curve has 2 ** (bits * columns) cells.
 BITS = 5

@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranges import before, sorted_rows
 from ..sources.scratch import written
-from .common import before, sorted_rows, steps
+from .common import steps
 from .units import ENCODE_BYTES, encoder
 
 WINDOW = 2048

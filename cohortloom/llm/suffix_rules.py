@@ -10,13 +10,14 @@ the union of those spans is the union of all maximal repeated substrings.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keyed_text, map_texts, utf8
+from .common import keyed_text, map_texts, steps, utf8
 
 _SYMBOLS = b"#*$%&|<>"
 _BLANKS = b" \t\n\x0b\x0c\r"
@@ -178,20 +179,9 @@ def repetition(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id
 
 def keep_good(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that the rules keep; works on the rows where they lie."""
-    names = docs.columns
-
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = utf8(batch, text_col)
-            keep = []
-            at = 0
-            while at < len(data):
-                stop, held = at, 0
-                while stop < len(data) and (stop == at or held + len(data[stop] or b"") < 2_000_000):
-                    held += len(data[stop] or b"")
-                    stop += 1
-                keep += list(measure(data[at:stop], limits)["kept"])
-                at = stop
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.select(*names).mapInArrow(run, docs.schema)
+            for part in steps(batch, text_col):
+                yield part.filter(pa.array(measure(utf8(part, text_col), limits)["kept"], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -132,62 +132,81 @@ def _furniture(node: Node, in_article: bool) -> bool:
     return bool(_FURNITURE.search(names)) and not _KEEPS.search(names)
 
 
-def _prune(node: Node, in_article: bool = False) -> None:
-    inside = in_article or node.tag == "article"
-    node.children = [c for c in node.children if isinstance(c, str) or not _furniture(c, inside)]
-    for child in node.children:
-        if not isinstance(child, str):
-            _prune(child, inside)
-
-
-def _pieces(node: Node, out: list[str], linked: bool, links: list[int]) -> None:
-    """Text of a subtree; blocks and line breaks stand apart, links' characters are counted."""
-    linked = linked or node.tag == "a"
-    apart = node.tag in _BLOCK or node.tag == "br"
-    if apart:
-        out.append(" ")
-    for child in node.children:
-        if isinstance(child, str):
-            text = html.unescape(child)
-            out.append(text)
-            if linked:
-                links[0] += len(text.strip())
-        else:
-            _pieces(child, out, linked, links)
-    if apart:
-        out.append(" ")
-
-
-def _read(node: Node) -> tuple[str, float]:
-    """Text with single spaces, and the share of it inside links."""
-    out, links = [], [0]
-    _pieces(node, out, False, links)
-    text = " ".join("".join(out).split())
-    return text, min(1.0, links[0] / len(text)) if text else 0.0
+def _prune(root: Node) -> None:
+    """Take furniture out of the tree. Trees may be deep, so no walk here is recursive."""
+    stack = [(root, False)]
+    while stack:
+        node, in_article = stack.pop()
+        inside = in_article or node.tag == "article"
+        node.children = [c for c in node.children if isinstance(c, str) or not _furniture(c, inside)]
+        stack += [(c, inside) for c in node.children if not isinstance(c, str)]
+
+
+def _nodes(root: Node) -> list[Node]:
+    """All nodes, each after its parent."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack += [c for c in reversed(node.children) if not isinstance(c, str)]
+    return out
+
+
+def _read(node: Node) -> str:
+    """Text of a subtree with single spaces; blocks and line breaks stand apart."""
+    out, stack = [], [node]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            out.append(html.unescape(item) if item != " " else item)
+            continue
+        apart = item.tag in _BLOCK or item.tag == "br"
+        if apart:
+            out.append(" ")
+            stack.append(" ")
+        stack += reversed(item.children)
+    return " ".join("".join(out).split())
 
 
 def _own_text(node: Node) -> str:
     return " ".join(html.unescape("".join(c for c in node.children if isinstance(c, str))).split())
 
 
-def _score(node: Node, scored: list[Node]) -> None:
-    for child in node.children:
-        if not isinstance(child, str):
-            _score(child, scored)
-    own = _read(node)[0] if node.tag in _PARAGRAPHS and not any(
-        not isinstance(c, str) and c.tag in _BLOCK for c in node.children) else \
-        _own_text(node) if node.tag in _BLOCK and node.tag not in ("html", "body") else ""
-    if not own:
-        return
-    points = 1 + own.count(",") + own.count("،") + own.count("、") + min(len(own) / 100, 3)
-    up, level = (node if node.tag not in _PARAGRAPHS else node.parent), 0
-    while up is not None and up.tag != "#root" and level < 4:
-        if not up.score:
-            scored.append(up)
-            up.score = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 3.0, "td": 3.0,
-                        "ul": -3.0, "ol": -3.0, "form": -3.0}.get(up.tag, 0.0) or 0.01
-        up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-        up, level = up.parent, level + 1
+def _measure(nodes: list[Node]) -> dict[int, tuple[int, int]]:
+    """Characters of each subtree, and how many of them are inside links."""
+    found: dict[int, list[int]] = {id(n): [0, 0] for n in nodes}
+    for node in reversed(nodes):
+        total = found[id(node)]
+        total[0] += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        if node.tag == "a":
+            total[1] = total[0]
+        if node.parent is not None and id(node.parent) in found:
+            up = found[id(node.parent)]
+            up[0] += total[0]
+            up[1] += total[1]
+    return {k: (v[0], v[1]) for k, v in found.items()}
+
+
+def _score(nodes: list[Node]) -> list[Node]:
+    """Give every paragraph's points to its ancestors; the containers that got any."""
+    scored: list[Node] = []
+    for node in nodes:
+        leaf = node.tag in _PARAGRAPHS and not any(
+            not isinstance(c, str) and c.tag in _BLOCK for c in node.children)
+        own = _read(node) if leaf else \
+            _own_text(node) if node.tag in _BLOCK and node.tag not in ("html", "body") else ""
+        if not own:
+            continue
+        points = 1 + own.count(",") + own.count("،") + own.count("、") + min(len(own) / 100, 3)
+        up, level = (node if node.tag not in _PARAGRAPHS else node.parent), 0
+        while up is not None and up.tag != "#root" and level < 4:
+            if not up.score:
+                scored.append(up)
+                up.score = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 3.0, "td": 3.0,
+                            "ul": -3.0, "ol": -3.0}.get(up.tag, 0.01)
+            up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+            up, level = up.parent, level + 1
+    return scored
 
 
 def extract(source: str | None) -> str:
@@ -196,25 +215,32 @@ def extract(source: str | None) -> str:
         return ""
     root = parse(source)
     _prune(root)
-    scored: list[Node] = []
-    _score(root, scored)
+    nodes = _nodes(root)
+    scored = _score(nodes)
     if not scored:
-        return _read(root)[0]
-    worth = {id(n): n.score * (1 - _read(n)[1]) for n in scored}
+        return _read(root)
+    sizes = _measure(nodes)
+
+    def density(node: Node) -> float:
+        total, linked = sizes[id(node)]
+        return linked / total if total else 0.0
+
+    worth = {id(n): n.score * (1 - density(n)) for n in scored}
     best = max(scored, key=lambda n: worth[id(n)])
-    if best.tag in ("html", "body") or best.parent is None or best.tag == "article":
-        return _read(best)[0]
+    if best.tag in ("html", "body", "article") or best.parent is None:
+        return _read(best)
     least = max(10.0, 0.2 * worth[id(best)])
     kept = []
     for sibling in best.parent.children:
         if isinstance(sibling, str):
             continue
         if sibling is best or worth.get(id(sibling), 0.0) >= least:
-            kept.append(_read(sibling)[0])
+            kept.append(_read(sibling))
         elif sibling.tag in _PARAGRAPHS:
-            text, density = _read(sibling)
-            if text and (density < 0.25 if len(text) > 80 or sibling.tag[0] == "h"
-                         else density == 0 and text.rstrip("\"')")[-1:] in ".!?"):
+            text, share = _read(sibling), density(sibling)
+            prose = share < 0.25 if len(text) > 80 or sibling.tag[0] == "h" \
+                else share == 0 and text.rstrip("\"')")[-1:] in (".", "!", "?")
+            if text and prose:
                 kept.append(text)
     return " ".join(t for t in kept if t)
 

@@ -10,13 +10,13 @@ words decides.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, map_texts, utf8
+from .common import keyed_text, map_texts, steps, utf8
 
 #: Byte table: A-Z to lower case, every ASCII character but letters and digits to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32
@@ -101,15 +101,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     Null or wordless texts have no words and no hits; items without words or id match
     nothing; an empty benchmark gives rows without hits; repeated rows stay separate.
     """
-    patterns = windows(benchmark, size, item_col, item_text)
-    n = patterns.count()
-    slices = max(1, -(-n // slice_windows))
+    slices = _slices(windows(benchmark, size, item_col, item_text), slice_windows)
     source = keyed_text(docs, id_col, text_col)
-    if slices == 1:
-        return _search(source, patterns.collect(), keep_spans=False)
+    if len(slices) == 1:
+        return _search(source, slices[0].collect(), keep_spans=False)
     source = source.withColumn("row_mark", F.monotonically_increasing_id())
-    parts = [_search(source, patterns.filter(F.pmod(F.xxhash64("window"), F.lit(slices)) == k)
-                     .collect(), keep_spans=True) for k in range(slices)]
+    parts = [_search(source, part.collect(), keep_spans=True) for part in slices]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
@@ -125,9 +122,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     return whole.select("doc_id", "n_words", covered.alias("n_hit"), "items")
 
 
+def _slices(patterns: DataFrame, slice_windows: int) -> list[DataFrame]:
+    """The patterns in parts that are each small enough to collect and broadcast."""
+    n = max(1, -(-patterns.count() // slice_windows))
+    return [patterns.filter(F.pmod(F.xxhash64("window"), F.lit(n)) == k) for k in range(n)]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text",
+          item_col: str = "item_id", item_text: str = "text", slice_windows: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, in whose text no benchmark window occurs; no shuffle."""
+    for part in _slices(windows(benchmark, size, item_col, item_text), slice_windows):
+        docs = _without(docs, part.collect(), text_col)
+    return docs
+
+
+def _without(docs: DataFrame, patterns: list, text_col: str) -> DataFrame:
+    shared = _shared(docs, patterns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher = Searcher((tuple(w.encode().split(b" ")), i) for w, i in shared.value)
+        for batch in batches:
+            for part in steps(batch, text_col):
+                yield part.filter(pa.array([not searcher.spans(words_of(t)) for t in utf8(part, text_col)],
+                                           pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _shared(docs: DataFrame, patterns: list):
+    return docs.sparkSession.sparkContext.broadcast([(p["window"], tuple(p["items"])) for p in patterns])
+
+
 def _search(source: DataFrame, patterns: list, keep_spans: bool) -> DataFrame:
-    shared = source.sparkSession.sparkContext.broadcast(
-        [(p["window"], tuple(p["items"])) for p in patterns])
+    shared = _shared(source, patterns)
     searcher: list[Searcher] = []
     extra = ["row_mark"] if keep_spans else []
     schema = "doc_id long, n_words long, " + ("row_mark long, spans array<struct<start:long,stop:long>>, "
