@@ -579,3 +579,29 @@ twin("case_sets", "SELECT record_id, study_id, case_change FROM bo WHERE case_ch
 twin("manifest_preview", f"""SELECT count(*) AS n_records, count(*) FILTER (verdict = 'case') AS n_case, count(*) FILTER (verdict = 'non_case') AS n_non_case,
   count(*) FILTER (verdict = 'review') AS n_review, count(*) FILTER (verdict = 'not_ascertainable') AS n_not_ascertainable,
   count(*) FILTER (verdict = 'case' AND m_method = 'extracted') AS n_cases_from_text, count(*) FILTER (verdict = 'case') AS n_cases_with_direct_evidence FROM v2""", V2)
+
+# -- the evaluation as one long table: the twins above, one row per number ------------------------
+def long_form(section: str, sql: str, *keys: str) -> str:
+    key = f"concat_ws('/', {', '.join(keys)})" if keys else "'ALL'"
+    left_out = f"EXCLUDE ({', '.join(keys)})" if keys else ""
+    held = f"SELECT {''.join(k + ', ' for k in keys)}COLUMNS(* {left_out})::DOUBLE FROM ({sql})"
+    return (f"SELECT '{section}' AS section, {key} AS key, metric, value FROM ({held}) "
+            f"UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(* {left_out})))")
+
+
+_DROPS = f"""SELECT d.sensitivity - h.sensitivity AS sensitivity_drop, d.ppv - h.ppv AS ppv_drop,
+  h.not_ascertainable_rate - d.not_ascertainable_rate AS not_ascertainable_rate_change
+  FROM ({ORACLE['study_holdout']}) d, ({ORACLE['study_holdout']}) h WHERE d.key = 'development' AND h.key = 'held_out'"""
+_ADDED = f"SELECT to_stage, added_cases, added_correct, precision_on_added, relative_gain FROM ({ORACLE['ablation_increments']})"
+ORACLE["evaluation_bundle"] = " UNION ALL ".join((
+    long_form("phenotype", ORACLE["phenotype_scores"], "scope", "key"),
+    long_form("denominators", f"SELECT * EXCLUDE (profile) FROM ({ORACLE['narrative_denominators']})", "study_id"),
+    long_form("assertion", ORACLE["assertion_summary"]),
+    long_form("holdout", ORACLE["study_holdout"], "scope", "key"),
+    long_form("holdout_drop", _DROPS),
+    long_form("invariance", ORACLE["representation_invariance"]),
+    long_form("silver", ORACLE["silver_metrics"], "scope", "key"),
+    long_form("calibration", ORACLE["silver_calibration"]),
+    long_form("ablation", ORACLE["ablation_stages"], "stage"),
+    long_form("increment", _ADDED, "to_stage"),
+))
