@@ -280,7 +280,24 @@ twin("truth_renderings", """SELECT truth_id, concept, off_true AS onset_offset_d
 twin("snapshot_fingerprint", """, r AS (SELECT 'ex' AS input, concat_ws(chr(31), coalesce(CASE WHEN dose IS NOT NULL THEN CAST(dose AS INT)::VARCHAR END, chr(30)), 'mg',
     coalesce(en::VARCHAR, chr(30)), seq::VARCHAR, st::VARCHAR, 'STUDY DRUG', 'STUDY-' || substr('ABCDEFG', CAST(k % 7 AS INT) + 1, 1), 'Y', subject_id) AS row_text FROM ex
   UNION ALL SELECT 'sc', concat_ws(chr(31), 'AESPID', rid, CASE said WHEN 'present' THEN 'Y' WHEN 'absent' THEN 'N' ELSE 'U' END, 'Mucosal involvement', 'MUCOSAL',
-    study_id, 'Y', subject_id) FROM ev WHERE s = 5 AND t <> 3),
+    study_id, 'Y', subject_id) FROM ev WHERE s = 5 AND t <> 3
+  UNION ALL SELECT 'dm', concat_ws(chr(31), (21 + c_custkey % 62)::VARCHAR, c_mktsegment, coalesce(n_name, chr(30)),
+    ['P_structured','P_text','P_absent','P_both','P_negated','P_version','P_concept_variant'][CAST(c_custkey % 7 AS INT) + 1], chr(30),
+    CASE WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'F' END, 'STUDY-' || substr('ABCDEFG', CAST(c_custkey % 7 AS INT) + 1, 1), 'Y', 'C-' || c_custkey)
+    FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey
+  UNION ALL SELECT 'ae', concat_ws(chr(31), ['none','dose reduced','drug-interrupted','drug withdrawn','unknown'][CAST(pk % 5 AS INT) + 1], code, version,
+    coalesce(CASE WHEN s = 5 THEN strftime(ends, '%d-%b-%Y') ELSE ends::VARCHAR END, chr(30)), grade::VARCHAR,
+    coalesce(CASE WHEN s IN (0, 3) THEN CASE WHEN t IN (0, 4) THEN 'Y' WHEN t = 1 THEN 'N' WHEN t = 2 THEN 'U' END END, chr(30)),
+    ['recovered','resolved','recovering','ongoing','not-recovered'][CAST(pk % 5 AS INT) + 1],
+    ['not related','unlikely','possible','Possibly related','probable','no idea'][CAST(sk % 6 AS INT) + 1],
+    coalesce(CASE WHEN pk % 7 = 0 THEN ['hospitalisation','other_medically_important','hospitalisation | disability'][CAST(sk % 3 AS INT) + 1] END, chr(30)),
+    ln::VARCHAR, CASE WHEN pk % 7 = 0 THEN 'Y' ELSE 'N' END,
+    coalesce(CASE WHEN sk % 31 <> 0 THEN ['mild','Moderate','grade 3'][(grade - 1) % 3 + 1] END, chr(30)), rid,
+    coalesce(CASE WHEN sk % 23 = 0 THEN NULL WHEN sk % 29 = 0 THEN strftime(onset_true, '%Y-%m')
+      WHEN s = 5 THEN strftime(onset_true, '%d-%b-%Y') ELSE onset_true::VARCHAR END, chr(30)), aeterm, study_id, 'Y', subject_id) FROM ev
+  UNION ALL SELECT 'co', concat_ws(chr(31), '1', remark, rid || '-CO', 'AESPID', rid, study_id, 'Y', subject_id) FROM ev WHERE in_comment
+  UNION ALL SELECT 'documents', concat_ws(chr(31), rid || '-CO', '--- derived from order rows, for tests only ---', 'comment', rid, study_id, subject_id, remark)
+    FROM ev WHERE in_comment),
 h AS (SELECT input, sha256(row_text) AS d FROM r)
 SELECT input, count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(d, 1, 15)) AS BIGINT)) AS VARCHAR) AS row_sum,
   bit_xor(CAST(('0x' || substr(d, 16, 15)) AS BIGINT)) AS row_xor FROM h GROUP BY 1""")

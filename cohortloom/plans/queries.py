@@ -17,7 +17,7 @@ from ..functions.mentions import MentionReader
 from ..operators import (ablation, aggregates, anchors, compare, episodes, evaluate, extract,
                          normalize, retrieval, runs, scoring, silver, trace)
 from ..sources.scratch import written
-from ..sources.snapshot import fingerprint, with_numbers
+from ..sources.snapshot import with_numbers
 from . import order_trial
 from .trial import Trial
 
@@ -93,7 +93,8 @@ def truth_renderings(t: Trial) -> DataFrame:
 
 @query
 def snapshot_fingerprint(t: Trial) -> DataFrame:
-    return fingerprint(t.snapshot.ex, "ex").unionByName(fingerprint(t.snapshot.sc, "sc"))
+    """Content fingerprints of all six inputs."""
+    return t.snapshot.fingerprints()
 
 
 @query
