@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+import re
+import unicodedata
+from typing import NamedTuple, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,7 +59,7 @@ def attach_verdicts(flat: DataFrame, assignments: DataFrame) -> DataFrame:
 
 def text_index(documents: DataFrame) -> DataFrame:
     """Searchable bodies with their token counts. Reported terms are not among them."""
-    return documents.select("doc_id", "kind", F.col("full_text").alias("body"), F.regexp_count(
+    return documents.select("doc_id", "kind", folded(F.col("full_text")).alias("body"), F.regexp_count(
         F.col("full_text"), F.lit(TOKEN)).alias("n_tokens"))
 
 
@@ -165,23 +167,57 @@ def as_cohort(df: DataFrame) -> DataFrame:
 
 # -- the search path -------------------------------------------------------------------
 
-def query_terms(text: str) -> list[str]:
-    """Distinct lower-case terms; all must occur."""
-    terms: list[str] = []
-    word = ""
-    for ch in text.lower() + " ":
-        if ch.isalnum():
-            word += ch
-        elif word:
-            if word not in terms:
-                terms.append(word)
-            word = ""
+class Term(NamedTuple):
+    """Words that must stand one after the other; the last may be the beginning of a word."""
+
+    words: tuple[str, ...]
+    prefix: bool = False
+    banned: bool = False
+
+    @property
+    def pattern(self) -> str:
+        body = r"[^\p{L}\p{N}]+".join(self.words)
+        return rf"(?U)(?<![\p{{L}}\p{{N}}]){body}" + ("" if self.prefix else r"(?![\p{L}\p{N}])")
+
+
+def query_terms(text: str) -> list[Term]:
+    """Distinct terms of a query: words, "phrases", beginnings* and -excluded ones.
+
+    All but the excluded ones must occur. Case and diacritics do not count.
+    """
+    terms: list[Term] = []
+    for sign, phrase, bare in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', text):
+        words = tuple(re.findall(r"[^\W_]+", plain(phrase or bare)))
+        if not words:
+            continue
+        # punctuation inside a bare word parts it into words of their own
+        parts = [words] if phrase else [(w,) for w in words]
+        for part in parts:
+            term = Term(part, not phrase and bare.endswith("*") and part is parts[-1], bool(sign))
+            if term not in terms:
+                terms.append(term)
     return terms
 
 
-def _term_count(body: str, term: str) -> Column:
-    pattern = rf"(?iU)(?<![\p{{L}}\p{{N}}]){term}(?![\p{{L}}\p{{N}}])"
-    return F.expr(f"regexp_count(`{body}`, {quoted(pattern)})")
+def plain(text: str) -> str:
+    """Lower case without diacritics; what the index holds."""
+    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+
+
+def _marked_letters() -> tuple[str, str]:
+    """Latin letters that are one base letter with marks, and those base letters."""
+    found = [(c, plain(c)) for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)))]
+    pairs = [(c, base) for c, base in found if len(base) == 1 and base != c and c == c.lower()]
+    return "".join(c for c, _ in pairs), "".join(base for _, base in pairs)
+
+
+def folded(column: Column) -> Column:
+    """A body as it is searched: lower case, letters without their diacritics."""
+    return F.translate(F.lower(column), *_marked_letters())
+
+
+def _term_count(body: str, term: Term) -> Column:
+    return F.expr(f"regexp_count(`{body}`, {quoted(term.pattern)})")
 
 
 def bm25(index: DataFrame, text: str, id_column: str = "doc_id") -> DataFrame:
@@ -191,20 +227,21 @@ def bm25(index: DataFrame, text: str, id_column: str = "doc_id") -> DataFrame:
     whose single row is broadcast. Terms are counted in place; no token is shuffled.
     """
     terms = query_terms(text)
-    if not terms:
+    if all(t.banned for t in terms):
         raise ValueError("the query holds no term")
     counts = {f"tf_{i}": _term_count("body", t) for i, t in enumerate(terms)}
+    wanted = [n for n, t in zip(counts, terms) if not t.banned]
     counted = index.select(id_column, F.col("n_tokens").alias("dl"),
                            *[c.alias(n) for n, c in counts.items()])
     stats = counted.agg(
         F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("mean_dl"),
-        *[F.count_if(F.col(n) > 0).alias(f"d{n}") for n in counts])
-    every = F.lit(True)
+        *[F.count_if(F.col(n) > 0).alias(f"d{n}") for n in wanted])
+    fits = F.lit(True)
     for n in counts:
-        every = every & (F.col(n) > 0)
-    scored = counted.filter(every).crossJoin(F.broadcast(stats))  # one row of statistics
+        fits = fits & ((F.col(n) > 0) if n in wanted else (F.col(n) == 0))
+    scored = counted.filter(fits).crossJoin(F.broadcast(stats))  # one row of statistics
     total = F.lit(0.0)
-    for n in counts:
+    for n in wanted:
         n_docs, df, tf = F.col("n_docs"), F.col(f"d{n}"), F.col(n)
         idf = F.log((n_docs - df + 0.5) / (df + 0.5))
         idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)

@@ -561,17 +561,19 @@ twin("verdict_upsert", """SELECT definition_id, definition_version, verdict, cou
      V1, DOSE, TOX)
 
 
-def bm25(docs: str, terms: list[str], key: str) -> str:
-    tf = ", ".join(f"len(list_filter(tk, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(terms))
+def bm25(docs: str, terms: list[str], key: str, banned: str = "false") -> str:
+    """Terms: words, or conditions over the token list ``tk`` and a place ``i`` in it."""
+    tf = ", ".join(f"len(list_filter(range(1, len(tk) + 1), lambda i: {t})) AS tf{i}" if "tk[" in t
+                   else f"len(list_filter(tk, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(terms)))
     idf = [f"greatest(ln((nd - df{i} + 0.5) / (df{i} + 0.5)), CASE WHEN ln((nd - df{i} + 0.5) / (df{i} + 0.5)) <= 0 THEN 1e-6 ELSE 0 END)"
            for i in range(len(terms))]
     score = " + ".join(f"{idf[i]} * (tf{i} * 2.2) / (tf{i} + 1.2 * (0.25 + 0.75 * dl / ml))" for i in range(len(terms)))
     every = " AND ".join(f"tf{i} > 0" for i in range(len(terms)))
-    return (f"tok AS (SELECT {key}, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+') AS tk FROM ({docs})), "
-            f"tfs AS (SELECT {key}, len(tk) AS dl, {tf} FROM tok), "
+    return (f"tok AS (SELECT {key}, regexp_extract_all(strip_accents(lower(body)), '[\\p{{L}}\\p{{N}}]+') AS tk FROM ({docs})), "
+            f"tfs AS (SELECT {key}, len(tk) AS dl, {banned} AS banned, {tf} FROM tok), "
             f"sts AS (SELECT count(*) AS nd, avg(dl) AS ml, {df} FROM tfs), "
-            f"bm AS (SELECT {key}, -({score}) AS score FROM tfs, sts WHERE {every})")
+            f"bm AS (SELECT {key}, -({score}) AS score FROM tfs, sts WHERE {every} AND NOT banned)")
 
 
 twin("mention_search", """SELECT mention_id, v AS value, round(score, 6) AS score, true AS candidate FROM mn JOIN bm USING (doc_id)
@@ -581,6 +583,9 @@ twin("mention_browse", """SELECT mention_id, a AS assertion, 0.0::DOUBLE AS scor
   ORDER BY mention_id LIMIT 30""", MENTIONS)
 twin("document_search", "SELECT doc_id, round(score, 6) AS score FROM bm",
      bm25("SELECT doc_id, text AS body FROM documents", ["the", "of"], "doc_id"), base="")
+twin("document_phrase_search", "SELECT doc_id, round(score, 6) AS score FROM bm",
+     bm25("SELECT doc_id, text AS body FROM documents", ["tk[i] = 'de' AND tk[i + 1] = 'la'", "starts_with(tk[i], 'cion')"],
+          "doc_id", "list_contains(tk, 'licensed')"), base="")
 twin("dense_rerank", """SELECT vec_id, label, round(list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0)), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 5) AS score
   FROM embeddings""", base="")
 

@@ -797,6 +797,15 @@ def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.round("score", 6).alias("score"))
 
 
+@table_query
+def document_phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase, a beginning and an excluded word, without regard to diacritics."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id", F.lit("document").alias("kind"), F.col("text").alias("full_text"))
+    return retrieval.bm25(retrieval.text_index(docs), '"de la" cion* -Licensed').select(
+        "doc_id", F.round("score", 6).alias("score"))
+
+
 @table_query
 def dense_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors reordered by similarity to the first one."""

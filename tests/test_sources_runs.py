@@ -238,3 +238,14 @@ def test_cluster_must_name_its_folder(monkeypatch):
         scratch.shared_folder(Session())
     Session.conf = {"spark.checkpoint.dir": "hdfs://shared/tmp/"}
     assert scratch.shared_folder(Session()) == "hdfs://shared/tmp"
+
+
+def test_query_syntax(spark):
+    docs = spark.createDataFrame([(1, "Déjà vu, deja-vu again"), (2, "deja and later vu"), (3, "dejaX vu only")],
+                                 "doc_id int, full_text string").withColumn("kind", F.lit("d"))
+    index = retrieval.text_index(docs)
+    for query, want in (("déjà", {1, 2}), ("DEJA vu", {1, 2}), ('"deja vu"', {1}), ("dej* vu", {1, 2, 3}),
+                        ("vu -again", {2, 3}), ('vu -"deja vu"', {2, 3})):
+        assert {r["doc_id"] for r in retrieval.bm25(index, query).collect()} == want, query
+    with pytest.raises(ValueError):
+        retrieval.bm25(index, "-vu")
