@@ -206,7 +206,8 @@ def _linked(groups: DataFrame, most: int, judge: Callable, name: str) -> DataFra
     # the members with the least hashes, about ANCHORS a group, go to every block
     anchor = F.pmod(F.xxhash64("id", F.lit("anchor")), F.lit(1 << 32)) * F.col("members") \
         < F.lit(ANCHORS * float(1 << 32))
-    dealt = big.withColumn("block", F.explode(F.when(anchor, blocks).otherwise(F.array(block))).cast("string"))
+    dealt = big.withColumn("block", F.explode(F.when(anchor, blocks).otherwise(F.array(block)))) \
+        .withColumn("block", F.col("block").cast("string"))
     links = written(links.unionByName(_in_groups(dealt.select(*row), judge)), f"{name}-links")
     # what is still apart: members outside the largest piece of their group, against everyone
     known = big.select("grp", "id").join(components(links, f"{name}-pieces"), "id", "left") \

@@ -124,7 +124,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, piece: int = WIN
     if shares:
         if min(shares.values()) <= 0:
             raise ValueError("every share must be above 0")
-        given = narrow.sparkSession.createDataFrame(list(shares.items()), "name string, share double")
+        given = narrow.sparkSession.createDataFrame(
+            [(name, float(share)) for name, share in shares.items()], "name string, share double")
         scale = weight.join(given, F.col("source").eqNullSafe(F.col("name")), "left")
         covered = scale.filter("share is not null").agg(
             F.sum("weight"), F.sum("share")).first()

@@ -62,7 +62,7 @@ def words_of(texts: pa.Array, settings: Settings) -> Words:
     The buckets of word w are ``buckets[reach[w]:reach[w + 1]]``: one for the word and one
     for each n-gram of its characters between ``<`` and ``>``.
     """
-    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts.cast(pa.string()), "")))
     bounds = split.offsets.to_numpy().astype(np.int64)
     bounds -= bounds[0]
     coded = split.flatten().dictionary_encode()
@@ -90,9 +90,11 @@ def words_of(texts: pa.Array, settings: Settings) -> Words:
             inside = np.arange(len(rolled)) + size <= ends[owner[:len(rolled)]]
             hashes.append(rolled[inside] + np.uint64(size))
             owners.append(owner[:len(rolled)][inside])
-    whose = np.concatenate(owners)
+    whose, every = np.concatenate(owners), np.concatenate(hashes)
+    word = lengths[whose] > 2  # a blank text splits into one empty word, which has no vector
+    whose, every = whose[word], every[word]
     order = np.argsort(whose, kind="stable")
-    buckets = (np.concatenate(hashes) % np.uint64(settings.buckets)).astype(np.int64)[order]
+    buckets = (every % np.uint64(settings.buckets)).astype(np.int64)[order]
     return Words(codes, bounds, repeats, buckets, np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=n))]))
 
 
