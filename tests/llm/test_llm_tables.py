@@ -15,7 +15,7 @@ from cohortloom.llm import (bbit_minhash, components, hilbert, line_runs, mixtur
                             surrogates)
 from cohortloom.llm.common import table
 from cohortloom.llm.queries import QUERIES, vocabulary
-from conftest import SF
+from llm_fixtures import SF, awkward, nothing, workers_reach_the_package  # noqa: F401
 
 
 def pairs(df):

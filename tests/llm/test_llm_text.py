@@ -11,7 +11,7 @@ import brute
 from cohortloom.llm import packed_ids, subword_classifier, suffix_rules, tree_extract, units, wu_manber
 from cohortloom.llm.common import table
 from cohortloom.llm.queries import QUERIES, vocabulary
-from conftest import SF
+from llm_fixtures import SF, awkward, nothing, workers_reach_the_package  # noqa: F401
 
 
 def pairs(df):
