@@ -42,20 +42,27 @@ ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдеж
              "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+_NAME = r"\p{Lu}\p{M}*+(?:['’]\p{Lu})?\p{Ll}[\p{L}\p{M}]*+"
+_AFTER_KEY = r"(?<=(?i:token|secret|password|passwd|key)\s{0,2}[=:]\s{0,2}[\"']?)"
 #: Kinds in the order in which a value is claimed.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+",
-    "secret": r"(?<=(?i:token|secret|password|passwd|key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_-]{16,128}+",
+    # to the end of the value: 16 plain characters show a secret, others may follow; the stop of a sentence stays out
+    "secret": _AFTER_KEY + r"(?=[A-Za-z0-9_.~+/=-]{16})(?=[_.~+/=-]*+[A-Za-z0-9])"
+                           r"[A-Za-z0-9_.~+/=:%$!*^#@-]{15,}[A-Za-z0-9_~+/=%$*^#@-]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9])",
+    # 16 digits are a card, 13 to 19 are one if they are Luhn-valid (_kind)
+    "card": r"(?<![0-9])(?:(?:[0-9]{4}[ -]){4}[0-9]{1,3}|(?:[0-9]{4}[ -]?){3}[0-9]{4}|[0-9]{13,19}"
+            r"|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{3}){3}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{5})(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
              r"|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
           r"(?!\.?[0-9])",
-    "person": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}++(?:[ -]\p{{Lu}}\p{{Ll}}++){{0,2}}",
+    "person": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?:[ -]{_NAME})*+",
 }
-ANY = "|".join(PATTERNS.values())
+#: Group 1 holds what was found as a secret.
+ANY = "|".join(f"({p})" if kind == "secret" else p for kind, p in PATTERNS.items())
 
 
 def _cheap(text: Column) -> Column:
@@ -67,17 +74,28 @@ def _cheap(text: Column) -> Column:
 
 def _whole(kind: str) -> str:
     # lookarounds see the match alone here, so only the value's own form counts
-    body = PATTERNS[kind]
-    for part in (r"(?<=(?i:token|secret|password|passwd|key)\s{0,2}[=:]\s{0,2}[\"']?)",):
-        body = body.replace(part, "")
-    return f"^(?:{body})$"
+    return f"^(?:{PATTERNS[kind].replace(_AFTER_KEY, '')})$"
 
 
-def _parts(value: Column) -> Column:
-    """A value as (kind, canonical, form) parts: names word by word, anything else as a whole."""
+def _no_card(value: Column) -> Column:
+    """Digits that look like a card but are not 16 and not Luhn-valid."""
+    digits = F.regexp_replace(value, "[ -]", "")
+    return value.rlike(_whole("card")) & (F.length(digits) != 16) & (_luhn(digits) != 0)
+
+
+def _kind(value: Column, secret: Column) -> Column:
     kind = F.lit("secret")
-    for name in ("person", "ip", "ssn", "phone", "card", "iban", "email"):
+    for name in ("person", "ip", "ssn", "phone"):
+        kind = F.when(value.rlike(_whole(name)), F.lit(name)).otherwise(kind)
+    kind = F.when(~_no_card(value), F.when(value.rlike(_whole("card")), F.lit("card")).otherwise(kind)) \
+        .otherwise(F.when(secret, F.lit("secret")).otherwise(F.lit("keep")))
+    for name in ("iban", "email"):
         kind = F.when(value.rlike(_whole(name)), F.lit(name)).otherwise(kind)
+    return kind
+
+
+def _parts(value: Column, kind: Column) -> Column:
+    """A value as (kind, canonical, form) parts: names word by word, anything else as a whole."""
     words = F.split(value, "(?<=[ -])|(?=[ -])", -1)
     female = value.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.? ")
     n = F.size(words)
@@ -87,16 +105,38 @@ def _parts(value: Column) -> Column:
             .when(female, F.lit("given_f")).otherwise(F.lit("given_m"))
         return F.struct(name.alias("kind"), F.lower(w).alias("canonical"), w.alias("form"))
 
-    bare = F.regexp_replace(value, "[^\\p{L}\\p{N}+@._-]", "")
-    canonical = F.when(kind.isin("card", "ssn", "iban", "phone"), F.regexp_replace(value, "[^0-9A-Za-z]", "")) \
-        .when(kind == "email", F.lower(value)).otherwise(bare)
-    single = F.array(F.struct(kind.alias("kind"), canonical.alias("canonical"), value.alias("form")))
-    return F.when(kind == "person", F.transform(words, word)).otherwise(single)
+    def part(kind: Column, canonical: Column, form: Column) -> Column:
+        return F.struct(kind.alias("kind"), canonical.alias("canonical"), form.alias("form"))
+
+    def bare(x: Column) -> Column:
+        return F.regexp_replace(x, "[^0-9A-Za-z]", "")
+
+    canonical = F.when(kind.isin("card", "ssn", "iban", "phone"), bare(value)) \
+        .when(kind == "email", F.lower(value)).otherwise(value)
+    # no card as a whole: 16 digits before a further group still are one, and 6 and 4 digits a telephone number
+    head, tail = F.substring(value, 1, 19), F.substring(value, F.lit(20), F.length(value))
+    area, line = F.substring(value, 1, 5), F.substring(value, F.lit(6), F.length(value))
+    return F.when(kind == "person", F.transform(words, word)) \
+        .when((kind == "keep") & value.rlike("^(?:[0-9]{4}[ -]){4}"), F.array(
+            part(F.lit("card"), bare(head), head), part(F.lit("keep"), tail, tail))) \
+        .when((kind == "keep") & value.rlike("^[0-9]{4}[ -][0-9]{6}[ -][0-9]{4}$"), F.array(
+            part(F.lit("keep"), area, area), part(F.lit("phone"), bare(line), line))) \
+        .otherwise(F.array(part(kind, canonical, value)))
+
+
+def _keyed(kind: Column, canonical: Column, key: str, attempt: Column) -> Column:
+    """Blocks of 32 keyed bytes in hexadecimal, enough for one byte a character."""
+    seed = F.concat_ws("|", F.lit(key), kind, canonical, attempt.cast("string"))
+    first = F.array(F.sha2(seed, 256), F.sha2(F.concat(F.lit("more|"), seed), 256))
+    last = F.floor((F.length(canonical) - 1) / 32).cast("int")
+    return F.when(last < 2, first).otherwise(F.concat(first, F.transform(
+        F.sequence(F.lit(2), last), lambda j: F.sha2(F.concat_ws("|", j.cast("string"), F.get(first, F.lit(0))), 256))))
 
 
 def _byte(h: Column, k: Column) -> Column:
-    """The k-th of 64 keyed bytes, again from the start after that."""
-    return F.conv(F.substring(h, F.lit(1) + F.pmod(k, F.lit(64)) * 2, F.lit(2)), 16, 10).cast("int")
+    """The k-th keyed byte, again from the start after the last block."""
+    block = F.get(h, F.pmod(F.floor(k / 32).cast("int"), F.size(h)))
+    return F.conv(F.substring(block, F.lit(1) + F.pmod(k, F.lit(32)) * 2, F.lit(2)), 16, 10).cast("int")
 
 
 def _pick(options: tuple[str, ...] | str, b: Column) -> Column:
@@ -144,10 +184,8 @@ def _name(kind: Column, canonical: Column, h: Column, attempt: Column) -> Column
     return out
 
 
-def surrogate(kind: Column, canonical: Column, key: str, attempt: Column) -> Column:
-    """The surrogate in canonical form."""
-    seed = F.concat_ws("|", F.lit(key), kind, canonical, attempt.cast("string"))
-    h = F.concat(F.sha2(seed, 256), F.sha2(F.concat(F.lit("more|"), seed), 256))
+def surrogate(kind: Column, canonical: Column, key: str, attempt: Column, h: Column) -> Column:
+    """The surrogate in canonical form, from the blocks of _keyed."""
     whole = _letters(canonical, h, F.lit(0))
     octet = [F.when(F.lit(i == 0), F.pmod(_byte(h, F.lit(i)), F.lit(223)) + 1).otherwise(_byte(h, F.lit(i)))
              for i in range(4)]
@@ -156,9 +194,7 @@ def surrogate(kind: Column, canonical: Column, key: str, attempt: Column) -> Col
     check = F.pmod(F.lit(10) - _luhn(F.concat(stem, F.lit("0"))) + _luhn(canonical), F.lit(10))
     user = F.substring_index(canonical, "@", 1)
     domain = F.substring_index(canonical, "@", -1)
-    dh = F.concat(F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256),
-                  F.sha2(F.concat_ws("|", F.lit("more"), F.lit(key), domain), 256))
-    host = F.concat(_letters(F.substring_index(domain, ".", 1), dh, F.lit(0)), F.lit(".example.org"))
+    host = F.concat(_letters(F.substring_index(domain, ".", 1), F.col("domain_h"), F.lit(0)), F.lit(".example.org"))
     lead = F.when(F.length(canonical) > 10, F.length(canonical) - 10).otherwise(0)
     return F.when(kind.isin("surname", "given_f", "given_m"), _name(kind, canonical, h, attempt)) \
         .when(kind == "ip", F.concat_ws(".", *[o.cast("string") for o in octet])) \
@@ -168,12 +204,23 @@ def surrogate(kind: Column, canonical: Column, key: str, attempt: Column) -> Col
         .when(kind == "iban", _letters(canonical, h, F.lit(2))) \
         .when((kind == "secret") & canonical.rlike("^[0-9A-Fa-f]+$"), F.when(
             canonical.rlike("[A-F]"), F.upper(_hex(canonical, h))).otherwise(_hex(canonical, h))) \
+        .when((kind == "secret") & (attempt > 15), F.concat(whole, F.substring(F.get(h, F.lit(1)), F.lit(1), attempt - 15))) \
         .otherwise(whole)
 
 
 def _hex(canonical: Column, h: Column) -> Column:
-    repeated = F.concat(h, h)
-    return F.substring(repeated, F.lit(1), F.length(canonical))
+    return F.substring(F.array_join(h, ""), F.lit(1), F.length(canonical))
+
+
+def _drawn(values: DataFrame, key: str) -> DataFrame:
+    """Surrogates of kind, canonical, attempt; hashes are columns, so that no character takes them anew."""
+    kind, canonical, attempt = F.col("kind"), F.col("canonical"), F.col("attempt")
+    domain = F.substring_index(canonical, "@", -1)
+    hashed = values.select(
+        "kind", "canonical", "attempt", _keyed(kind, canonical, key, attempt).alias("h"),
+        F.when(kind == "email", _keyed(F.lit("domain"), domain, key, F.lit(0))).alias("domain_h"))
+    return hashed.select("kind", "canonical", "attempt",
+                         surrogate(kind, canonical, key, attempt, F.col("h")).alias("made"))
 
 
 def _dressed(kind: Column, form: Column, made: Column) -> Column:
@@ -197,9 +244,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     itself in the table, is drawn again under the next attempt, until none is left.
     """
     distinct = written(entities.filter("kind <> 'keep'").select("kind", "canonical").distinct(), "entities")
-    kind, canonical = F.col("kind"), F.col("canonical")
-    now = distinct.withColumn("attempt", F.lit(0))
-    now = written(now.withColumn("made", surrogate(kind, canonical, key, F.col("attempt"))), "surrogates")
+    now = written(_drawn(distinct.withColumn("attempt", F.lit(0)), key), "surrogates")
     real = distinct.select("kind", F.col("canonical").alias("made"), F.lit(True).alias("real"))
     while True:
         first = now.groupBy("kind", "made").agg(
@@ -211,8 +256,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         judged = written(judged, "surrogates-judged")
         if judged.filter("again").isEmpty():
             return now
-        drawn = judged.filter("again").withColumn("attempt", F.col("attempt") + 1)
-        drawn = drawn.withColumn("made", surrogate(kind, canonical, key, F.col("attempt")))
+        drawn = _drawn(judged.filter("again").withColumn("attempt", F.col("attempt") + 1), key)
         columns = ["kind", "canonical", "attempt", "made"]
         now = written(judged.filter("not again").select(*columns).unionByName(drawn.select(*columns)),
                       "surrogates")
@@ -230,23 +274,28 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
     marked = slim.withColumn("found", F.coalesce(found, F.array().cast("array<string>")))
     hits = written(marked.filter(F.size("found") > 0).withColumn("row", F.monotonically_increasing_id()),
                    "pii-texts")
-    mentions = hits.select("row", F.posexplode("found").alias("at", "value"))
-    parts = written(mentions.select("row", "at", F.posexplode(_parts(F.col("value"))).alias("i", "p"))
+    # digits alone do not say whether they were found as a secret
+    secret = F.when(F.exists("found", _no_card), F.regexp_extract_all("text", F.lit(ANY), F.lit(1)))
+    mentions = hits.select("row", secret.alias("secret"), "found") \
+        .select("row", "secret", F.posexplode("found").alias("at", "value"))
+    kinds = mentions.select("row", "at", "value", _kind(F.col("value"), F.coalesce(
+        F.get("secret", F.col("at")) != "", F.lit(False))).alias("kind"))
+    parts = written(kinds.select("row", "at", F.posexplode(_parts(F.col("value"), F.col("kind"))).alias("i", "p"))
                     .select("row", "at", "i", "p.*"), "pii-mentions")
     assigned = assign(parts, key).select("kind", "canonical", "made")
     # one row per value on the right: a value in very many documents may be split by the join
     named = parts.join(assigned, ["kind", "canonical"], "left").withColumn(
         "text", F.coalesce(_dressed(F.col("kind"), F.col("form"), F.col("made")), F.col("form")))
     whole = named.groupBy("row", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.struct("i", "text"))), lambda x: x["text"]), "").alias("value"))
+        F.struct("i", "text"))), lambda x: x["text"]), "").alias("value"),
+        F.max((F.col("kind") != "keep").cast("bigint")).alias("replaced"))
     values = whole.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(
-        F.struct("at", "value"))), lambda x: x["value"]).alias("own"))
+        F.struct("at", "value"))), lambda x: x["value"]).alias("own"), F.sum("replaced").alias("n_replaced"))
     pieces = F.split("text", ANY, -1)
     # a value between each two pieces
     rebuilt = F.array_join(F.flatten(F.transform(F.arrays_zip("pieces", "own"), lambda z: F.array(
         z["pieces"], F.coalesce(z["own"], F.lit(""))))), "")
-    changed = hits.join(values, "row").select("doc_id", pieces.alias("pieces"), "own",
-                                              F.size("found").cast("bigint").alias("n_replaced")) \
+    changed = hits.join(values, "row").select("doc_id", pieces.alias("pieces"), "own", "n_replaced") \
         .select("doc_id", rebuilt.alias("text"), "n_replaced")
     rest = marked.filter(F.size("found") == 0).select("doc_id", "text", F.lit(0).cast("bigint").alias("n_replaced"))
     return changed.unionByName(rest)

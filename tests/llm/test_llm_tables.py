@@ -216,6 +216,45 @@ def test_surrogate_detection_is_whole(spark):
     assert len(held) > 50
 
 
+def test_surrogates_of_long_values(spark):
+    """Values longer than any fixed length are replaced to their last character."""
+    rng = random.Random(4)
+
+    def word(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    values = [word(alnum, 200), word("0123456789abcdef", 700), word(alnum, 5000),
+              f"eyJ{word(alnum, 30)}.eyJ{word(alnum, 90)}.{word(alnum, 43)}", f"{word(alnum, 12)}/{word(alnum, 40)}+aZ9==",
+              f"ab1/{word(alnum, 20)}~x", "12345678901234567"]
+    rows = [(i, f'token = "{v}" end') for i, v in enumerate(values)] + [
+        (20, "Mr Juan Carlos Garcia Lopez left"), (21, "Mr " + " ".join(f"Na{c}" for c in "abcdefgh" * 600) + " left"),
+        (22, "Mr McDonald met Mrs O'Brien."), (23, f"key={word(alnum, 20)}. Next"),
+        (30, "pay 378282246310005 now"), (31, "pay 3782 822463 10005 now"), (32, "pay 4222222222222 now"),
+        (33, "pay 6304000000000000000 now"), (34, "pay 6304-0000-0000-0000-000 now"), (35, "pay 30569309025904 now"),
+        (40, "at 1700000000000 ms"), (41, "key: " + "-" * 30), (42, "2024 212555 0188"), (43, "4111 1111 1111 1111 124")]
+    out = {r["doc_id"]: r for r in surrogates.replace(
+        spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, v in enumerate(values):
+        made = re.fullmatch(r'token = "(\S+)" end', out[i]["text"])[1]
+        assert len(made) == len(v) and out[i]["n_replaced"] == 1
+        assert re.sub(r"[A-Za-z0-9]", "", made) == re.sub(r"[A-Za-z0-9]", "", v)
+        assert not any(v[k:k + 8] in made for k in range(len(v) - 7))
+    assert re.fullmatch(r"Mr [a-zA-Z]+ [a-zA-Z]+ [a-zA-Z]+ [a-zA-Z]+ left", out[20]["text"])
+    assert not re.search("Juan|Carlos|Garcia|Lopez", out[20]["text"])
+    assert not re.search(r"Na[a-h]\b", out[21]["text"]) and len(out[21]["text"].split()) == 4802
+    assert not re.search("Mc|Donald|Brien", out[22]["text"]) and out[22]["n_replaced"] == 2
+    assert out[23]["text"].endswith(". Next") and out[23]["text"] != dict(rows)[23]
+    for i in range(30, 36):
+        digits, was = (re.sub(r"[^0-9]", "", t) for t in (out[i]["text"], dict(rows)[i]))
+        assert digits != was and re.sub("[0-9]", "0", out[i]["text"]) == re.sub("[0-9]", "0", dict(rows)[i])
+        assert sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(digits[::-1])) % 10 == 0
+    for i in (40, 41):
+        assert (out[i]["text"], out[i]["n_replaced"]) == (dict(rows)[i], 0)
+    assert out[42]["text"].startswith("2024 ") and "212555 0188" not in out[42]["text"]
+    assert out[43]["text"].endswith(" 124") and "4111 1111" not in out[43]["text"]
+
+
 # -- near-duplicates ----------------------------------------------------------------------
 
 def family(n, words, seed, edits=1):
