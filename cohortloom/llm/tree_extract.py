@@ -3,7 +3,8 @@
 Every paragraph earns points for its length and its commas and passes them to its
 ancestors, less with each level; a container's points are discounted by the share of its
 text inside links. The best container is kept together with those of its siblings that
-score well or read like prose.
+score well or read like prose, and so on up to the ancestor that it shares with other
+containers of high score, or to the <main> or <article> around it.
 """
 
 from __future__ import annotations
@@ -35,6 +36,13 @@ _FURNITURE = re.compile(
     r"breadcrumbs?|pag(?:er|ination)|foot(?:er)?|head(?:er)?|masthead|share|sharing|social|related|recommend\w*|"
     r"widget|login|search|complementary|contentinfo|navigation|toolbar|skip|hidden|print-only|"
     r"copyright|legal|disclaimer|feedback|user-comments?|discussion)(?:$|[\s_-]|\d)", re.I)
+#: Furniture that may hold much text that is not the article's.
+_APART = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|comments?|disqus|respond|reply|replies|"
+    r"cookies?|consent|newsletter|subscri\w*|foot(?:er)?|related|recommend\w*|complementary|contentinfo|"
+    r"copyright|legal|disclaimer|feedback|user-comments?|discussion)(?:$|[\s_-]|\d)", re.I)
+#: Tags whose furniture may be a wrapper of the whole article.
+_WRAPPERS = frozenset("form fieldset header".split())
 _KEEPS = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|"
@@ -119,27 +127,87 @@ def parse(source: str) -> Node:
     return root
 
 
-def _furniture(node: Node, in_article: bool) -> bool:
-    if node.tag in _DROPPED or (node.tag == "header" and not in_article):
-        return True
+def _names(node: Node) -> str:
+    return " ".join(node.attrs.get(k, "") for k in ("class", "id", "role"))
+
+
+def _furniture(node: Node, in_article: bool) -> str:
+    """"all" of a node goes, or what is no "wrapper" of the article, or nothing."""
+    if node.tag in _DROPPED and node.tag not in _WRAPPERS:
+        return "all"
     a = node.attrs
-    if not a or node.tag in ("html", "body", "article", "main"):
-        return False
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or \
-            re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
-        return True
-    names = " ".join((a.get("class", ""), a.get("id", ""), a.get("role", "")))
-    return bool(_FURNITURE.search(names)) and not _KEEPS.search(names)
+    if a and node.tag not in ("html", "body", "article", "main"):
+        if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or \
+                re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
+            return "all"
+        names = _names(node)
+        if _FURNITURE.search(names) and not _KEEPS.search(names):
+            return "wrapper"
+    return "wrapper" if node.tag in _DROPPED or (node.tag == "header" and not in_article) else ""
 
 
 def _prune(root: Node) -> None:
-    """Take furniture out of the tree. Trees may be deep, so no walk here is recursive."""
-    stack = [(root, False)]
+    """Take furniture out of the tree. Trees may be deep, so no walk here is recursive.
+
+    A form or a wrapper with a name of furniture stays if it holds the page's article, or
+    most of its paragraph text (nearly all, if such furniture often has much text).
+    """
+    wrappers: set[int] = set()
+    order: list[Node] = []
+    outside: dict[int, int] = {}  # articles by the innermost wrapper around them
+    stack = [(root, False, 0)]
     while stack:
-        node, in_article = stack.pop()
-        inside = in_article or node.tag == "article"
-        node.children = [c for c in node.children if isinstance(c, str) or not _furniture(c, inside)]
-        stack += [(c, inside) for c in node.children if not isinstance(c, str)]
+        node, in_article, within = stack.pop()
+        order.append(node)
+        inside = in_article or node.tag in ("article", "main")
+        if node.tag == "article":
+            outside[within] = outside.get(within, 0) + 1
+        left: list[Node | str] = []
+        for c in node.children:
+            if isinstance(c, str):
+                left.append(c)
+                continue
+            what = _furniture(c, inside)
+            if what == "all":
+                continue
+            left.append(c)
+            if what:
+                wrappers.add(id(c))
+            stack.append((c, inside, id(c) if what else within))
+        node.children = left
+    if not wrappers:
+        return
+    held = {id(n): [0, int(n.tag == "article")] for n in order}  # paragraph text, articles
+    for node in reversed(order):
+        mine = held[id(node)]
+        if node.tag == "a":
+            mine[0] = 0
+        else:
+            own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+            mine[0] += own if node.tag in ("p", "pre", "blockquote") or own >= 40 else 0
+        if node.parent is not None:
+            up = held[id(node.parent)]
+            up[0] += mine[0]
+            up[1] += mine[1]
+    whole = held[id(root)][0]
+    walk = [(root, outside.get(0, 0))]
+    while walk:
+        node, seen = walk.pop()
+        left = []
+        for c in node.children:
+            if isinstance(c, str):
+                left.append(c)
+                continue
+            articles = seen
+            if id(c) in wrappers:
+                text, inner = held[id(c)]
+                apart = _APART.search(_names(c))
+                if not (text * 10 > whole * 9 and not seen if apart else text * 2 > whole or (inner and not seen)):
+                    continue
+                articles += outside.get(id(c), 0)
+            left.append(c)
+            walk.append((c, articles))
+        node.children = left
 
 
 def _nodes(root: Node) -> list[Node]:
@@ -190,6 +258,15 @@ def _measure(nodes: list[Node]) -> dict[int, tuple[int, int]]:
 def _score(nodes: list[Node]) -> list[Node]:
     """Give every paragraph's points to its ancestors; the containers that got any."""
     scored: list[Node] = []
+
+    def give(up: Node, points: float) -> None:
+        if not up.score:
+            scored.append(up)
+            up.score = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 3.0, "td": 3.0,
+                        "ul": -3.0, "ol": -3.0}.get(up.tag, 0.01)
+        up.score += points
+
+    higher: dict[int, float] = {}  # what a node passes on above the fourth level
     for node in nodes:
         leaf = node.tag in _PARAGRAPHS and not any(
             not isinstance(c, str) and c.tag in _BLOCK for c in node.children)
@@ -200,12 +277,17 @@ def _score(nodes: list[Node]) -> list[Node]:
         points = 1 + own.count(",") + own.count("،") + own.count("、") + min(len(own) / 100, 3)
         up, level = (node if node.tag not in _PARAGRAPHS else node.parent), 0
         while up is not None and up.tag != "#root" and level < 4:
-            if not up.score:
-                scored.append(up)
-                up.score = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 3.0, "td": 3.0,
-                            "ul": -3.0, "ol": -3.0}.get(up.tag, 0.01)
-            up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+            part = points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+            give(up, part)
+            if level == 3:
+                higher[id(up)] = higher.get(id(up), 0.0) + 0.75 * part
             up, level = up.parent, level + 1
+    for node in reversed(nodes):
+        points = higher.get(id(node), 0.0)
+        up = node.parent
+        if points and up is not None and up.tag != "#root":
+            give(up, points)
+            higher[id(up)] = higher.get(id(up), 0.0) + 0.75 * points
     return scored
 
 
@@ -227,21 +309,67 @@ def extract(source: str | None) -> str:
 
     worth = {id(n): n.score * (1 - density(n)) for n in scored}
     best = max(scored, key=lambda n: worth[id(n)])
-    if best.tag in ("html", "body", "article") or best.parent is None:
+    if best.tag in ("html", "body") or best.parent is None:
         return _read(best)
     least = max(10.0, 0.2 * worth[id(best)])
-    kept = []
-    for sibling in best.parent.children:
-        if isinstance(sibling, str):
+    chain = [best]
+    while chain[-1].parent is not None:
+        chain.append(chain[-1].parent)
+    height = {id(n): k for k, n in enumerate(chain)}
+    # containers of high score that are neither around nor inside the best one, and what holds them
+    inside = {id(n) for n in _nodes(best)}
+    holds: dict[int, int] = {}
+    last = 0
+    for node in scored:
+        if worth[id(node)] < least or id(node) in height or id(node) in inside or density(node) >= 0.5:
             continue
-        if sibling is best or worth.get(id(sibling), 0.0) >= least:
-            kept.append(_read(sibling))
-        elif sibling.tag in _PARAGRAPHS:
-            text, share = _read(sibling), density(sibling)
-            prose = share < 0.25 if len(text) > 80 or sibling.tag[0] == "h" \
-                else share == 0 and text.rstrip("\"')")[-1:] in (".", "!", "?")
-            if text and prose:
-                kept.append(text)
+        up, passed = node, []
+        while id(up) not in height and id(up) not in holds:
+            passed.append(up)
+            up = up.parent
+        met = holds[id(up)] if id(up) in holds else height[id(up)]
+        holds.update((id(n), met) for n in passed)
+        last = max(last, met - 1)
+    # <main> and <article> are the page's own word for what belongs together
+    named = [k for k, n in enumerate(chain) if n.tag in ("main", "article")]
+    if named:
+        last = max(last, named[-1] - (chain[named[-1]].tag == "main"))
+    last = min(last, len(chain) - 2)
+
+    def prose(text: str, share: float, heading: bool) -> bool:
+        return bool(text) and (share < 0.25 if len(text) > 80 or heading
+                               else share == 0 and text.rstrip("\"')")[-1:] in (".", "!", "?"))
+
+    kept = [_read(best)]
+    for level in range(last + 1):
+        within = bool(named) and level < named[-1]
+        out: list[str] = []
+        run = Node("#run", None, {})  # text and inline elements between blocks
+        for sibling in [*chain[level + 1].children, None]:
+            if sibling is not None and sibling is not chain[level] and (
+                    isinstance(sibling, str) or (sibling.tag not in _BLOCK and worth.get(id(sibling), 0.0) < least)):
+                run.children.append(sibling)
+                continue
+            if run.children:
+                total = linked = 0
+                for item in run.children:
+                    size = (len(item.strip()), 0) if isinstance(item, str) else sizes[id(item)]
+                    total, linked = total + size[0], linked + size[1]
+                text = _read(run) if total else ""
+                if prose(text, linked / total if total else 0.0, False):
+                    out.append(text)
+                run = Node("#run", None, {})
+            if sibling is None:
+                break
+            if sibling is chain[level]:
+                out += kept
+            elif worth.get(id(sibling), 0.0) >= least or id(sibling) in holds:
+                out.append(_read(sibling))
+            elif sibling.tag in _PARAGRAPHS or within:
+                text = _read(sibling)
+                if prose(text, density(sibling), sibling.tag[0] == "h" and sibling.tag in _PARAGRAPHS):
+                    out.append(text)
+        kept = out
     return " ".join(t for t in kept if t)
 
 

@@ -166,6 +166,42 @@ def test_extraction(spark):
     assert tree_extract.extract(deep) == "deep text, really"
 
 
+def test_extraction_of_other_page_shapes():
+    """Headings and leads beside an article, text in cousins, articles in forms and furniture."""
+    def p(k, n=300):
+        return f"Paragraph {k}, " + "word, " * (n // 6) + "end."
+
+    def tagged(*ks):
+        return "".join(f"<p>{p(k)}</p>" for k in ks)
+
+    def plain(*ks):
+        return " ".join(p(k) for k in ks)
+
+    def extract(body):
+        return tree_extract.extract(f"<html><body><nav><a href=/>Home</a></nav>{body}<footer>foot</footer></body></html>")
+
+    beside = f"<main><h1>Heading</h1><p>A lead.</p><article>{tagged(1, 2)}</article></main>"
+    assert extract(beside) == f"Heading A lead. {plain(1, 2)}"
+    assert extract(beside.replace("main", "div")) == f"Heading A lead. {plain(1, 2)}"
+    two = "".join(f"<section><div>{tagged(*ks)}</div></section>" for ks in ((1, 2, 3), (4, 5, 6)))
+    for outer in ("main", "div", "article"):
+        assert extract(f"<{outer}>{two}</{outer}>") == plain(1, 2, 3, 4, 5, 6)
+    assert extract(f"<main><h1>Top</h1>{two}<section><div><p>Last one, short.</p></div></section></main>") == \
+        f"Top {plain(1, 2, 3, 4, 5, 6)} Last one, short."
+    links = "".join(f"<li><a href=/{k}>{p(k, 60)}</a></li>" for k in range(20))
+    assert extract(f"<div>{two}<ul>{links}</ul></div>") == plain(1, 2, 3, 4, 5, 6)
+    assert extract(f"<div><div><div><div><div><div>{two}</div></div></div></div></div></div>") == plain(1, 2, 3, 4, 5, 6)
+    for head in ("<form id=aspnetForm action=x>", "<form action=/search><input name=q>", "<div class='header-wrap widget'>",
+                 "<div class='overlay'>", "<div class='page sidebar-right'>"):
+        close = "</form>" if "aspnet" in head else "</div>" if "div" in head else ""
+        assert extract(f"{head}<div><article>{tagged(1, 2)}</article></div>{close}") == plain(1, 2)
+        assert extract(f"{head}<div>{tagged(1, 2, 3)}</div>{close}") == plain(1, 2, 3)
+    # what is furniture stays out, however long
+    comments = f"<div class=comments><article>{tagged(7, 8, 9)}</article></div>"
+    for body in (f"<article>{tagged(1)}</article>{comments}", f"<form><article>{tagged(1)}</article>{comments}</form>"):
+        assert extract(body) == p(1)
+
+
 def test_extraction_of_articles(spark):
     import html
     import re
