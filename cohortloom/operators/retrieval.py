@@ -59,8 +59,8 @@ def attach_verdicts(flat: DataFrame, assignments: DataFrame) -> DataFrame:
 
 def text_index(documents: DataFrame) -> DataFrame:
     """Searchable bodies with their token counts. Reported terms are not among them."""
-    return documents.select("doc_id", "kind", folded(F.col("full_text")).alias("body"), F.regexp_count(
-        F.col("full_text"), F.lit(TOKEN)).alias("n_tokens"))
+    return documents.select("doc_id", "kind", folded(F.col("full_text")).alias("body")) \
+        .withColumn("n_tokens", F.regexp_count("body", F.lit(TOKEN)))
 
 
 def build_index(path: str, flat: DataFrame, mentions: DataFrame, documents: DataFrame,
@@ -199,21 +199,26 @@ def query_terms(text: str) -> list[Term]:
     return terms
 
 
-def plain(text: str) -> str:
-    """Lower case without diacritics; what the index holds."""
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+#: Combining marks behind a Latin letter.
+_MARKS = "(?<=[a-z\u00df-\u02af\u1e00-\u1eff])[\u0300-\u036f]+"
 
 
 def _marked_letters() -> tuple[str, str]:
     """Latin letters that are one base letter with marks, and those base letters."""
-    found = [(c, plain(c)) for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)))]
+    found = [(c, "".join(d for d in unicodedata.normalize("NFD", c) if not unicodedata.combining(d)))
+             for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)))]
     pairs = [(c, base) for c, base in found if len(base) == 1 and base != c and c == c.lower()]
     return "".join(c for c, _ in pairs), "".join(base for _, base in pairs)
 
 
+def plain(text: str) -> str:
+    """A query as it is searched: lower case, Latin letters without diacritics; other scripts keep theirs."""
+    return re.sub(_MARKS, "", text.lower().translate(str.maketrans(*_marked_letters())))
+
+
 def folded(column: Column) -> Column:
-    """A body as it is searched: lower case, letters without their diacritics."""
-    return F.translate(F.lower(column), *_marked_letters())
+    """A body as it is searched, by the rule of ``plain``."""
+    return F.regexp_replace(F.translate(F.lower(column), *_marked_letters()), _MARKS, "")
 
 
 def _term_count(body: str, term: Term) -> Column:

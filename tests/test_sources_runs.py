@@ -249,3 +249,18 @@ def test_query_syntax(spark):
         assert {r["doc_id"] for r in retrieval.bm25(index, query).collect()} == want, query
     with pytest.raises(ValueError):
         retrieval.bm25(index, "-vu")
+
+
+def test_search_folds_both_sides_alike(spark):
+    """Other scripts keep their marks; Latin letters lose theirs, precomposed or not."""
+    import unicodedata
+    terms = ["район", "Άνθρωπος", "データ", "한국어", "exanthème", "Ångström", "tiếng"]
+    docs = [(f"D{i}", "comment", f"before {form} after") for i, t in enumerate(terms)
+            for form in [t]] + [(f"N{i}", "comment", f"before {unicodedata.normalize('NFD', t)} after")
+                                for i, t in enumerate(terms) if i > 3]
+    index = retrieval.text_index(spark.createDataFrame(docs, "doc_id string, kind string, full_text string"))
+    for i, t in enumerate(terms):
+        want = {f"D{i}", f"N{i}"} if i > 3 else {f"D{i}"}
+        for asked in {t, t.upper(), unicodedata.normalize("NFD", t) if i > 3 else t}:
+            got = retrieval.bm25(index, asked).collect()
+            assert {r["doc_id"] for r in got} == want and len({r["score"] for r in got}) == 1, asked
