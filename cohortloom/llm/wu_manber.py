@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .common import keyed_text, map_texts, steps, utf8
 
 #: Byte table: A-Z to lower case, every ASCII character but letters and digits to a space.
@@ -105,7 +106,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     source = keyed_text(docs, id_col, text_col)
     if len(slices) == 1:
         return _search(source, slices[0].collect(), keep_spans=False)
-    source = source.withColumn("row_mark", F.monotonically_increasing_id())
+    # numbered once: every slice must see the same row under the same number
+    source = written(source.withColumn("row_mark", F.monotonically_increasing_id()), "decontamination-texts")
     parts = [_search(source, part.collect(), keep_spans=True) for part in slices]
     every = parts[0]
     for part in parts[1:]:

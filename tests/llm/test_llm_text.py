@@ -212,6 +212,23 @@ def test_extraction_of_articles(spark):
         assert r["text"] == " ".join(html.unescape(plain).split())
 
 
+def test_contamination_numbers_rows_once(spark):
+    """Rows that change their order between reads keep their hits."""
+    def shuffled(batches):
+        import random
+        for batch in batches:
+            order = list(range(batch.num_rows))
+            random.SystemRandom().shuffle(order)
+            yield batch.take(pa.array(order))
+
+    items = spark.createDataFrame([(i, f"word{i} own{i}") for i in range(6)], "item_id long, text string")
+    docs = spark.range(60, numPartitions=4).selectExpr(
+        "id as doc_id", "concat('word', id % 6, ' own', id % 6) as text")
+    docs = docs.mapInArrow(shuffled, docs.schema)
+    for r in wu_manber.contamination(docs, items, slice_windows=1).collect():
+        assert (r["n_hit"], list(r["items"])) == (2, [str(r["doc_id"] % 6)])
+
+
 def test_classifier(spark, awkward, nothing):
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in table(spark, sf, "labels").collect()}
