@@ -1,5 +1,159 @@
-"""Plain SQL restatements of the training-data queries that SQL can express."""
+"""Plain SQL restatements of the training-data queries that SQL can express.
+
+They compare plainly where the operators are indirect: every block with every template,
+every order of the filters, every node of a tree.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from .license_join import PHRASES, TEMPLATES, THRESHOLD, Templates, word_list
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FOLDED = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _quoted(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _license_join() -> str:
+    templates = ", ".join(
+        f"({n}, '{label}', {block}, {_quoted(held)}, {required})"
+        for n, (label, block, held, required) in enumerate(Templates(TEMPLATES, THRESHOLD).sets))
+    phrases = ", ".join(f"('{label}', {_quoted(word_list(p))})" for p, label in PHRASES.items())
+    return f"""
+    with docs as (select row_number() over () as row, doc_id, {_FOLDED} as held from documents),
+    phrases(label, wanted) as (values {phrases}),
+    templates(number, label, size, wanted, required) as (values {templates}),
+    places as (
+        select row, label, unnest(list_filter(range(len(held)), lambda i: held[i + 1:i + len(wanted)] = wanted)) as place
+        from docs, phrases),
+    base as (
+        select row, count(*) as n_base, min(place) as first_word, max(place) as last_word,
+               list_sort(list_distinct(list(label))) as labels
+        from places group by row),
+    blocks as (
+        select row, size, list_distinct(held[b * size + 1:b * size + 2 * size]) as own
+        from (select row, size, held, unnest(range(0, (len(held) + size - 1) // size)) as b
+              from docs, (select distinct size from templates))),
+    matched as (
+        select row, list_distinct(list(label)) as labels, max(shared / len(wanted)) as part
+        from (select row, label, wanted, required, len(list_intersect(wanted, own)) as shared
+              from blocks join templates using (size) where len(own) >= required)
+        where shared >= required group by row)
+    select doc_id, cast(len(held) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base,
+           cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
+           coalesce(array_to_string(base.labels, ','), '') as base_labels,
+           coalesce(array_to_string(list_sort(list_distinct(
+               coalesce(base.labels, []) || coalesce(matched.labels, []))), ','), '') as labels,
+           case when n_base > 0 then 1.0 else coalesce(part, 0.0) end :: double as score
+    from docs left join base using (row) left join matched using (row)"""
+
+
+_DIAGRAMS = r"""
+    with docs as (
+        select doc_id, coalesce(lang, '') as part, coalesce(text, '') as body,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as held
+        from documents),
+    firsts as (select body, min(doc_id) as first_id from docs group by body),
+    marks as (select doc_id, max(cast(quality = 1 as int)) as good, max(cast(toxic = 1 as int)) as toxic
+              from labels where doc_id is not null group by doc_id),
+    fails as (
+        select row_number() over () as row, part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+               map {
+                   'A': len(held) < 200,
+                   'B': 100 * len(list_distinct(held)) < 50 * len(held),
+                   'C': 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 3 * length(body),
+                   'D': regexp_matches(body, '[#$%&*|]'),
+                   'E': coalesce(first_id < doc_id, false)} as fail
+        from docs join firsts using (body) left join marks using (doc_id)),
+    letters(l) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+    orders as (
+        select a.l || b.l || c.l || d.l || e.l as filter_order
+        from letters a, letters b, letters c, letters d, letters e
+        where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+    counted as (
+        select part, fail, count(*) as n, sum(good) as good, sum(toxic) as toxic from fails group by all),
+    met as (
+        select part, filter_order, step, n, good, toxic, fail[filter_order[step]] as failing,
+               len(list_filter(range(1, step), lambda i: fail[filter_order[i]])) > 0 as gone,
+               len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda l: fail[l])) = 1 as alone
+        from counted, orders, (select unnest(range(1, 6)) as step)),
+    steps as (
+        select part, filter_order, cast(step as int) as step,
+               cast(coalesce(sum(n) filter (not gone and not failing), 0) as bigint) as kept,
+               cast(coalesce(sum(n) filter (not gone and failing), 0) as bigint) as removed,
+               cast(coalesce(sum(n) filter (gone and failing), 0) as bigint) as redundant,
+               cast(coalesce(sum(n) filter (alone and failing), 0) as bigint) as unique_fails,
+               cast(coalesce(sum(good) filter (not gone and failing), 0) as bigint) as good_lost,
+               cast(coalesce(sum(toxic) filter (not gone and failing), 0) as bigint) as toxic_lost
+        from met group by part, filter_order, step)
+    select *, cast(sum(removed) over (partition by part, filter_order[step]) as bigint) as shapley from steps"""
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen({name} :: varchar) || ':' || {name} :: varchar, '-')"
+
+
+def _tree(out: str, leaves: str) -> str:
+    """Nodes of every level of the trees over ``leaves`` (grp, place, digest)."""
+    return f"""
+    {out} as (
+        select 0 as level, grp, place, count(*) over (partition by grp) as n, digest from {leaves}
+        union all
+        select level + 1, grp, place // 2, (min(n) + 1) // 2, sha256(string_agg(digest, '' order by place))
+        from {out} where n > 1 group by level, grp, place // 2)"""
+
+
+def _followed(out: str, leaves: str, tree: str) -> str:
+    """Every row of ``leaves`` (row, grp, place, n, digest) led up its tree, with the siblings' digests."""
+    return f"""
+    {out} as (
+        select 0 as level, row, grp, place, n, digest, '' as proof from {leaves}
+        union all
+        select f.level + 1, f.row, f.grp, f.place // 2, (f.n + 1) // 2,
+               sha256(case when f.place % 2 = 1 then s.digest || f.digest else f.digest || coalesce(s.digest, '') end),
+               f.proof || coalesce(s.digest, '')
+        from {out} f left join {tree} s on s.grp = f.grp and s.level = f.level and s.place = xor(f.place, 1)
+        where f.n > 1)"""
+
+
+def _crc32(text: str) -> str:
+    """The checksum of a short text: its bytes enter one by one, each followed by eight steps."""
+    steps = (f"flatten(list_transform(range(1, strlen({text}) + 1), lambda i: "
+             f"[ord({text}[i]) :: bigint, -1, -1, -1, -1, -1, -1, -1, -1]))")
+    return (f"xor(list_reduce([4294967295 :: bigint] || {steps}, lambda c, b: case when b >= 0 then xor(c, b) "
+            "when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end), 4294967295)")
+
+
+_MERKLE = f"""
+    with recursive docs as (
+        select row_number() over () as row, doc_id, coalesce('+' || lang, '-') as grp,
+               {" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))} as plain,
+               {" || ".join(_field(c) for c in ("doc_id", "source", "lang", "(n_chars + 1)", "text"))} as other,
+               coalesce({_crc32("(doc_id :: varchar)")} % 7 = 0, false) as changed
+        from documents),
+    leaves as (
+        select row, doc_id, grp, sha256(plain) as digest, sha256(case when changed then other else plain end) as read,
+               row_number() over (partition by grp order by doc_id nulls first, sha256(plain)) - 1 as place,
+               count(*) over (partition by grp) as n
+        from docs),
+    {_tree("nodes", "leaves")},
+    ordered as (
+        select grp as own, digest, 'all' as grp, row_number() over (order by grp = '-' desc, encode(grp)) - 1 as place,
+               count(*) over () as n
+        from nodes where n = 1),
+    {_tree("crown", "ordered")},
+    {_followed("inside", "(select row, grp, place, n, read as digest from leaves)", "nodes")},
+    {_followed("above", """(select i.row, o.grp, o.place, o.n, i.digest from inside i
+        join ordered o on o.own = i.grp where i.n = 1)""", "crown")}
+    select l.doc_id, l.digest as leaf, o.digest as subroot, r.digest as root,
+           sha256(i.proof || a.proof) as proof_sha256, a.digest as folded_root, a.digest = r.digest as verified
+    from leaves l join ordered o on o.own = l.grp join (select digest from crown where n = 1) r on true
+    join inside i on i.row = l.row and i.n = 1 join above a on a.row = l.row and a.n = 1"""
+
+ORACLE: dict[str, str] = {
+    "op11_license_join": _license_join(),
+    "op12_filter_diagrams": _DIAGRAMS,
+    "op13_merkle_witness": _MERKLE,
+}

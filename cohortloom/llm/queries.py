@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bbit_minhash, hilbert, line_runs, mixture_packing, packed_ids, subword_classifier,
+from . import (bbit_minhash, filter_diagrams, hilbert, license_join, line_runs, merkle_witness,
+               mixture_packing, packed_ids, subword_classifier,
                suffix_rules, surrogates, tree_extract, wu_manber)
 from .common import reachable, table
 
@@ -97,3 +98,22 @@ def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+@query
+def op12_filter_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_diagrams.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_merkle_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, with one in seven changed when its witness is followed."""
+    def changed(id_col: str) -> Column:
+        return F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 0
+    found = merkle_witness.manifest(table(spark, sf_dir, "documents"), changed)
+    return found.drop("lang", "proof")
