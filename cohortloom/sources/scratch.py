@@ -29,12 +29,12 @@ def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix="cohortloom-")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write once and read back, so several passes share one computation.
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write once, with Parquet options if given, and read back: several passes share one computation.
 
     The table is on shared storage: losing executors costs a re-read, not a re-run.
     """
     spark = df.sparkSession
     target = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(target)
+    df.write.options(**options).parquet(target)
     return spark.read.schema(df.schema).parquet(target)
