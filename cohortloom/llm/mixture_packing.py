@@ -1,13 +1,14 @@
 """Packing of documents into training sequences under a source mixture.
 
-Every source is a queue of pieces in id order, and deficit round-robin serves the queues:
-each round adds to a source's credit its share of a window, a piece leaves in the first
-round whose credit covers it, and what is left is carried on. With carried credit the
-round of a piece is the tokens of its queue up to its end, divided by the source's share
-and rounded up, so the service order needs only running totals: one over each queue and,
-after a sort by (round, source, place), one over the stream that windows are cut from.
-Both are distributed sums over parts; deficits thereby carry across windows and partitions
-exactly.
+Every source is a queue of its documents' tokens in id order, and deficit round-robin serves
+the queues: each round adds to a source's credit its share of a window, whole tokens leave
+up to that credit, and the rest of it is carried on. A source whose share of a window is
+under ``LEAST`` tokens saves its credit for several rounds. With carried credit a token's
+round follows from its place in its queue, so the service order needs only running totals:
+one of the documents over each queue and, after a sort by (round, source, place), one of
+the pieces over the stream that windows are cut from. Both are distributed sums over parts;
+deficits thereby carry across windows and partitions exactly. While all queues last, a
+window holds of each source its share, give or take the tokens of one turn.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,23 +29,21 @@ from .common import steps
 from .units import ENCODE_BYTES, encoder
 
 WINDOW = 2048
+#: Tokens that a source's turn has at least, so pieces are not cut to shreds for tiny sources.
+LEAST = 16
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """row, doc_id, source, n_tokens and the ids in two or four bytes each; one pass, no shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        kind = "<u2" if max(coder.vocabulary, end_id + 1) <= 1 << 16 else "<u4"
-        end = np.array([end_id], dtype=kind).tobytes()
-        size = np.dtype(kind).itemsize
+        size = coder.kind.itemsize
         for batch in batches:
             for part in steps(batch, "text", ENCODE_BYTES):
-                ids, reach = coder.encode(part.column("text"))
-                data, cuts = ids.astype(kind).tobytes(), (reach * size).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("source"), pa.array(np.diff(reach) + 1),
-                     pa.array([data[a:b] + end for a, b in zip(cuts, cuts[1:])], pa.binary())],
-                    names=["doc_id", "source", "n_tokens", "ids"])
+                ids = coder.encode(part.column("text"), end_id)
+                n_tokens = pc.divide(pc.binary_length(ids), size).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), n_tokens, ids],
+                                                 names=["doc_id", "source", "n_tokens", "ids"])
 
     made = docs.mapInArrow(run, "doc_id long, source string, n_tokens long, ids binary")
     return made.withColumn("row", F.monotonically_increasing_id())
@@ -98,28 +98,54 @@ def queue_totals(rows: DataFrame, order: list[str], value: str, name: str,
         *[c for c in columns if c not in ("part", "place")], (F.col("inside") + F.col("base")).alias("reach"))
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, piece: int = WINDOW,
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, least: int = LEAST,
          shares: dict[str, float] | None = None, end_id: int = 1, id_col: str = "doc_id",
          text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, start, length, ids, doc_tokens, sequence_id, offset, source: a row per piece.
+    """row, doc_id, source, n_tokens, ids and pieces (start, length, sequence_id, offset) per document.
 
     ``shares``: target tokens per source, any scale; sources that it leaves out, or all
-    without it, have their share of the tokens, so all queues end together. A source of
-    share 0 is refused: its documents would never be packed. ``piece`` is the longest run of
-    a document that leaves a queue at once. Once a queue is empty the others go on, so every
-    document is packed. All sequences are full but the last.
+    without it, have their share of the tokens. With the sources' own shares all queues end
+    together, so every window meets the target; with others the queues that last longest
+    fill the last windows, as every document is packed. A share of 0 is refused: its
+    documents would never be packed. A document is cut where a turn of its queue ends and
+    where a window ends. All sequences are full but the last.
 
     Null or empty text: the end id alone. A null source is a queue of its own. Equal ids and
     repeated rows stay separate documents. An empty table gives no rows.
     """
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                        F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    coded = written(encoded(slim, tokenizer, end_id), "packing-ids")
+    coded = written(encoded(slim, tokenizer, end_id), "packing-ids", compression="zstd")
     narrow = coded.select("row", "doc_id", "source", "n_tokens")
-    cut = narrow.withColumn("start", F.explode(F.sequence(
-        F.lit(0).cast("bigint"), F.col("n_tokens") - 1, F.lit(piece).cast("bigint")))).withColumn(
-        "length", F.least(F.lit(piece), F.col("n_tokens") - F.col("start")))
-    queues = queue_totals(cut, ["source", "doc_id", "row", "start"], "length", "packing-queues", "source")
+    queues = queue_totals(narrow, ["source", "doc_id", "row"], "n_tokens", "packing-queues", "source")
+    turns = _turns(narrow, shares, window, least)
+    met = queues.join(turns, F.col("source").eqNullSafe(F.col("queue")))
+    first = F.col("reach") - F.col("n_tokens")
+    # the turns that a document may meet; turns tile the queue, so empty ones can be dropped
+    turn = F.explode(F.sequence(F.greatest(F.lit(1), F.floor(first / F.col("turn"))),
+                                F.ceil(F.col("reach") / F.col("turn")) + 1))
+    low = F.greatest(F.col("first"), F.floor((F.col("k") - 1) * F.col("turn")))
+    high = F.least(F.col("reach"), F.floor(F.col("k") * F.col("turn")))
+    served = met.select("row", "source", first.alias("first"), "reach", "turn", "rounds", turn.alias("k")).select(
+        (F.col("k") * F.col("rounds")).alias("round"), "source", low.alias("place"), "row",
+        (low - F.col("first")).alias("start"), (high - low).alias("length")).filter("length > 0") \
+        .withColumnRenamed("place", "queue_place")
+    stream = queue_totals(served, ["round", "source", "queue_place"], "length", "packing-stream")
+    at = F.col("reach") - F.col("length")
+    begin, end = F.floor(at / window), F.floor((F.col("reach") - 1) / window)
+    cuts = stream.withColumn("at", at).withColumn("sequence_id", F.explode(F.sequence(begin, end)))
+    low = F.greatest(F.col("at"), F.col("sequence_id") * window)
+    high = F.least(F.col("at") + F.col("length"), (F.col("sequence_id") + 1) * window)
+    placed = cuts.select("row", (F.col("start") + low - F.col("at")).alias("start"), (high - low).alias("length"),
+                         "sequence_id", (low - F.col("sequence_id") * window).alias("offset"))
+    # a document's pieces: as many as its own tokens ask for
+    per_row = placed.groupBy("row").agg(F.array_sort(F.collect_list(
+        F.struct("start", "length", "sequence_id", "offset"))).alias("pieces"))
+    return coded.join(per_row, "row")
+
+
+def _turns(narrow: DataFrame, shares: dict[str, float] | None, window: int, least: int) -> DataFrame:
+    """Per queue the tokens of a turn, and the rounds that it saves for one."""
     weight = narrow.groupBy("source").agg(F.sum("n_tokens").cast("double").alias("weight"))
     if shares:
         if min(shares.values()) <= 0:
@@ -127,26 +153,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, piece: int = WIN
         given = narrow.sparkSession.createDataFrame(
             [(name, float(share)) for name, share in shares.items()], "name string, share double")
         scale = weight.join(given, F.col("source").eqNullSafe(F.col("name")), "left")
-        covered = scale.filter("share is not null").agg(
-            F.sum("weight"), F.sum("share")).first()
+        covered = scale.filter("share is not null").agg(F.sum("weight"), F.sum("share")).first()
         factor = (covered[0] or 1.0) / (covered[1] or 1.0)
         weight = scale.select("source", F.coalesce(F.col("share") * factor, F.col("weight")).alias("weight"))
     every = weight.agg(F.sum("weight")).first()[0] or 1.0
-    quantum = weight.select(F.col("source").alias("queue"), (F.col("weight") / every * window).alias("quantum"))
-    served = queues.join(quantum, F.col("source").eqNullSafe(F.col("queue"))).withColumn(
-        "round", F.ceil(F.col("reach") / F.col("quantum"))).drop("queue", "quantum", "reach")
-    stream = queue_totals(served, ["round", "source", "doc_id", "row", "start"], "length", "packing-stream")
-    at = F.col("reach") - F.col("length")
-    first, last = F.floor(at / window), F.floor((F.col("reach") - 1) / window)
-    cuts = stream.withColumn("at", at).withColumn("sequence_id", F.explode(F.sequence(first, last)))
-    low = F.greatest(F.col("at"), F.col("sequence_id") * window)
-    high = F.least(F.col("at") + F.col("length"), (F.col("sequence_id") + 1) * window)
-    placed = cuts.select("row", (F.col("start") + low - F.col("at")).alias("start"), (high - low).alias("length"),
-                         "sequence_id", (low - F.col("sequence_id") * window).alias("offset"))
-    # a document's pieces: as many as its own tokens ask for
-    per_row = placed.groupBy("row").agg(F.array_sort(F.collect_list(
-        F.struct("start", "length", "sequence_id", "offset"))).alias("pieces"))
-    return coded.join(per_row, "row")
+    quantum = F.col("weight") / every * window
+    rounds = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.lit(least) / quantum))
+    return weight.select(F.col("source").alias("queue"), rounds.alias("rounds"), (rounds * quantum).alias("turn"))
 
 
 def pieces(packed: DataFrame, with_ids: bool = True) -> DataFrame:

@@ -167,19 +167,17 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         coder, writer, target = encoder(tokenizer), None, None
-        end = np.array([end_id], dtype="<u4").tobytes()
         fs, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for part in steps(batch, "text", ENCODE_BYTES):
-                ids, reach = coder.encode(part.column("text"))
-                data, cuts = ids.tobytes(), reach.tolist()
-                for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                coded = coder.encode(part.column("text"), end_id)
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), coded.to_pylist()):
                     if writer is None:
                         fs.create_dir(root, recursive=True)
                         target = f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
                         bits = width(max(coder.vocabulary, end_id + 1))
                         writer = Writer(fs.open_output_stream(target), bits)
-                    writer.add(doc_id, data[4 * cuts[i]:4 * cuts[i + 1]] + end)
+                    writer.add(doc_id, np.frombuffer(ids, coder.kind).astype("<u4").tobytes())
         if writer is not None:
             writer.close()
             writer.out.close()
@@ -188,8 +186,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, id_col:
                 "path": [f"{folder}/{shard:06d}.ids"], "shard": pa.array([shard], pa.int32()),
                 "n_docs": [len(writer.docs)], "n_ids": [writer.total]})
 
-    laid = keyed_text(docs, id_col, text_col).repartitionByRange("doc_id") \
-        .sortWithinPartitions("doc_id")
+    # many rows may share an id or lack one: the text's hash parts them
+    mark = F.xxhash64("text")
+    laid = keyed_text(docs, id_col, text_col).repartitionByRange("doc_id", mark) \
+        .sortWithinPartitions("doc_id", mark)
     manifest = written(laid.mapInArrow(run, "path string, shard int, n_docs long, n_ids long"),
                        "packed-ids-manifest")
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per file

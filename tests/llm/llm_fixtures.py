@@ -23,6 +23,7 @@ def awkward(spark):
         (11, "the same few words again and again " * 30, "en", "c", 0), (12, "one", "en", "b", 3),
         (13, "Mail eva.b12@mail3.example.com or +1 (212) 555-0188, card 4111 1111 1111 1111.", "en", "c", 1),
         (14, "Mrs. Anna Berg met Mr. Paul Lund; Mrs. Berg wrote eva.b12@mail3.example.com from 10.2.3.4.", "en", "c", 1),
+        (16, "x <|endoftext|> y <|STARTOFTEXT|>\n<|startoftext|>z", "en", "c", 1),
         (15, "été déjà vu, naïve café — 日本 語 text with wide　space", "fr", "c", 1),
     ]
     schema = ("doc_id long, text string, lang string, source string, n_chars long, n long, part int, row long, "

@@ -24,10 +24,12 @@ def test_units_give_the_library_ids(name):
     odd = ["", " ", "  a b", "a\n\nb ", "\t\tfoo bar\n", "don't 'll  've", "a\x1cb c", "<|endoftext|> x", "ΣAΣ Σ",
            "x\r\ny", "日本 語", "wide　space", "İ, é.", "a\x01b \x01 c", "é ́x", None]
     odd += [f"a{chr(c)}, {chr(c)}b {chr(c)}{chr(c)}." for c in range(0x20, 0x2100, 7)]
-    ids, reach = coder.encode(pa.array(odd, pa.string()))
-    for i, text in enumerate(odd):
-        want = coder.tokenizer.encode(text or "", add_special_tokens=False).ids
-        assert ids[reach[i]:reach[i + 1]].tolist() == want, text
+    odd += ["<|startoftext|>a<|endoftext|>", "<|StartOfText|> b", "<| c", "a  <|endoftext|>\u3000d"]
+    plain = Tokenizer.from_file(vocabulary(name))
+    for text, ids in zip(odd, coder.encode(pa.array(odd, pa.string()), 1).to_pylist()):
+        assert np.frombuffer(ids, coder.kind).tolist() == \
+            [*plain.encode(text or "", add_special_tokens=False).ids, 1], text
+    assert coder.single and len(coder.encode(pa.array([], pa.string()), 1)) == 0
 
 
 @settings(max_examples=150, deadline=None)
@@ -35,8 +37,7 @@ def test_units_give_the_library_ids(name):
 def test_units_on_any_text(texts):
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         coder = units.encoder(vocabulary(name))
-        ids, reach = coder.encode(pa.array(texts, pa.string()))
-        got = [ids[a:b].tolist() for a, b in zip(reach, reach[1:])]
+        got = [np.frombuffer(x, coder.kind).tolist() for x in coder.encode(pa.array(texts, pa.string())).to_pylist()]
         assert got == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -71,7 +72,6 @@ def check_ids(spark, docs, tmp_path):
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"])
                  for r in packed_ids.read_digests(manifest).collect())
     coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True
     at, left = 0, [(d, coder.encode(t or "", add_special_tokens=False).ids + [1]) for d, t in pairs(docs)]
     assert [g[1] for g in got] == sorted((d for d, _ in left), key=lambda d: (d is not None, d or 0))
     for start, doc_id, n, crc in got:
