@@ -180,8 +180,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, label_
         .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))) \
         .groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
-    # at most ``sample`` rows of two numbers
-    return keyed_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    # at most ``sample`` rows of two numbers; of rows that share an id one text is learned from
+    return keyed_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id") \
+        .groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),

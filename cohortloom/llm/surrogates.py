@@ -41,12 +41,16 @@ ENDINGS = {
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя",
              "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
+#: Draws before a form grows, and before the search for free surrogates is given up.
+GROWS_AFTER, MOST_DRAWS = 1, 40
+
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _NAME = r"\p{Lu}\p{M}*+(?:['’]\p{Lu})?\p{Ll}[\p{L}\p{M}]*+"
 _AFTER_KEY = r"(?<=(?i:token|secret|password|passwd|key)\s{0,2}[=:]\s{0,2}[\"']?)"
 #: Kinds in the order in which a value is claimed.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+",
+    # possessive groups are loops: others recurse, and a long run of labels would overflow the stack
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}0-9-]++(?:\.[\p{L}0-9-]*[\p{L}0-9])++",
     # to the end of the value: 16 plain characters show a secret, others may follow; the stop of a sentence stays out
     "secret": _AFTER_KEY + r"(?=[A-Za-z0-9_.~+/=-]{16})(?=[_.~+/=-]*+[A-Za-z0-9])"
                            r"[A-Za-z0-9_.~+/=:%$!*^#@-]{15,}[A-Za-z0-9_~+/=%$*^#@-]",
@@ -56,6 +60,8 @@ PATTERNS = {
             r"|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{3}){3}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{5})(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
              r"|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
+    "ip6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+           r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
           r"(?!\.?[0-9])",
@@ -69,7 +75,7 @@ def _cheap(text: Column) -> Column:
     """No value lacks all of these: texts without them are passed by without the long patterns."""
     title = reduce(Column.__or__, [text.contains(t) for ts in TITLES.values() for t in ts])
     word = (text.contains("=") | text.contains(":")) & text.rlike("(?i)token|secret|passw|key")
-    return text.rlike("[0-9@]") | title | word
+    return text.rlike("[0-9@]") | text.contains("::") | title | word
 
 
 def _whole(kind: str) -> str:
@@ -85,7 +91,7 @@ def _no_card(value: Column) -> Column:
 
 def _kind(value: Column, secret: Column) -> Column:
     kind = F.lit("secret")
-    for name in ("person", "ip", "ssn", "phone"):
+    for name in ("person", "ip", "ssn", "ip6", "phone"):
         kind = F.when(value.rlike(_whole(name)), F.lit(name)).otherwise(kind)
     kind = F.when(~_no_card(value), F.when(value.rlike(_whole("card")), F.lit("card")).otherwise(kind)) \
         .otherwise(F.when(secret, F.lit("secret")).otherwise(F.lit("keep")))
@@ -112,11 +118,15 @@ def _parts(value: Column, kind: Column) -> Column:
         return F.regexp_replace(x, "[^0-9A-Za-z]", "")
 
     canonical = F.when(kind.isin("card", "ssn", "iban", "phone"), bare(value)) \
-        .when(kind == "email", F.lower(value)).otherwise(value)
+        .when(kind == "ip6", F.lower(value)).otherwise(value)
+    user, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     # no card as a whole: 16 digits before a further group still are one, and 6 and 4 digits a telephone number
     head, tail = F.substring(value, 1, 19), F.substring(value, F.lit(20), F.length(value))
     area, line = F.substring(value, 1, 5), F.substring(value, F.lit(6), F.length(value))
     return F.when(kind == "person", F.transform(words, word)) \
+        .when(kind == "email", F.array(
+            part(F.lit("mailbox"), F.lower(value), user), part(F.lit("keep"), F.lit("@"), F.lit("@")),
+            part(F.lit("domain"), F.lower(domain), domain))) \
         .when((kind == "keep") & value.rlike("^(?:[0-9]{4}[ -]){4}"), F.array(
             part(F.lit("card"), bare(head), head), part(F.lit("keep"), tail, tail))) \
         .when((kind == "keep") & value.rlike("^[0-9]{4}[ -][0-9]{6}[ -][0-9]{4}$"), F.array(
@@ -193,19 +203,45 @@ def surrogate(kind: Column, canonical: Column, key: str, attempt: Column, h: Col
     stem = F.substring(whole, F.lit(1), F.length(whole) - 1)
     check = F.pmod(F.lit(10) - _luhn(F.concat(stem, F.lit("0"))) + _luhn(canonical), F.lit(10))
     user = F.substring_index(canonical, "@", 1)
-    domain = F.substring_index(canonical, "@", -1)
-    host = F.concat(_letters(F.substring_index(domain, ".", 1), F.col("domain_h"), F.lit(0)), F.lit(".example.org"))
+    # a form that is crowded grows from the third draw on, so there is always a free one
+    extra = F.when(attempt > GROWS_AFTER, F.substring(F.get(h, F.lit(1)), F.lit(1), attempt - GROWS_AFTER)).otherwise("")
+    digits, letters = F.translate(extra, "abcdef", "012345"), F.translate(extra, "0123456789", "ghijklmnop")
+    host = F.concat(_letters(F.substring_index(canonical, ".", 1), h, F.lit(0)), letters, F.lit(".example.org"))
     lead = F.when(F.length(canonical) > 10, F.length(canonical) - 10).otherwise(0)
     return F.when(kind.isin("surname", "given_f", "given_m"), _name(kind, canonical, h, attempt)) \
         .when(kind == "ip", F.concat_ws(".", *[o.cast("string") for o in octet])) \
         .when(kind == "card", F.concat(stem, check.cast("string"))) \
-        .when(kind == "email", F.concat(_letters(user, h, F.lit(0)), F.lit("@"), host)) \
-        .when(kind == "phone", _letters(canonical, h, lead)) \
-        .when(kind == "iban", _letters(canonical, h, F.lit(2))) \
+        .when(kind == "mailbox", F.concat(_letters(user, h, F.lit(0)), letters)) \
+        .when(kind == "domain", host) \
+        .when(kind == "phone", F.concat(_letters(canonical, h, lead), digits)) \
+        .when(kind == "ssn", F.concat(whole, digits)) \
+        .when(kind == "ip6", _hex_letters(canonical, h)) \
+        .when(kind == "iban", _iban(canonical, _letters(canonical, h, F.lit(2)))) \
         .when((kind == "secret") & canonical.rlike("^[0-9A-Fa-f]+$"), F.when(
             canonical.rlike("[A-F]"), F.upper(_hex(canonical, h))).otherwise(_hex(canonical, h))) \
-        .when((kind == "secret") & (attempt > 15), F.concat(whole, F.substring(F.get(h, F.lit(1)), F.lit(1), attempt - 15))) \
-        .otherwise(whole)
+        .otherwise(F.concat(whole, extra))
+
+
+def _mod97(text: Column) -> Column:
+    """A number modulo 97 in which letters stand for two digits, A for 10."""
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.when(
+        c.rlike("[0-9]"), F.pmod(a * 10 + c.cast("int"), F.lit(97))).otherwise(
+        F.pmod(a * 100 + F.ascii(F.upper(c)) - 55, F.lit(97))))
+
+
+def _iban(canonical: Column, drawn: Column) -> Column:
+    """The drawn account with check digits as valid as they were."""
+    body, country = F.substring(drawn, F.lit(5), F.length(drawn)), F.substring(canonical, 1, 2)
+    check = F.lpad((F.lit(98) - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
+    valid = _mod97(F.concat(F.substring(canonical, F.lit(5), F.length(canonical)), F.substring(canonical, 1, 4))) == 1
+    return F.when(valid, F.concat(country, check, body)).otherwise(drawn)
+
+
+def _hex_letters(canonical: Column, h: Column) -> Column:
+    """Each hexadecimal digit exchanged for another."""
+    return F.array_join(F.transform(F.split(canonical, ""), lambda c, k: F.when(
+        c.rlike("[0-9a-f]"), F.substring(F.lit("0123456789abcdef"), F.lit(1) + F.pmod(_byte(h, k), F.lit(16)), F.lit(1)))
+        .otherwise(c)), "")
 
 
 def _hex(canonical: Column, h: Column) -> Column:
@@ -215,10 +251,7 @@ def _hex(canonical: Column, h: Column) -> Column:
 def _drawn(values: DataFrame, key: str) -> DataFrame:
     """Surrogates of kind, canonical, attempt; hashes are columns, so that no character takes them anew."""
     kind, canonical, attempt = F.col("kind"), F.col("canonical"), F.col("attempt")
-    domain = F.substring_index(canonical, "@", -1)
-    hashed = values.select(
-        "kind", "canonical", "attempt", _keyed(kind, canonical, key, attempt).alias("h"),
-        F.when(kind == "email", _keyed(F.lit("domain"), domain, key, F.lit(0))).alias("domain_h"))
+    hashed = values.select("kind", "canonical", "attempt", _keyed(kind, canonical, key, attempt).alias("h"))
     return hashed.select("kind", "canonical", "attempt",
                          surrogate(kind, canonical, key, attempt, F.col("h")).alias("made"))
 
@@ -232,8 +265,12 @@ def _dressed(kind: Column, form: Column, made: Column) -> Column:
     laid = F.aggregate(chars, F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), lambda a, c: F.when(
         c.rlike("[0-9A-Za-z]"), F.struct(F.concat(a["out"], F.substring(made, a["n"] + 1, F.lit(1))).alias("out"),
                                         (a["n"] + 1).alias("n")))
-        .otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["n"].alias("n"))), lambda a: a["out"])
+        .otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["n"].alias("n"))),
+        # a grown surrogate has more characters than the mention
+        lambda a: F.concat(a["out"], F.substring(made, a["n"] + 1, F.length(made))))
+    shouted = form.rlike("\\p{Lu}") & ~form.rlike("\\p{Ll}") & (F.length(form) > 1)
     return F.when(kind.isin("surname", "given_f", "given_m"), named) \
+        .when(kind.isin("mailbox", "domain", "ip6") & shouted, F.upper(made)) \
         .when(kind.isin("card", "ssn", "iban", "phone"), laid).otherwise(made)
 
 
@@ -241,12 +278,13 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     """kind, canonical -> surrogate, all apart within a kind and none a real value of the table.
 
     A surrogate that is taken, by an earlier draw or the lesser canonical form, or that is
-    itself in the table, is drawn again under the next attempt, until none is left.
+    itself in the table, is drawn again under the next attempt, until none is left. Crowded
+    forms grow (GROWS_AFTER), so few draws are enough; after MOST_DRAWS an error says so.
     """
     distinct = written(entities.filter("kind <> 'keep'").select("kind", "canonical").distinct(), "entities")
     now = written(_drawn(distinct.withColumn("attempt", F.lit(0)), key), "surrogates")
     real = distinct.select("kind", F.col("canonical").alias("made"), F.lit(True).alias("real"))
-    while True:
+    for _ in range(MOST_DRAWS):
         first = now.groupBy("kind", "made").agg(
             F.min(F.struct("attempt", "canonical"))["canonical"].alias("owner"), F.count(F.lit(1)).alias("k"))
         taken = first.filter("k > 1").select("kind", "made", "owner")
@@ -260,6 +298,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         columns = ["kind", "canonical", "attempt", "made"]
         now = written(judged.filter("not again").select(*columns).unionByName(drawn.select(*columns)),
                       "surrogates")
+    raise RuntimeError(f"surrogates still meet after {MOST_DRAWS} draws")
 
 
 def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,9 +44,10 @@ _APART = re.compile(
 #: Tags whose furniture may be a wrapper of the whole article.
 _WRAPPERS = frozenset("form fieldset header".split())
 _KEEPS = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body)(?:$|[\s_-])", re.I)
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|"
-    r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A start tag; its quoted values may hold anything, or, on a page where a quote is left open, nothing special.
+_START = re.compile(r"<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_PLAIN_START = re.compile(r"<([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_END = re.compile(r"</([a-zA-Z][^\s/>]*+)[^>]*+>")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""",
                         re.I)
 _CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"},
@@ -70,61 +71,123 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(source)}
 
 
+class _Path:
+    """The open nodes from the root down, and at which depths each tag and the blocks stand."""
+
+    def __init__(self) -> None:
+        self.nodes = [Node("#root", None, {})]
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in _BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, depth: int) -> None:
+        """The node at ``depth`` and all below it end."""
+        while len(self.nodes) > depth:
+            tag = self.nodes.pop().tag
+            self.depths[tag].pop()
+            if tag in _BLOCK:
+                self.blocks.pop()
+
+    def last(self, tags: frozenset[str] | set[str]) -> int:
+        """Depth of the innermost open node with one of the tags; 0 if there is none."""
+        return max((d[-1] for d in map(self.depths.get, tags) if d), default=0)
+
+    def end(self, tag: str) -> None:
+        """An end tag; an inline one does not close the blocks around it, one without a start does nothing."""
+        found = self.depths.get(tag)
+        if found and (tag in _BLOCK or not self.blocks or self.blocks[-1] < found[-1]):
+            self.close(found[-1])
+
+    def start(self, tag: str, attrs: dict) -> Node:
+        """A new child of the innermost node, once those are closed that it does not go into."""
+        if tag in _BLOCK and self.blocks and self.nodes[self.blocks[-1]].tag == "p":
+            self.close(self.blocks[-1])
+        if tag in _CLOSES:
+            found = self.last(_CLOSES[tag])
+            if found > self.last(_CONTAINERS):
+                self.close(found)
+        node = Node(tag, self.nodes[-1], attrs)
+        self.nodes[-1].children.append(node)
+        return node
+
+
 def parse(source: str) -> Node:
-    """A tree of the page; unclosed and misnested tags are mended as browsers mostly do."""
-    root = Node("#root", None, {})
-    here, at = root, 0
-    lowered = None
-    for_end = len(source)
-    while at < for_end:
-        found = _TOKEN.search(source, at)
-        if not found:
-            here.children.append(source[at:])
-            break
-        if found.start() > at:
-            here.children.append(source[at:found.start()])
-        at = found.end()
-        if found[1]:
+    """A tree of the page; unclosed and misnested tags are mended as browsers mostly do.
+
+    One pass: every step moves on in the source, and no search that failed is made again.
+    """
+    path = _Path()
+    start, at, size, text = _START, 0, len(source), 0  # text: where the text not yet in the tree begins
+    lowered, close = None, -1  # close: the next ">" that was found
+
+    def put(stop: int) -> None:
+        if stop > text:
+            path.nodes[-1].children.append(source[text:stop])
+
+    while True:
+        at = source.find("<", at)
+        if close < at:
+            close = source.find(">", at)
+        if at < 0 or close < 0:
+            # what is left has no whole tag; a comment left open hides the rest
+            hidden = source.find("<!--", at) if at >= 0 else -1
+            put(size if hidden < 0 else hidden)
+            return path.nodes[0]
+        if source.startswith("<!--", at):
+            put(at)
+            stop = source.find("-->", at + 4)
+            if stop < 0:
+                return path.nodes[0]
+            at = text = stop + 3
+            continue
+        if source[at + 1] in "!?":
+            put(at)
+            at = text = close + 1
+            continue
+        found = _END.match(source, at)
+        if found:
+            put(at)
+            at = text = found.end()
             tag = found[1].lower()
             if tag == "br":
-                here.children.append(Node("br", here, {}))
-                continue
-            node = here
-            while node is not root and node.tag != tag:
-                # an inline end tag does not close the blocks around it
-                if node.tag in _BLOCK and tag not in _BLOCK:
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                here = node.parent
-        elif found[2]:
-            tag = found[2].lower()
-            if tag in _BLOCK:
-                node = here
-                while node is not root and (node.tag not in _BLOCK):
-                    node = node.parent
-                if node.tag == "p":
-                    here = node.parent
-            if tag in _CLOSES:
-                node = here
-                while node is not root and node.tag not in _CLOSES[tag] and node.tag not in _CONTAINERS:
-                    node = node.parent
-                if node.tag in _CLOSES[tag]:
-                    here = node.parent
-            child = Node(tag, here, _attributes(found[3]))
-            here.children.append(child)
-            if tag in _RAW:
-                if lowered is None:
-                    lowered = source.lower()
-                end = lowered.find("</" + tag, at)
-                stop = for_end if end < 0 else end
-                child.children.append(source[at:stop])
-                close = source.find(">", stop)
-                at = for_end if end < 0 or close < 0 else close + 1
-            elif tag not in _VOID and not (found[3] or "").rstrip().endswith("/"):
-                here = child
-    return root
+                path.start("br", {})
+            else:
+                path.end(tag)
+            continue
+        found = start.match(source, at)
+        if not found and start is _START and source[at + 1].isalpha() and source[at + 1].isascii():
+            start = _PLAIN_START  # a quote is open to the end: from here on quotes are plain characters
+            found = start.match(source, at)
+        if not found:
+            at += 1
+            continue
+        put(at)
+        at = text = found.end()
+        tag, rest = found[1].lower(), found[2]
+        child = path.start(tag, _attributes(rest))
+        if tag in _RAW:
+            if lowered is None:
+                lowered = _lower(source)
+            end = lowered.find("</" + tag, at)
+            stop = size if end < 0 else end
+            child.children.append(source[at:stop])
+            close = source.find(">", stop)
+            if end < 0 or close < 0:
+                return path.nodes[0]
+            at = text = close + 1
+        elif tag not in _VOID and not rest.rstrip().endswith("/"):
+            path.push(child)
+
+
+def _lower(source: str) -> str:
+    """A-Z lowered, every character in its place."""
+    lowered = source.lower()  # longer where a character has no single small letter
+    return lowered if len(lowered) == len(source) else source.translate({c: c + 32 for c in range(65, 91)})
 
 
 def _names(node: Node) -> str:
@@ -377,7 +440,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
               html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row; pages are read whole, no shuffle.
 
-    Null or empty html gives an empty text; repeated rows stay.
+    Null or empty html gives an empty text; repeated rows stay. A page that is broken off,
+    or has tags, quotes or comments left open, takes time in proportion to its length.
     """
     def look(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = [extract(x) for x in part.column("html").to_pylist()]

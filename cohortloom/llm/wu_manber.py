@@ -71,7 +71,8 @@ class Searcher:
 def windows(benchmark: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """Distinct windows (words joined by a space) with the items that hold them.
 
-    A shorter item is one window; an item without words has none.
+    A shorter item is one window; an item without words has none. The windows of an item
+    without id are searched like all others and add nothing to the list of items.
     """
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         seen = []
@@ -84,8 +85,7 @@ def windows(benchmark: DataFrame, size: int, id_col: str, text_col: str) -> Data
             [pa.array([w for w, _ in seen], pa.string()), pa.array([i for _, i in seen], pa.string())],
             names=["window", "item"])
 
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"),
-                             F.col(text_col).alias("text")).filter(F.col("item").isNotNull())
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     return map_texts(items, "window string, item string", cut) \
         .groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
@@ -99,8 +99,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     their size has a bound whatever the benchmark's; with more than one slice the texts
     are read once per slice and the hit spans of a row are united. No text or item is cut.
 
-    Null or wordless texts have no words and no hits; items without words or id match
-    nothing; an empty benchmark gives rows without hits; repeated rows stay separate.
+    Null or wordless texts have no words and no hits; items without words match nothing,
+    those without id hit words but are not listed; an empty benchmark gives rows without hits; repeated rows stay separate.
     """
     slices = _slices(windows(benchmark, size, item_col, item_text), slice_windows)
     source = keyed_text(docs, id_col, text_col)
@@ -132,7 +132,10 @@ def _slices(patterns: DataFrame, slice_windows: int) -> list[DataFrame]:
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text",
           item_col: str = "item_id", item_text: str = "text", slice_windows: int = 1_000_000) -> DataFrame:
-    """The rows of ``docs``, all columns, in whose text no benchmark window occurs; no shuffle."""
+    """The rows of ``docs``, all columns, in whose text no benchmark window occurs; no shuffle.
+
+    Null and empty texts stay, also repeated rows; an empty benchmark keeps every row.
+    """
     for part in _slices(windows(benchmark, size, item_col, item_text), slice_windows):
         docs = _without(docs, part.collect(), text_col)
     return docs

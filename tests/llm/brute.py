@@ -47,7 +47,7 @@ def contamination(docs, items, size=10):
     for item, text in items:
         w = FOLDED.findall((text or "").translate(UP))
         for i in range(max(1, len(w) - size + 1)) if w else []:
-            windows[tuple(w[i:i + size])].add(str(item))
+            windows[tuple(w[i:i + size])] |= {str(item)} - {"None"}
     lengths = {len(k) for k in windows}
     out = []
     for doc_id, text in docs:
@@ -56,7 +56,7 @@ def contamination(docs, items, size=10):
         for m in lengths:
             for i in range(len(w) - m + 1):
                 own = windows.get(tuple(w[i:i + m]))
-                if own:
+                if own is not None:
                     hit.update(range(i, i + m))
                     found |= own
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()

@@ -208,6 +208,33 @@ def test_surrogates_stay_apart(spark):
     assert m and m[2] == m[4] != "Петров" and re.fullmatch(r"Κύριος [α-ωΑ-Ως]+ [α-ωΑ-Ως]+", found[2])
 
 
+def test_crowded_and_endless_forms(spark):
+    """A thousand one-letter addresses need longer surrogates; a long run of labels must not recurse."""
+    users = [chr(c) for c in range(0x61, 0x2000) if chr(c).isalpha() and chr(c).islower() and len(chr(c).upper()) == 1]
+    rows = [(i, f"mail {u}@x.com now") for i, u in enumerate(users[:1000])]
+    rows += [(2000 + i, f"mail a@{c}.com now") for i, c in enumerate("bcdefghijklmnopqrstuvwxyz0123456789")]
+    rows += [(3000 + i, f"call +12 34 {i:02d} now") for i in range(100)]
+    rows += [(4000, "x@" + "a." * 500_000 + "b end"), (4001, "JOE.B@EXAMPLE.CO.UK, joe.b@example.co.uk, joe@münchen.de"),
+             (4002, "IBAN DE89 3704 0044 0532 0130 00."), (4003, "DE88 3704 0044 0532 0130 00"),
+             (4004, "fe80::1 at 12:30:45, 2001:0db8:85a3:0000:0000:8a2e:0370:7334")]
+    out = {r["doc_id"]: r["text"] for r in surrogates.replace(
+        spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    mails = [re.fullmatch(r"mail (\S+)@(\S+) now", out[i]) for i in range(1000)]
+    assert len({m[1] for m in mails}) == 1000 and len({m[2] for m in mails}) == 1
+    hosts = [re.fullmatch(r"mail \S+@(\S+)\.example\.org now", out[2000 + i])[1] for i in range(35)]
+    assert len(set(hosts)) == 35 and len({out[3000 + i] for i in range(100)}) == 100
+    assert re.fullmatch(r"[a-z]+@[a-z]+\.example\.org end", out[4000])
+    a, b, c = out[4001].split(", ")
+    assert a == b.upper() and b != c and "joe" not in out[4001]
+
+    def mod97(text):
+        text = re.sub("[^0-9A-Z]", "", text)
+        return int("".join(str(int(x, 36)) for x in text[4:] + text[:4])) % 97
+    assert mod97(out[4002][5:-1]) == 1 and out[4002] != "IBAN DE89 3704 0044 0532 0130 00."
+    assert re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", out[4003]) and "3704 0044" not in out[4003]
+    assert re.fullmatch(r"[0-9a-f]{4}::[0-9a-f] at 12:30:45, [0-9a-f]{4}(:[0-9a-f]{4}){7}", out[4004])
+
+
 def test_surrogate_detection_is_whole(spark):
     """Against a plain reading of the planted kinds, over the whole table."""
     forms = [r"[\w.+-]+@mail\d+\.example\.com", r"\+1 \(\d{3}\) 555-\d{4}", r"(?<!\d)\d{16}(?!\d)",

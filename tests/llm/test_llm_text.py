@@ -1,5 +1,7 @@
 """Readers of single texts: token ids, repetition, extraction, contamination, classifier."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -129,7 +131,7 @@ def test_contamination(spark, awkward, nothing):
         "cast(99 as long) doc_id", f"'x {' '.join(words).upper()}, y' text",
         *[c for c in awkward.columns if c not in ("doc_id", "text")]))
     for docs, bench in ((texts, items), (table(spark, SF, "documents"), table(spark, SF, "benchmark"))):
-        known = [(r["item_id"], r["text"]) for r in bench.collect() if r["item_id"] is not None]
+        known = [(r["item_id"], r["text"]) for r in bench.collect()]
         want = sorted(brute.contamination(pairs(docs), known), key=str)
         for limit in (1_000_000, 7 if bench is items else 500):
             got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], len(r["items"]), wu_manber.items_digest(r["items"]),
@@ -166,6 +168,24 @@ def test_extraction(spark):
     assert tree_extract.extract(deep) == "deep text, really"
 
 
+def test_extraction_is_linear():
+    """A megabyte of tags, quotes or comments that are never closed, and of ends without a start."""
+    n = 1_000_000
+    for unit, tail in (("<a ", ""), ("<a ", ">"), ('<a b="', ""), ('<a b="', '">'), ("<p '", ">"), ("<!-- ", ""),
+                       ("<!", ""), ("</a ", ""), ("<", ">"), ("<script>", ""), ('<i x="y>', "<p>end.")):
+        began = time.process_time()
+        tree_extract.extract(unit * (n // len(unit)) + tail)
+        assert time.process_time() - began < 20, unit
+    for first, second in (("<div>", "</p>"), ("<b>", "</i>"), ("<i><div>" + "<b>", "</i>"), ("<div>", "<td>"),
+                          ("<li><b>", "</li>"), ("<div>some words, and more ", "</div>")):
+        began = time.process_time()
+        half = n // 4
+        tree_extract.extract(first * (half // len(first)) + second * (half // len(second)))
+        assert time.process_time() - began < 40, first
+    assert tree_extract.extract('<p>One, two.</p><a b="x><p>Three, four.</p>') == "One, two. Three, four."
+    assert tree_extract.extract('<p title="a > b <i>">One, two.</p><p>1 < 2</p>') == "One, two. 1 < 2"
+
+
 def test_extraction_of_other_page_shapes():
     """Headings and leads beside an article, text in cousins, articles in forms and furniture."""
     def p(k, n=300):
