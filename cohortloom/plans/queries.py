@@ -16,7 +16,7 @@ from ..functions import attrs, stats, text, values
 from ..functions.mentions import MentionReader
 from ..operators import (ablation, aggregates, anchors, compare, episodes, evaluate, extract,
                          normalize, retrieval, runs, scoring, silver, trace)
-from ..sources.scratch import written
+from ..sources.scratch import once, written
 from ..sources.snapshot import with_numbers
 from . import order_trial
 from .trial import Trial
@@ -28,9 +28,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+#: The tables that the mapping of orders to trials reads.
+INPUTS = ("orders", "lineitem", "customer", "nation")
+
+
 def trial(spark: SparkSession, sf_dir: str) -> Trial:
-    """The trial behind a directory, its event keys joined once and written."""
-    return Trial(order_trial.snapshot(spark, sf_dir, written(order_trial.base(spark, sf_dir), "event-keys")))
+    """The trial behind a directory: its plans are built once a session, its event keys written once."""
+    def make() -> Trial:
+        return Trial(order_trial.snapshot(spark, sf_dir, written(order_trial.base(spark, sf_dir), "event-keys")))
+    return once(spark, "trial", [f"{sf_dir}/{name}.parquet" for name in INPUTS], make)
 
 
 def query(fn: Callable[[Trial], DataFrame]) -> Callable[[Trial], DataFrame]:
@@ -41,7 +47,10 @@ def query(fn: Callable[[Trial], DataFrame]) -> Callable[[Trial], DataFrame]:
 
 def scan_query(fn: Callable[[Trial], DataFrame]) -> Callable[[Trial], DataFrame]:
     """A query that reads one table of the trial once: nothing is written for it."""
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Trial(order_trial.snapshot(spark, sf_dir)))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        paths = [f"{sf_dir}/{name}.parquet" for name in INPUTS]
+        return fn(once(spark, "scanned", paths, lambda: Trial(order_trial.snapshot(spark, sf_dir))))
+    QUERIES[fn.__name__] = run
     return fn
 
 
