@@ -40,7 +40,7 @@ _SMALL_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 _SAMPLES = ["straße".encode(), "été".encode(), b"a", b"internationalization", "ñandú".encode(), b"zzqx"]
 #: How byte-level models spell bytes: printable ones as themselves, the others from U+0100 on.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_BYTE_SIGNS = {b: 0x100 + n for n, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+_BYTE_SIGNS = {b: chr(0x100 + n) for n, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 _TAIL = b".,;:!?%&*#$|)\""
 _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 
@@ -141,34 +141,30 @@ class Encoder:
         if end:  # the end id is one more unit of each text
             codes = np.insert(codes, bounds[1:], len(known))
             bounds = bounds + np.arange(len(bounds))
-        ids = pa.array([*known, end], pa.binary()).take(pa.array(codes))
+        ids = pa.concat_arrays([known, pa.array([end], pa.binary())]).take(pa.array(codes))
         _, offsets, data = ids.buffers()
         reach = np.frombuffer(offsets, dtype=np.int32)[ids.offset + bounds] if len(ids) else np.zeros(len(bounds), np.int32)
         return pa.Array.from_buffers(pa.binary(), len(bounds) - 1,
                                      [None, pa.py_buffer(np.ascontiguousarray(reach)), data or pa.py_buffer(b"")])
 
-    def _by_heads(self, units: pa.Array) -> list[bytes]:
+    def _by_heads(self, units: pa.Array) -> pa.Array:
         """Ids of distinct units; a word and the marks after it are looked up apart."""
         heads = pc.ascii_rtrim(units, characters=_TAIL.decode())
-        sizes, kept = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (units, heads))
-        _, offsets, data = heads.buffers()
-        ends = np.frombuffer(offsets, np.int32)[heads.offset:][1:len(heads) + 1]
-        last = np.frombuffer(data, np.uint8)[np.maximum(ends - 1, 0)] if data and data.size else \
-            np.zeros(len(heads), np.uint8)
+        begins, raw = _layout(units)
+        sizes, kept = np.diff(begins), np.diff(_layout(heads)[0])
+        last = np.frombuffer(raw, np.uint8)[np.maximum(begins[:-1] + kept - 1, 0)] if raw else np.zeros(len(heads), np.uint8)
         parted = (sizes > kept) & (kept > 0) & ((last >= 128) | _LETTER[last])
-        whole = _pieces(units.cast(pa.binary()))
         for i in np.flatnonzero(parted & (last >= 128)).tolist():
-            parted[i] = _ends_in_letter(whole[i][:kept[i]])
+            parted[i] = _ends_in_letter(raw[begins[i]:begins[i] + kept[i]])
         coded = pc.if_else(pa.array(parted), heads, units).dictionary_encode()
-        found = self._known(_pieces(coded.dictionary.cast(pa.binary())))
-        known = [found[i] for i in coded.indices.to_pylist()]
+        known = pa.array(self._known(_pieces(coded.dictionary.cast(pa.binary()))), pa.binary()).take(coded.indices)
         at = np.flatnonzero(parted)
-        tails = [whole[i][n:] for i, n in zip(at.tolist(), kept[at].tolist())]
-        marks = list(set(tails))
-        ids_of = dict(zip(marks, self._known(marks)))
-        for i, tail in zip(at.tolist(), tails):
-            known[i] += ids_of[tail]
-        return known
+        tails = [raw[i:j] for i, j in zip((begins[at] + kept[at]).tolist(), begins[at + 1].tolist())]
+        marks = {tail: k for k, tail in enumerate(dict.fromkeys(tails), 1)}
+        code = np.zeros(len(units), dtype=np.int32)
+        code[at] = [marks[tail] for tail in tails]
+        behind = pa.array([b"", *self._known(list(marks))], pa.binary()).take(pa.array(code))
+        return pc.binary_join_element_wise(known, behind, b"")
 
     def _known(self, units: list[bytes]) -> list[bytes]:
         """Ids of each unit, from memory or learned now."""
@@ -195,13 +191,19 @@ class Encoder:
         if self.single:
             tokenize, form = self.tokenizer.model.tokenize, "<%dH" if size == 2 else "<%dI"
             fits = _WORD.fullmatch if self.style == "bytes" else _SMALL_WORD.fullmatch
-            rest = []
+            space, rest = _BYTE_SIGNS[0x20], []
             for unit in units:
-                if fits(unit):
-                    ids = [t.id for t in tokenize(unit.decode("latin-1").translate(_BYTE_SIGNS))]
-                    memo[unit] = struct.pack(form % len(ids), *ids)
+                if unit.isalpha():  # of bytes: ASCII letters only
+                    text = unit.decode()
+                elif unit[:1] == b" " and unit[1:].isalpha():
+                    text = space + unit[1:].decode()
+                elif fits(unit):
+                    text = unit.decode("latin-1").translate(_BYTE_SIGNS)
                 else:
                     rest.append(unit)
+                    continue
+                ids = [t.id for t in tokenize(text)]
+                memo[unit] = struct.pack(form % len(ids), *ids)
             units = rest
         alone = [u for u in units if not u or u.isspace()] if self.mark is not None else units
         if alone:
@@ -233,11 +235,17 @@ def _even_units(texts: pa.Array) -> pa.Array:
     return pc.split_pattern(marked, "\0")
 
 
+def _layout(column: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Where each value of a string column begins and the last one ends, and its bytes."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[column.offset:column.offset + len(column) + 1]
+    return at, memoryview(data).tobytes() if data else b""
+
+
 def _pieces(column: pa.Array) -> list[bytes]:
     """A binary column as bytes objects, cut from its buffer."""
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, dtype=np.int32)[column.offset:column.offset + len(column) + 1].tolist()
-    raw = memoryview(data).tobytes() if data else b""
+    begins, raw = _layout(column)
+    at = begins.tolist()
     return [raw[a:b] for a, b in zip(at, at[1:])]
 
 
