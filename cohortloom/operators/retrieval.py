@@ -255,18 +255,23 @@ def bm25(index: DataFrame, text: str, id_column: str = "doc_id") -> DataFrame:
     return scored.select(id_column, (-total).alias("score"))
 
 
-def discover(mentions: DataFrame, index: DataFrame | None = None, *, text: str | None = None,
+def discover(mentions: DataFrame, index=None, *, text: str | None = None,
              modifier: Sequence[str] | None = None, assertion: Sequence[str] | None = None,
              value: Sequence[str] | None = None, studies: Sequence[str] | None = None,
              profile: Sequence[str] | None = None, top_k: int | None = None) -> DataFrame:
-    """Mentions in prose, best documents first. Every row is marked a candidate."""
+    """Mentions in prose, best documents first. Every row is marked a candidate.
+
+    ``index`` is an index of ``text_search.build`` or, for bodies without one, ``text_index``.
+    """
     rows = mentions
     for column, wanted in (("modifier", modifier), ("assertion", assertion), ("value", value),
                            ("study_id", studies), ("profile", profile)):
         if wanted:
             rows = rows.filter(F.col(column).isin(*wanted))
     if text:
-        rows = rows.join(bm25(index, text), "doc_id").withColumn("candidate", F.lit(True))
+        from . import text_search  # it builds on the terms and folding of this module
+        scored = bm25(index, text) if isinstance(index, DataFrame) else text_search.bm25(index, text)
+        rows = rows.join(scored, "doc_id").withColumn("candidate", F.lit(True))
         rows = rows.orderBy("score", "mention_id")
     else:
         rows = rows.withColumns({"score": F.lit(0.0), "candidate": F.lit(True)}).orderBy(

@@ -386,6 +386,8 @@ twin("evidence_search", """SELECT record_id, m_says AS assertion, m_variable AS
 twin("record_listing", """SELECT record_id, aeterm AS reported_term, code, concept, m_says AS modifier_assertion, m_value AS modifier_value,
   m_method AS modifier_method, off AS exposure_offset_days FROM rc WHERE s = 3 AND m_says = 'uncertain'
   ORDER BY study_id, subject_id, rid LIMIT 25""")
+twin("record_listing_all", """SELECT record_id, aeterm AS reported_term, code, concept, m_says AS modifier_assertion, m_value AS modifier_value,
+  m_method AS modifier_method, off AS exposure_offset_days FROM rc WHERE s = 3 AND m_says = 'uncertain'""")
 twin("record_listing_total", "SELECT count(*) AS n FROM rc WHERE s = 4 AND m_method = 'extracted'")
 twin("study_restriction", "SELECT study_id, verdict, count(*) AS n FROM v2 WHERE s IN (0, 1) GROUP BY 1, 2", V2)
 twin("concept_group_scope", "SELECT study_id, concept AS concept_id, count(*) AS n FROM ev WHERE concept LIKE 'RASH%' OR concept = 'PRURITUS' GROUP BY 1, 2")
@@ -561,8 +563,8 @@ twin("verdict_upsert", """SELECT definition_id, definition_version, verdict, cou
      V1, DOSE, TOX)
 
 
-def bm25(docs: str, terms: list[str], key: str, banned: str = "false") -> str:
-    """Terms: words, or conditions over the token list ``tk`` and a place ``i`` in it."""
+def bm25(docs: str, terms: list[str], key: str, banned: str = "false", fits: str = "") -> str:
+    """Terms: words, or conditions over the token list ``tk`` and a place ``i`` in it; ``fits``: other than all of them."""
     tf = ", ".join(f"len(list_filter(range(1, len(tk) + 1), lambda i: {t})) AS tf{i}" if "tk[" in t
                    else f"len(list_filter(tk, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(terms)))
@@ -573,12 +575,17 @@ def bm25(docs: str, terms: list[str], key: str, banned: str = "false") -> str:
     return (f"tok AS (SELECT {key}, regexp_extract_all(strip_accents(lower(body)), '[\\p{{L}}\\p{{N}}]+') AS tk FROM ({docs})), "
             f"tfs AS (SELECT {key}, len(tk) AS dl, {banned} AS banned, {tf} FROM tok), "
             f"sts AS (SELECT count(*) AS nd, avg(dl) AS ml, {df} FROM tfs), "
-            f"bm AS (SELECT {key}, -({score}) AS score FROM tfs, sts WHERE {every} AND NOT banned)")
+            f"bm AS (SELECT {key}, -({score}) AS score FROM tfs, sts WHERE {fits or every + ' AND NOT banned'})")
 
 
 twin("mention_search", """SELECT mention_id, v AS value, round(score, 6) AS score, true AS candidate FROM mn JOIN bm USING (doc_id)
   WHERE a = 'present' ORDER BY score, mention_id LIMIT 40""", MENTIONS, DOCS,
      bm25("SELECT doc_id, full_text AS body FROM docs", ["exanthem", "together"], "doc_id"))
+twin("mention_search_all", """SELECT mention_id, v AS value, round(score, 6) AS score, true AS candidate FROM mn JOIN bm USING (doc_id)
+  WHERE a = 'present'""", MENTIONS, DOCS,
+     bm25("SELECT doc_id, full_text AS body FROM docs", ["exanthem", "together"], "doc_id"))
+twin("mention_browse_all", """SELECT mention_id, a AS assertion, 0.0::DOUBLE AS score FROM mn
+  WHERE a = 'absent' AND study_id IN ('STUDY-E', 'STUDY-G')""", MENTIONS)
 twin("mention_browse", """SELECT mention_id, a AS assertion, 0.0::DOUBLE AS score FROM mn WHERE a = 'absent' AND study_id IN ('STUDY-E', 'STUDY-G')
   ORDER BY mention_id LIMIT 30""", MENTIONS)
 twin("document_search", "SELECT doc_id, round(score, 6) AS score FROM bm",
@@ -586,6 +593,16 @@ twin("document_search", "SELECT doc_id, round(score, 6) AS score FROM bm",
 twin("document_phrase_search", "SELECT doc_id, round(score, 6) AS score FROM bm",
      bm25("SELECT doc_id, text AS body FROM documents", ["tk[i] = 'de' AND tk[i + 1] = 'la'", "starts_with(tk[i], 'cion')"],
           "doc_id", "list_contains(tk, 'licensed')"), base="")
+twin("document_search_any", "SELECT doc_id, round(score, 6) AS score FROM bm",
+     bm25("SELECT doc_id, text AS body FROM documents", ["tk[i] = 'mit' AND tk[i + 1] = 'license'", "apache", "version",
+                                                         "tk[i] = 'de' AND tk[i + 1] = 'la'"],
+          "doc_id", "len(list_filter(tk, lambda x: starts_with(x, 'cion'))) > 0",
+          "tf0 > 0 OR (tf1 > 0 AND tf2 > 0) OR (tf3 > 0 AND NOT banned)"), base="")
+twin("index_words", """SELECT term, count(*) AS n_docs, cast(sum(tf) AS bigint) AS n_places, cast(sum(place) AS bigint) AS first_places FROM (
+  SELECT doc_id, term, count(*) AS tf, min(place) AS place FROM (
+    SELECT doc_id, unnest(tk) AS term, unnest(range(len(tk))) AS place FROM (
+      SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS tk FROM documents))
+  GROUP BY 1, 2) GROUP BY 1""", base="")
 twin("dense_rerank", """SELECT vec_id, label, round(list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0)), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 5) AS score
   FROM embeddings""", base="")
 

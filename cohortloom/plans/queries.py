@@ -15,7 +15,7 @@ from .. import fixed_values as fixed
 from ..functions import attrs, stats, text, values
 from ..functions.mentions import MentionReader
 from ..operators import (ablation, aggregates, anchors, compare, episodes, evaluate, extract,
-                         normalize, retrieval, runs, scoring, silver, trace)
+                         normalize, retrieval, runs, scoring, silver, text_search, trace)
 from ..sources.scratch import once, written
 from ..sources.snapshot import with_numbers
 from . import order_trial
@@ -301,6 +301,14 @@ def record_listing(t: Trial) -> DataFrame:
                        "modifier_value", "modifier_method", "exposure_offset_days")
 
 
+@query
+def record_listing_all(t: Trial) -> DataFrame:
+    """The listing without its limit."""
+    _, rows = aggregates.list_records(t.records, MUCOSAL, limit=None, profile="P_both", assertion="uncertain")
+    return rows.select("record_id", "reported_term", "code", "concept", "modifier_assertion",
+                       "modifier_value", "modifier_method", "exposure_offset_days")
+
+
 @query
 def record_listing_total(t: Trial) -> DataFrame:
     total, _ = aggregates.list_records(t.records, MUCOSAL, profile="P_negated", method="extracted")
@@ -797,22 +805,55 @@ def mention_browse(t: Trial) -> DataFrame:
         "mention_id", "assertion", "score")
 
 
+@query
+def mention_search_all(t: Trial) -> DataFrame:
+    """Every mention that the search of ``mention_search`` finds."""
+    return t.discover("exanthem together", assertion=["present"]).select(
+        "mention_id", "value", F.round("score", 6).alias("score"), "candidate")
+
+
+@query
+def mention_browse_all(t: Trial) -> DataFrame:
+    return t.discover(assertion=["absent"], studies=["STUDY-E", "STUDY-G"]).select(
+        "mention_id", "assertion", "score")
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> text_search.TextIndex:
+    """The index of the documents table, built once a session."""
+    path = f"{sf_dir}/documents.parquet"
+    return once(spark, "document-index", [path], lambda: text_search.build(
+        spark.read.parquet(path).select("doc_id", F.col("text").alias("full_text"))))
+
+
+def _search(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return text_search.bm25(document_index(spark, sf_dir), text).select(
+        "doc_id", F.round("score", 6).alias("score"))
+
+
 @table_query
 def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        "doc_id", F.lit("document").alias("kind"), F.col("text").alias("full_text"))
-    return retrieval.bm25(retrieval.text_index(docs), "the of").select(
-        "doc_id", F.round("score", 6).alias("score"))
+    return _search(spark, sf_dir, "the of")
 
 
 @table_query
 def document_phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase, a beginning and an excluded word, without regard to diacritics."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        "doc_id", F.lit("document").alias("kind"), F.col("text").alias("full_text"))
-    return retrieval.bm25(retrieval.text_index(docs), '"de la" cion* -Licensed').select(
-        "doc_id", F.round("score", 6).alias("score"))
+    return _search(spark, sf_dir, '"de la" cion* -Licensed')
+
+
+@table_query
+def document_search_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold one of three things."""
+    return _search(spark, sf_dir, '"mit license" OR apache version OR "de la" -cion*')
+
+
+@table_query
+def index_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the index with their documents, places and the sum of first places."""
+    return document_index(spark, sf_dir).postings.groupBy("term").agg(
+        F.count("*").alias("n_docs"), F.sum("tf").cast("bigint").alias("n_places"),
+        F.sum(F.element_at("positions", 1)).cast("bigint").alias("first_places"))
 
 
 @table_query

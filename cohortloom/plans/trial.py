@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import TrialConfig
 from ..definitions import Definition, shipped_definitions
 from ..operators import (ablation, aggregates, compare, episodes, evaluate, extract, normalize,
-                         retrieval, runs, scoring, silver, trace)
+                         retrieval, runs, scoring, silver, text_search, trace)
 from ..sources.scratch import written
 from ..sources.snapshot import Snapshot
 
@@ -133,9 +133,13 @@ class Trial:
             flat = retrieval.attach_verdicts(flat, self.assignments(definition))
         return retrieval.retrieve(flat, self.config, **filters)
 
+    @cached_property
+    def text_index(self) -> text_search.TextIndex:
+        """The inverted index of the documents, written at its first use."""
+        return text_search.build(self.snapshot.documents)
+
     def discover(self, text: str | None = None, **filters) -> DataFrame:
-        return retrieval.discover(self.mentions(), retrieval.text_index(self.snapshot.documents),
-                                  text=text, **filters)
+        return retrieval.discover(self.mentions(), self.text_index if text else None, text=text, **filters)
 
     def evidence_package(self, definition: str, results_dir: str, runs_dir: str,
                          question: str = "", studies: Sequence[str] | None = None) -> dict:
