@@ -86,7 +86,7 @@ class MentionReader:
                             for i, (c, cls) in enumerate(cues.items())})
             before += len(cues)
             for layer in prefix_free(list(cues)):
-                found.append("transform(" + hits(window, [cue_pattern(c) for c in layer], "ch")
+                found.append("transform(" + hits(window, [cue_pattern(c) for c in layer], "ch", inside=True)
                              + ", h -> " + let("f", f"try_element_at({table}, trim(h.k))",
                              "named_struct('rank', cast(f.name as int), 'len', h.e - h.s, "
                              f"'pos', f.rank, 's', {base} + h.s, 'e', {base} + h.e, "

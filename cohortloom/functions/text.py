@@ -63,23 +63,41 @@ def folded_key(phrase: str) -> str:
     return " ".join(phrase.lower().replace("-", " ").split())
 
 
-def hits(text: str, patterns: list[str], name: str) -> str:
+#: Pieces that one step of a running length goes over.
+STRIDE = 256
+
+
+def before(pieces: str, base: str, i: str) -> str:
+    """Code points in the pieces before the i-th, with ``base`` from ``bases``: at most STRIDE steps."""
+    return (f"{base}[{i} div {STRIDE}] + aggregate(slice({pieces}, ({i} div {STRIDE}) * {STRIDE} + 1, {i} % {STRIDE}), "
+            "0, (acc, y) -> acc + length(y))")
+
+
+def bases(pieces: str) -> str:
+    """Code points before every STRIDE-th piece."""
+    return (f"transform(sequence(0, greatest(0, (size({pieces}) - 1) div {STRIDE})), "
+            f"b -> aggregate(slice({pieces}, 1, b * {STRIDE}), 0, (acc, y) -> acc + length(y)))")
+
+
+def hits(text: str, patterns: list[str], name: str, inside: bool = False) -> str:
     """Start, end and folded key of every place one of ``patterns`` begins.
 
     ``\\G`` ties each piece to the end of the one before: it holds the gap and the first
     character of a hit, so overlapping phrases are all found and offsets are sums of
-    piece lengths. The phrase itself is then read at its own start. At one start the
-    first pattern that matches wins; list the longest first.
+    piece lengths. The phrase itself is what the lookahead saw. At one start the first
+    pattern that matches wins; list the longest first. ``inside``: the text is part of one
+    sentence, with so few hits that every offset is summed up from its start.
     """
-    either = alternatives(patterns)
-    pieces = f"regexp_extract_all({text}, {quoted(rf'(?isU)\G.*?(?={either}).')}, 0)"
-    start = f"aggregate(slice({name}, 1, i + 1), 0, (acc, y) -> acc + length(y)) - 1"
-    phrase = (f"regexp_extract(substring({text}, {name}s + 1), "
-              f"{quoted(rf'(?isU)\A{either}')}, 0)")
-    key = f"regexp_replace(lower({name}h), {quoted(r'(?U)[\s-]+')}, ' ')"
-    one = let(f"{name}s", start, let(f"{name}h", phrase, (
-        f"named_struct('s', {name}s, 'e', {name}s + length({name}h), 'k', {key})")))
-    return let(name, pieces, f"transform({name}, (x, i) -> {one})")
+    chained = quoted(rf"(?isU)\G.*?(?=({alternatives(patterns)})).")
+    # few nested lambdas: the analyzer needs a round for each
+    pieces, seen = f"{name}.x", f"{name}.p[i]"
+    start = f"aggregate(slice({pieces}, 1, i + 1), 0, (acc, y) -> acc + length(y)) - 1" if inside else \
+        f"{before(pieces, f'{name}b', 'i')} + length(x) - 1"
+    key = f"regexp_replace(lower(z.h), {quoted(r'(?U)[\s-]+')}, ' ')"
+    placed = f"transform({pieces}, (x, i) -> named_struct('s', {start}, 'h', {seen}))"
+    both = ", ".join(f"'{field}', regexp_extract_all({text}, {chained}, {group})" for field, group in (("x", 0), ("p", 1)))
+    made = f"transform({placed}, z -> named_struct('s', z.s, 'e', z.s + length(z.h), 'k', {key}))"
+    return let(name, f"named_struct({both})", made if inside else let(f"{name}b", bases(pieces), made))
 
 
 def prefix_free(phrases: list[str]) -> list[list[str]]:
@@ -103,11 +121,11 @@ def sentences(text: str) -> str:
     """
     chained = quoted(rf"(?sU)\G.*?(?:\n|{fixed.SENTENCE_BREAK}|\z)")
     lead = f"length(regexp_extract(x, {quoted(r'(?U)^\s*')}, 0))"
-    start = f"aggregate(slice(sp, 1, i), 0, (acc, y) -> acc + length(y)) + {lead}"
+    start = f"{before('sp', 'spb', 'i')} + {lead}"
     trimmed = f"regexp_replace(x, {quoted(r'(?U)^\s+|\s+\z')}, '')"
-    one = let("st", trimmed, let("so", start, named("st", "so")))
-    return let("sp", f"regexp_extract_all({text}, {chained}, 0)",
-               f"filter(transform(sp, (x, i) -> {one}), x -> length(x.text) > 0)")
+    placed = f"transform(sp, (x, i) -> named_struct('text', {trimmed}, 's', {start}))"
+    return let("sp", f"regexp_extract_all({text}, {chained}, 0)", let("spb", bases("sp"), (
+        f"filter(transform({placed}, x -> {named('x.text', 'x.s')}), x -> length(x.text) > 0)")))
 
 
 def named(text: str, start: str) -> str:

@@ -598,6 +598,13 @@ twin("document_search_any", "SELECT doc_id, round(score, 6) AS score FROM bm",
                                                          "tk[i] = 'de' AND tk[i + 1] = 'la'"],
           "doc_id", "len(list_filter(tk, lambda x: starts_with(x, 'cion'))) > 0",
           "tf0 > 0 OR (tf1 > 0 AND tf2 > 0) OR (tf3 > 0 AND NOT banned)"), base="")
+twin("document_phrases", """SELECT doc_id, phrase, count(*) AS n, cast(sum(s) AS bigint) AS starts, cast(sum(s + length(phrase)) AS bigint) AS ends FROM (
+  SELECT doc_id, phrase, (k + 1) * length(phrase) - length(phrase) + list_sum(list_transform(parts[1:k + 1], lambda x: length(x))) AS s,
+         right(parts[k + 1], 1) AS l, left(parts[k + 2], 1) AS r
+  FROM (SELECT *, unnest(range(len(parts) - 1)) AS k FROM (
+    SELECT doc_id, phrase, string_split(lower(text), phrase) AS parts
+    FROM documents, (VALUES ('general public license'), ('apache license'), ('licensed under'), ('mit license')) AS p(phrase))))
+  WHERE NOT regexp_matches(l, '[\\p{L}\\p{N}_]') AND NOT regexp_matches(r, '[\\p{L}\\p{N}_]') GROUP BY 1, 2""", base="")
 twin("index_words", """SELECT term, count(*) AS n_docs, cast(sum(tf) AS bigint) AS n_places, cast(sum(place) AS bigint) AS first_places FROM (
   SELECT doc_id, term, count(*) AS tf, min(place) AS place FROM (
     SELECT doc_id, unnest(tk) AS term, unnest(range(len(tk))) AS place FROM (

@@ -856,6 +856,16 @@ def index_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.element_at("positions", 1)).cast("bigint").alias("first_places"))
 
 
+@table_query
+def document_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of license phrases in every whole document, by the reader of mentions."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    asked = ("general public license", "apache license", "licensed under", "mit license")
+    found = text.hits("t", [text.phrase_pattern(p) for p in asked], "h")
+    return docs.select("doc_id", F.inline(F.expr(found))).groupBy("doc_id", F.col("k").alias("phrase")).agg(
+        F.count("*").alias("n"), F.sum("s").cast("bigint").alias("starts"), F.sum("e").cast("bigint").alias("ends"))
+
+
 @table_query
 def dense_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors reordered by similarity to the first one."""
