@@ -1,12 +1,41 @@
 """Plain SQL restatements of the registered queries, over the raw tables.
 
 The trial tables are rebuilt from key arithmetic; what prose says is decided from
-the template a row was written with, independently of any pattern matching.
+the numbers a row was written with, independently of any pattern matching. Lexicons
+and catalogue are those of the configuration.
 """
 
 from __future__ import annotations
 
-EVENTS = """
+from .. import fixed_values as fixed
+
+
+def literal(words) -> str:
+    return "[" + ", ".join("'" + w.strip().replace("'", "''") + "'" for w in words) + "]"
+
+
+def nth(words, key: str) -> str:
+    return f"{literal(words)}[CAST(({key}) % {len(words)} AS INT) + 1]"
+
+
+def cued(assertion: str, modifier: str) -> str:
+    """One cue of the class, by pk + sk: those before the modifier first, then those after it."""
+    before, after = (fixed.EXTRACTION["assertion"]["cues"][assertion][side] for side in ("pre", "post"))
+    n = len(before) + len(after)
+    return (f"CASE WHEN (pk + sk) % {n} < {len(before)} THEN {literal(before)}[CAST((pk + sk) % {n} AS INT) + 1] || ' ' || {modifier} "
+            f"ELSE {modifier} || ' ' || {literal(after)}[CAST((pk + sk) % {n} AS INT) + 1 - {len(before)}] END")
+
+
+FORMS = {value: body["surface_forms"] for value, body in fixed.CONCEPTS["modifiers"]["mucosal_involvement"]["values"].items()}
+CONCEPTS = ["RASH", "RASH", "RASH", "RASH_ERYTHEMATOUS", "RASH_MACULOPAPULAR", "PRURITUS", "NAUSEA", "NEUTROPENIA"]
+EVENT = "CASE CAST(pk % 8 AS INT) " + " ".join(
+    f"WHEN {i} THEN {nth(fixed.CONCEPTS['concepts'][c]['lexicon'], 'sk')}" for i, c in enumerate(CONCEPTS)) + " END"
+PHRASE = ("CASE WHEN w = 3 THEN NULL WHEN w = 4 THEN 'site wording ' || pk % 97 WHEN w = 1 THEN " + nth(FORMS["UNSPECIFIED"], "pk")
+          + "".join(f" WHEN pk % {len(FORMS)} = {i} THEN {nth(forms, f'pk // {len(FORMS)}')}" for i, forms in enumerate(FORMS.values())) + " END")
+SAID = f"CASE w WHEN 1 THEN {cued('absent', 'phrase')} WHEN 2 THEN {cued('uncertain', 'phrase')} ELSE phrase END"
+IDLE = ("array_to_string(list_transform(range(1, CAST(CASE WHEN sk % 19 = 0 THEN 40 ELSE 1 + sk % 3 END AS BIGINT) + 1), "
+        "lambda i: 'Day ' || (pk + i) % 240 || ': ' || " + nth(fixed.EXTRACTION["assertion"]["pseudo_cues"], "pk + i") + " || '.'), ' ')")
+EVENTS = f"""
 ln AS (SELECT l_orderkey AS ok, l_linenumber AS ln, min(l_partkey) AS pk, min(l_suppkey) AS sk,
               min(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
 fd AS (SELECT o_custkey AS k, min(o_orderkey % 200) AS fday FROM orders GROUP BY 1),
@@ -21,16 +50,7 @@ e1 AS (SELECT *, 'R-' || ok || '-' || ln AS rid, 'C-' || k AS subject_id,
   ['RASH','RASH','RASH','RASH_ERYTHEMATOUS','RASH_MACULOPAPULAR','PRURITUS','NAUSEA','NEUTROPENIA'][CAST(pk % 8 AS INT) + 1] AS concept,
   CASE WHEN pk % 8 = 3 AND s NOT IN (1, 5) THEN 'Erythematous rash' ELSE
     ['Rash','Rash','Rash','Rash erythematous','Rash maculopapular','Pruritus','Nausea','Neutropenia'][CAST(pk % 8 AS INT) + 1] END AS code,
-  CASE WHEN pk % 8 <= 2 THEN ['exanthem','rash','skin rash'][CAST(sk % 3 AS INT) + 1]
-       WHEN pk % 8 = 3 THEN ['erythematous eruption','red rash'][CAST(sk % 2 AS INT) + 1]
-       WHEN pk % 8 = 4 THEN ['morbilliform rash','maculopapular rash'][CAST(sk % 2 AS INT) + 1]
-       WHEN pk % 8 = 5 THEN ['itch','pruritus'][CAST(sk % 2 AS INT) + 1]
-       WHEN pk % 8 = 6 THEN 'feeling sick' ELSE 'low neutrophils' END AS event,
-  ['ORAL','OCULAR','UNSPECIFIED','ORAL','GENITAL','ORAL','OCULAR','UNSPECIFIED','ORAL','GENITAL','OCULAR','UNSPECIFIED'][CAST(pk % 12 AS INT) + 1] AS site,
-  CASE w WHEN 1 THEN ['mucosal lesions','mucosal erosions','mucous membrane involvement'][CAST(pk % 3 AS INT) + 1]
-         WHEN 4 THEN ['raw patches inside the lip','a sore wet lining','blisters on the inner surfaces'][CAST(pk % 3 AS INT) + 1]
-         WHEN 3 THEN NULL
-         ELSE ['mouth ulceration','conjunctivitis','mucosal lesions','oral ulcers','genital ulceration','stomatitis','eye involvement','mucosal erosions','buccal erosions','genital erosions','ocular involvement','mucous membrane involvement'][CAST(pk % 12 AS INT) + 1] END AS phrase,
+  {EVENT} AS event, {literal(FORMS)}[CAST(pk % {len(FORMS)} AS INT) + 1] AS site, {PHRASE} AS phrase,
   CAST(pk % 240 - fday AS INT) AS off_true,
   DATE '2022-01-01' + CAST(pk % 240 AS INT) AS onset_true,
   CASE WHEN sk % 23 = 0 OR sk % 29 = 0 THEN NULL ELSE DATE '2022-01-01' + CAST(pk % 240 AS INT) END AS onset,
@@ -42,16 +62,14 @@ e1 AS (SELECT *, 'R-' || ok || '-' || ln AS rid, 'C-' || k AS subject_id,
   CASE WHEN t IN (0, 4) THEN 'present' WHEN t = 1 THEN 'absent' WHEN t = 2 THEN 'uncertain' END AS said,
   CASE w WHEN 0 THEN 'present' WHEN 1 THEN 'absent' WHEN 2 THEN 'uncertain' END AS told
   FROM w0),
+sd AS (SELECT *, {SAID} AS stated FROM e1),
 ev AS (SELECT *, study_id || ':' || rid AS record_id,
   CAST(date_diff('day', anchor, onset) AS INT) AS off,
   CASE WHEN NOT in_term THEN event
-    WHEN w IN (0, 4) THEN event || [' with the ' || phrase, ' on the trunk plus ' || phrase, ' and ' || phrase || ' as well'][CAST(sk % 3 AS INT) + 1]
-    WHEN w = 1 THEN event || [', negative for ' || phrase, ' in absence of ' || phrase, ': ' || phrase || ' not observed', ', ' || phrase || ' was excluded'][CAST(sk % 4 AS INT) + 1]
-    ELSE event || [' with suspected ' || phrase, ', equivocal ' || phrase, ', ' || phrase || ' remains unclear'][CAST(sk % 3 AS INT) + 1] END AS aeterm,
-  CASE WHEN NOT in_comment THEN NULL
-    WHEN t IN (0, 4) THEN ['Reviewed by the site: ' || phrase || ' present on both visits.', 'Photographs on file. The exanthem came together with ' || phrase || ' at the ward round.'][CAST(sk % 2 AS INT) + 1]
-    WHEN t = 1 THEN ['On review there is no evidence of ' || phrase || '.', 'Linings looked at and normal.'][CAST(sk % 2 AS INT) + 1]
-    ELSE 'Follow-up pending: possibly ' || phrase || '.' END AS remark,
+    WHEN w IN (0, 4) AND sk % 3 <> 1 THEN event || ' ' || {nth(fixed.LINK_WORDS[-3:], 'sk')} || ' ' || {nth(fixed.LINK_WORDS[:-3], 'pk')} || ' ' || phrase
+    ELSE event || ' on day ' || pk % 240 || ': ' || stated END AS aeterm,
+  CASE WHEN NOT in_comment THEN NULL ELSE {IDLE} || CASE WHEN t = 1 AND sk % 2 = 1 THEN ''
+    ELSE ' Day ' || pk % 240 || ': ' || stated || CASE WHEN t IN (0, 4) THEN ' at ' || 1 + sk % 4 || ' places' ELSE '' END || '.' END END AS remark,
   CASE WHEN in_term AND w IN (0, 1, 2) THEN told END AS term_says,
   CASE WHEN in_term AND w IN (0, 2) AND site <> 'UNSPECIFIED' THEN site END AS term_site,
   CASE WHEN NOT in_term THEN NULL WHEN w = 0 THEN [0.95, 0.78, 0.95][CAST(sk % 3 AS INT) + 1]
@@ -61,7 +79,7 @@ ev AS (SELECT *, study_id || ':' || rid AS record_id,
   CASE WHEN NOT in_comment THEN NULL WHEN t = 0 THEN 0.85 WHEN t = 1 AND sk % 2 = 0 THEN 0.9
        WHEN t = 2 THEN 0.55 END AS comment_conf,
   CASE WHEN in_structured THEN said END AS struct_says
-  FROM e1),
+  FROM sd),
 md AS (SELECT *,
   coalesce(struct_says, CASE WHEN s IN (1, 4) THEN term_says WHEN s = 6 THEN comment_says END) AS m_says,
   CASE WHEN struct_says IS NOT NULL THEN 'direct'
@@ -218,12 +236,10 @@ DECISION = ("CASE WHEN material THEN 'ADOPT' WHEN added_cases = 0 THEN 'DO NOT A
 MENTIONS = """
 mn0 AS (SELECT 'AE:' || rid || ':AETERM' AS doc_id, study_id, rid, 'reported_term' AS source_kind, aeterm AS txt, phrase, w AS t, sk,
     term_says AS a, term_site AS v, term_conf AS c, said,
-    CASE WHEN w = 1 THEN ['negative for ' || phrase, 'absence of ' || phrase, phrase || ' not observed', phrase || ' was excluded'][CAST(sk % 4 AS INT) + 1]
-         WHEN w = 2 THEN ['suspected ' || phrase, 'equivocal ' || phrase, phrase || ' remains unclear'][CAST(sk % 3 AS INT) + 1]
-         ELSE phrase END AS surface FROM ev WHERE term_says IS NOT NULL
+    stated AS surface FROM ev WHERE term_says IS NOT NULL
   UNION ALL SELECT rid || '-CO', study_id, rid, 'comment', '--- derived from order rows, for tests only ---' || chr(10) || remark, phrase, t, sk,
     comment_says, comment_site, comment_conf, said,
-    CASE WHEN t = 1 THEN 'no evidence of ' || phrase WHEN t = 2 THEN 'possibly ' || phrase ELSE phrase END FROM ev WHERE comment_says IS NOT NULL),
+    stated FROM ev WHERE comment_says IS NOT NULL),
 mn AS (SELECT *, doc_id || ':' || (instr(txt, surface) - 1) || ':' || a AS mention_id FROM mn0)"""
 DOCS = """
 docs AS (SELECT rid || '-CO' AS doc_id, rid, '--- derived from order rows, for tests only ---' || chr(10) || remark AS full_text
@@ -580,10 +596,10 @@ def bm25(docs: str, terms: list[str], key: str, banned: str = "false", fits: str
 
 twin("mention_search", """SELECT mention_id, v AS value, round(score, 6) AS score, true AS candidate FROM mn JOIN bm USING (doc_id)
   WHERE a = 'present' ORDER BY score, mention_id LIMIT 40""", MENTIONS, DOCS,
-     bm25("SELECT doc_id, full_text AS body FROM docs", ["exanthem", "together"], "doc_id"))
+     bm25("SELECT doc_id, full_text AS body FROM docs", ["oral", "delay"], "doc_id"))
 twin("mention_search_all", """SELECT mention_id, v AS value, round(score, 6) AS score, true AS candidate FROM mn JOIN bm USING (doc_id)
   WHERE a = 'present'""", MENTIONS, DOCS,
-     bm25("SELECT doc_id, full_text AS body FROM docs", ["exanthem", "together"], "doc_id"))
+     bm25("SELECT doc_id, full_text AS body FROM docs", ["oral", "delay"], "doc_id"))
 twin("mention_browse_all", """SELECT mention_id, a AS assertion, 0.0::DOUBLE AS score FROM mn
   WHERE a = 'absent' AND study_id IN ('STUDY-E', 'STUDY-G')""", MENTIONS)
 twin("mention_browse", """SELECT mention_id, a AS assertion, 0.0::DOUBLE AS score FROM mn WHERE a = 'absent' AND study_id IN ('STUDY-E', 'STUDY-G')

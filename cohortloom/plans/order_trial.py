@@ -5,6 +5,9 @@ with the tables. Keys and arithmetic decide everything, what a text says include
 same rows can be restated in plain SQL. Some texts say something else than the truth behind
 them (``w`` against ``t``): studies that hold a modifier twice then disagree with themselves,
 and some studies report what was not there.
+
+No sentence is listed here. Events, modifiers, cues and phrases that assert nothing are taken
+from the configured lexicons by key arithmetic, so every entry of them is written and read.
 """
 
 from __future__ import annotations
@@ -12,31 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fixed
 from ..sources.snapshot import Snapshot, document_defaults
 
-# sentences of this mapping; the forms inside them are the catalogue's
-EVENT_WORDS = (
-    ("exanthem", "rash", "skin rash"), ("erythematous eruption", "red rash"),
-    ("morbilliform rash", "maculopapular rash"), ("itch", "pruritus"), ("feeling sick",),
-    ("low neutrophils",),
-)
-SITE_PHRASES = (
-    ("ORAL", "mouth ulceration"), ("OCULAR", "conjunctivitis"), ("UNSPECIFIED", "mucosal lesions"),
-    ("ORAL", "oral ulcers"), ("GENITAL", "genital ulceration"), ("ORAL", "stomatitis"),
-    ("OCULAR", "eye involvement"), ("UNSPECIFIED", "mucosal erosions"), ("ORAL", "buccal erosions"),
-    ("GENITAL", "genital erosions"), ("OCULAR", "ocular involvement"),
-    ("UNSPECIFIED", "mucous membrane involvement"),
-)
-UNSPECIFIED_PHRASES = ("mucosal lesions", "mucosal erosions", "mucous membrane involvement")
-UNLISTED_PHRASES = ("raw patches inside the lip", "a sore wet lining", "blisters on the inner surfaces")
-PRESENT_TERMS = ("{e} with the {m}", "{e} on the trunk plus {m}", "{e} and {m} as well")
-ABSENT_TERMS = ("{e}, negative for {m}", "{e} in absence of {m}", "{e}: {m} not observed",
-                "{e}, {m} was excluded")
-UNCERTAIN_TERMS = ("{e} with suspected {m}", "{e}, equivocal {m}", "{e}, {m} remains unclear")
-PRESENT_COMMENTS = ("Reviewed by the site: {m} present on both visits.",
-                    "Photographs on file. The exanthem came together with {m} at the ward round.")
-ABSENT_COMMENTS = ("On review there is no evidence of {m}.", "Linings looked at and normal.")
-UNCERTAIN_COMMENTS = ("Follow-up pending: possibly {m}.",)
 COMMENT_HEADER = "--- derived from order rows, for tests only ---"
 CONCEPT_BY_KEY = ("RASH", "RASH", "RASH", "RASH_ERYTHEMATOUS", "RASH_MACULOPAPULAR", "PRURITUS",
                   "NAUSEA", "NEUTROPENIA")
@@ -51,8 +32,39 @@ def pick(options: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(o) for o in options]), (index % len(options) + 1).cast("int"))
 
 
-def fill(template: Column, event: Column, modifier: Column) -> Column:
-    return F.replace(F.replace(template, F.lit("{e}"), event), F.lit("{m}"), modifier)
+#: Catalogue values a site may name, and the cues around a modifier by what they make of it.
+FORMS = {value: tuple(body["surface_forms"]) for value, body in
+         fixed.CONCEPTS["modifiers"]["mucosal_involvement"]["values"].items()}
+SITES = tuple(FORMS)
+CUES = {name: (tuple(c.strip() for c in sides["pre"]), tuple(sides["post"]))
+        for name, sides in fixed.EXTRACTION["assertion"]["cues"].items()}
+ASSERTS_NOTHING = tuple(fixed.EXTRACTION["assertion"]["pseudo_cues"])
+#: How many remarks that assert nothing precede the finding: a few, in every 19th comment many.
+LONG_COMMENT = 40
+
+
+def lexicon(concept: str) -> tuple[str, ...]:
+    return tuple(fixed.CONCEPTS["concepts"][concept]["lexicon"])
+
+
+def by_key(key: Column, names: tuple[str, ...], choice) -> Column:
+    """``choice(name)`` for the name that the key selects."""
+    out = choice(names[-1])
+    for i, name in enumerate(names[:-1]):
+        out = F.when(key % len(names) == i, choice(name)).otherwise(out)
+    return out
+
+
+def cued(assertion: str, modifier: Column, key: Column) -> Column:
+    """The modifier behind or before one of the cues that give it this assertion."""
+    before, after = CUES[assertion]
+    place, cue = key % (len(before) + len(after)), pick(before + after, key)
+    return F.when(place < len(before), F.concat(cue, F.lit(" "), modifier)).otherwise(
+        F.concat(modifier, F.lit(" "), cue))
+
+
+def dated(number: Column, text: Column) -> Column:
+    return F.concat(F.lit("Day "), (number % 240).cast("string"), F.lit(": "), text, F.lit("."))
 
 
 def day(offset: Column) -> Column:
@@ -74,17 +86,14 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _events(base: DataFrame) -> DataFrame:
     """One row per event, with every derived ingredient still typed; no join."""
     pk, sk = F.col("pk"), F.col("sk")
-    words = F.array(*[F.array(*[F.lit(w) for w in ws]) for ws in (
-        EVENT_WORDS[0], EVENT_WORDS[0], EVENT_WORDS[0], *EVENT_WORDS[1:])])
-    group = F.element_at(words, (pk % 8 + 1).cast("int"))
     step = base.withColumns({
         "study": (F.col("o_custkey") % 7).cast("int"),
         "t": ((F.col("l_orderkey") + F.col("l_linenumber")) % 5).cast("int"),
         "record": F.concat_ws("-", F.lit("R"), "l_orderkey", "l_linenumber"),
         "subject": F.concat(F.lit("C-"), F.col("o_custkey").cast("string")),
         "concept": pick(CONCEPT_BY_KEY, pk % 8),
-        "event": F.element_at(group, (sk % F.size(group) + 1).cast("int")),
-        "site": pick(tuple(s for s, _ in SITE_PHRASES), pk % 12),
+        "event": by_key(pk, CONCEPT_BY_KEY, lambda concept: pick(lexicon(concept), sk)),
+        "site": pick(SITES, pk),
         "onset_day": pk % 240,
     })
     # what is written, against what is true
@@ -92,14 +101,21 @@ def _events(base: DataFrame) -> DataFrame:
                            .when((F.col("study") == 4) & (F.col("t") == 1) & (sk % 17 == 0), 0)
                            .otherwise(F.col("t")))
     t, w = F.col("t"), F.col("w")
-    phrase = (F.when(w == 1, pick(UNSPECIFIED_PHRASES, pk % 3))
-              .when(w == 4, pick(UNLISTED_PHRASES, pk % 3))
-              .when(w != 3, pick(tuple(p for _, p in SITE_PHRASES), pk % 12)))
-    term = (F.when(w.isin(0, 4), pick(PRESENT_TERMS, sk % 3))
-            .when(w == 1, pick(ABSENT_TERMS, sk % 4)).when(w == 2, pick(UNCERTAIN_TERMS, sk % 3)))
-    remark = (F.when(w.isin(0, 4), pick(PRESENT_COMMENTS, sk % 2))
-              .when(w == 1, pick(ABSENT_COMMENTS, sk % 2))
-              .when(w == 2, pick(UNCERTAIN_COMMENTS, sk % 1)))
+    row, seen = F.floor(pk / len(SITES)), F.col("onset_day")
+    phrase = (F.when(w == 1, pick(FORMS["UNSPECIFIED"], pk))
+              .when(w == 4, F.concat(F.lit("site wording "), (pk % 97).cast("string")))
+              .when(w != 3, by_key(pk, SITES, lambda site: pick(FORMS[site], row))))
+    # words between event and modifier that say nothing, or a day
+    linked = F.concat_ws(" ", "event", pick(fixed.LINK_WORDS[-3:], sk), pick(fixed.LINK_WORDS[:-3], pk), phrase)
+    on_day = F.concat(F.col("event"), F.lit(" on day "), seen.cast("string"), F.lit(": "))
+    absent, unsure = cued("absent", phrase, pk + sk), cued("uncertain", phrase, pk + sk)
+    term = (F.when(w.isin(0, 4), F.when(sk % 3 == 1, F.concat(on_day, phrase)).otherwise(linked))
+            .when(w == 1, F.concat(on_day, absent)).when(w == 2, F.concat(on_day, unsure)))
+    finding = (F.when(w.isin(0, 4), F.concat(phrase, F.lit(" at "), (1 + sk % 4).cast("string"), F.lit(" places")))
+               .when((w == 1) & (sk % 2 == 0), absent).when(w == 2, unsure))
+    n_idle = F.when(sk % 19 == 0, LONG_COMMENT).otherwise(1 + sk % 3).cast("int")
+    idle = F.transform(F.sequence(F.lit(1), n_idle), lambda i: dated(pk + i, pick(ASSERTS_NOTHING, pk + i)))
+    remark = F.when(w != 3, F.concat_ws(" ", idle, dated(seen, finding)))
     study = F.col("study")
     in_term = ((study == 1) & t.isin(0, 2, 4)) | (study.isin(3, 4) & (t != 3))
     return step.withColumns({
@@ -109,8 +125,8 @@ def _events(base: DataFrame) -> DataFrame:
         "code": F.when((pk % 8 == 3) & ~study.isin(1, 5), "Erythematous rash")
         .otherwise(pick(CODE_BY_KEY, pk % 8)),
         "phrase": phrase, "in_term": in_term,
-        "aeterm": F.when(in_term, fill(term, F.col("event"), phrase)).otherwise(F.col("event")),
-        "comment": F.when((study == 6) & (t != 3), fill(remark, F.col("event"), phrase)),
+        "aeterm": F.when(in_term, term).otherwise(F.col("event")),
+        "comment": F.when((study == 6) & (t != 3), remark),
         "answer": F.when(t.isin(0, 4), "Y").when(t == 1, "N").when(t == 2, "U"),
         "onset_true": day(F.col("onset_day")),
         "offset_true": (F.col("onset_day") - F.col("first_day")).cast("int"),

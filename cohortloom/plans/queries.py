@@ -795,7 +795,7 @@ def verdict_upsert(t: Trial) -> DataFrame:
 
 @query
 def mention_search(t: Trial) -> DataFrame:
-    return t.discover("exanthem together", assertion=["present"], top_k=40).select(
+    return t.discover("oral delay", assertion=["present"], top_k=40).select(
         "mention_id", "value", F.round("score", 6).alias("score"), "candidate")
 
 
@@ -808,7 +808,7 @@ def mention_browse(t: Trial) -> DataFrame:
 @query
 def mention_search_all(t: Trial) -> DataFrame:
     """Every mention that the search of ``mention_search`` finds."""
-    return t.discover("exanthem together", assertion=["present"]).select(
+    return t.discover("oral delay", assertion=["present"]).select(
         "mention_id", "value", F.round("score", 6).alias("score"), "candidate")
 
 
