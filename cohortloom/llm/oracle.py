@@ -1,7 +1,7 @@
 """Plain SQL restatements of the training-data queries that SQL can express.
 
 They compare plainly where the operators are indirect: every block with every template,
-every order of the filters, every node of a tree.
+every order of the filters, every node of a tree, every window, every pair of texts.
 """
 
 from __future__ import annotations
@@ -152,7 +152,115 @@ _MERKLE = f"""
     from leaves l join ordered o on o.own = l.grp join (select digest from crown where n = 1) r on true
     join inside i on i.row = l.row and i.n = 1 join above a on a.row = l.row and a.n = 1"""
 
+_BLANK = r"\x20\x09-\x0D"
+_REPETITION = rf"""
+    with recursive docs as (
+        select row_number() over () as row, doc_id, coalesce(text, '') as body,
+               regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+') as held
+        from documents),
+    words as (select row, unnest(held) as word, unnest(range(len(held))) as place from docs),
+    -- places whose next l words stand elsewhere too; cls tells equal runs apart
+    runs as (
+        select row, 1 as l, cls, place
+        from (select row, place, min(place) over w as cls, count(*) over w as n from words
+              window w as (partition by row, word))
+        where n > 1
+        union all
+        select row, l + 1, cls, place
+        from (select r.row, r.l, r.place, min(r.place) over w as cls, count(*) over w as n
+              from runs r join words x on x.row = r.row and x.place = r.place + r.l
+              window w as (partition by r.row, r.cls, x.word))
+        where n > 1),
+    longest as (select row, max(l) as longest from runs group by row),
+    covered as (
+        select row, l, count(distinct p) as n
+        from (select row, l, unnest(range(place, place + l)) as p from runs where l in (3, 10)) group by row, l),
+    lines as (select row, unnest(string_split(body, chr(10))) as line from docs),
+    repeated as (
+        select row, count(*) - count(distinct line) as n from lines
+        where regexp_matches(line, '[^{_BLANK}]') group by row),
+    counted as (
+        select docs.row, doc_id, cast(len(held) as bigint) as n_words,
+               cast(length(array_to_string(held, '')) as bigint) as word_chars,
+               cast(length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+               cast(coalesce(repeated.n, 0) as bigint) as n_dup_lines,
+               cast(coalesce(three.n, 0) as bigint) as n_repeat_words,
+               cast(coalesce(ten.n, 0) as bigint) as n_covered_words,
+               cast(coalesce(longest.longest, 0) as bigint) as longest_repeat
+        from docs left join repeated using (row) left join longest using (row)
+        left join covered three on three.row = docs.row and three.l = 3
+        left join covered ten on ten.row = docs.row and ten.l = 10)
+    select * exclude (row), n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+           not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_covered_words <= 0.3 :: double * n_words
+           and longest_repeat <= greatest(60, 0.25 :: double * n_words) as kept
+    from counted"""
+
+_WU_MANBER = f"""
+    with docs as (select row_number() over () as row, doc_id, {_FOLDED} as held from documents),
+    items as (select item_id :: varchar as item, {_FOLDED} as held from benchmark),
+    wanted as (
+        select distinct item, least(len(held), 10) as size,
+               array_to_string(held[i + 1:i + 10], ' ') as run
+        from (select *, unnest(range(greatest(1, len(held) - 9))) as i from items where len(held) > 0)),
+    found as (
+        select row, place, size, item
+        from (select row, place, size, array_to_string(held[place + 1:place + size], ' ') as run
+              from (select row, held, size, unnest(range(len(held) - size + 1)) as place
+                    from docs, (select distinct size from wanted) where len(held) >= size))
+        join wanted using (size, run)),
+    hit as (
+        select row, count(distinct word) as n
+        from (select row, unnest(range(place, place + size)) as word from found) group by row),
+    named as (select row, list_sort(list(distinct item)) as items from found where item is not null group by row)
+    select doc_id, cast(len(held) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_hit,
+           cast(coalesce(len(items), 0) as bigint) as n_items,
+           sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n, 0) > 0 as contaminated
+    from docs left join hit using (row) left join named using (row)"""
+
+_LINES = """
+    with docs as (select row_number() over () as row, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+    held as (
+        select row, doc_id, i, line,
+               translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+        from (select row, doc_id, unnest(lines) as line, unnest(range(len(lines))) as i from docs)),
+    common as (
+        select key, max(doc_id) as last_id from held where length(key) >= 20
+        group by key having count(distinct doc_id) + max(cast(doc_id is null as int)) >= 3),
+    judged as (
+        select row, held.doc_id, i, line, common.key is not null and held.doc_id is distinct from last_id as lost
+        from held left join common using (key))
+    select doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) order by i) filter (not lost), '')) as kept_sha256
+    from judged group by row, doc_id"""
+
+_NEAR = rf"""
+    with recursive docs as (
+        select row_number() over () as row, doc_id, regexp_extract_all({_LOWER}, '[^{_BLANK}]+') as held from documents),
+    sets as (
+        select row, doc_id, case when len(held) = 0 then [] else list_sort(list_distinct(list_transform(
+            range(greatest(1, len(held) - 4)), lambda i: array_to_string(held[i + 1:i + 5], ' ')))) end as own
+        from docs),
+    -- texts with one set are one class
+    classes as (select own, min(doc_id) as least_id, min(row) as cls, len(own) as n from sets group by own),
+    members as (select cls, n, unnest(own) as shingle from classes),
+    links as (
+        select a.cls as one, b.cls as other
+        from members a join members b on a.shingle = b.shingle and a.cls <> b.cls
+        group by a.cls, b.cls, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+    reach(one, other) as (
+        select cls, cls from classes union select reach.one, links.other from reach join links on links.one = reach.other),
+    least as (select reach.one as cls, min(least_id) as component_id from reach join classes on cls = reach.other group by reach.one),
+    judged as (
+        select doc_id, cast(n as bigint) as n_shingles, case when n = 0 then doc_id else component_id end as component_id
+        from sets join classes using (own) join least using (cls))
+    select *, doc_id = component_id as kept from judged"""
+
 ORACLE: dict[str, str] = {
+    "op2_suffix_repetition": _REPETITION,
+    "op6_wu_manber": _WU_MANBER,
+    "op8_line_runs": _LINES,
+    "op10_bbit_minhash": _NEAR,
     "op11_license_join": _license_join(),
     "op12_filter_diagrams": _DIAGRAMS,
     "op13_merkle_witness": _MERKLE,

@@ -18,10 +18,10 @@ from cohortloom.llm.queries import QUERIES
 from llm_fixtures import SF, awkward, nothing, workers_reach_the_package  # noqa: F401
 
 
-@pytest.mark.parametrize("name", ["op11_license_join", "op12_filter_diagrams", "op13_merkle_witness"])
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_twins(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     found = QUERIES[name](spark, SF)
     want = con.execute(ORACLE[name])
