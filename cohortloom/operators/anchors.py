@@ -1,8 +1,8 @@
 """Exposure anchors and cumulative dose, safe for a subject holding most of the rows.
 
 Everything ordered is first brought down to one row per subject and calendar day
-(or per small order-preserving bucket), so a window never meets more rows than
-there are days or buckets, however many exposures one subject has.
+or dealt in sampled ranges, so a window never meets more rows than there are days
+or than a range holds, however many exposures one subject has.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import ConfigError, TrialConfig
 from ..functions import values
-
-SEQ_BUCKET = 65_536
+from .ranges import sorted_rows
 
 
 def dated_exposures(ex: DataFrame, date_field: str = "EXSTDTC") -> DataFrame:
@@ -39,25 +38,26 @@ def first_exposure(ex: DataFrame, date_field: str = "EXSTDTC") -> DataFrame:
 def dose_changes(ex: DataFrame, rule: str, date_field: str = "EXSTDTC") -> DataFrame:
     """Exposures whose dose exceeds every earlier one, or falls below the previous one.
 
-    Rows are bucketed by day and sequence range; each bucket hands the next its
-    running maximum (or last dose), so ordering happens inside small buckets.
+    Positions are dealt in sampled ranges of (subject, day, sequence, dose), so one subject's
+    exposures, even those of a single day, spread over ranges; each range hands the next
+    its running maximum, or its last dose.
     """
     if rule not in ("dose_increase", "dose_decrease"):
         raise ConfigError(f"unknown anchor rule {rule!r}")
     rising = rule == "dose_increase"
-    dosed = dated_exposures(ex, date_field).filter(F.col("dose").isNotNull()).withColumn(
-        "part", F.floor(F.col("seq") / SEQ_BUCKET))
-    # one row per position: equal (day, seq) rows would have no order between them
-    at = dosed.groupBy("subject_id", "day", "part", "seq", "dose").agg(
-        F.min("unit").alias("unit"), F.min("raw_seq").alias("raw_seq"))
-    bucket = at.groupBy("subject_id", "day", "part").agg(
-        (F.max("dose") if rising else F.max_by("dose", F.struct("seq", "dose"))).alias("held"))
-    earlier = Window.partitionBy("subject_id").orderBy("day", "part")
-    carried = bucket.withColumn("carry", (
-        F.max("held").over(earlier.rowsBetween(Window.unboundedPreceding, -1)) if rising
-        else F.lag("held").over(earlier))).drop("held")
-    inside = Window.partitionBy("subject_id", "day", "part").orderBy("seq", "dose")
-    joined = at.join(carried, ["subject_id", "day", "part"])
+    # one row per position: equal rows would have no order between them
+    at = dated_exposures(ex, date_field).filter("dose is not null and subject_id is not null").groupBy(
+        "subject_id", "day", "seq", "dose").agg(F.min("unit").alias("unit"), F.min("raw_seq").alias("raw_seq"))
+    placed = sorted_rows(at, ["subject_id", "day", "seq", "dose"], "dose-positions")
+    run = ["subject_id", "part"]
+    # a row per subject and range
+    across = Window.partitionBy("subject_id").orderBy("part")
+    held = F.max("dose") if rising else F.max_by("dose", "place")
+    carry = (F.max("held").over(across.rowsBetween(Window.unboundedPreceding, -1)) if rising
+             else F.lag("held").over(across))
+    carried = placed.groupBy(*run).agg(held.alias("held")).withColumn("carry", carry).drop("held")
+    inside = Window.partitionBy(*run).orderBy("place")
+    joined = placed.join(carried, run)
     before = (F.greatest("carry", F.max("dose").over(
         inside.rowsBetween(Window.unboundedPreceding, -1))) if rising
         else F.coalesce(F.lag("dose").over(inside), F.col("carry")))

@@ -300,14 +300,16 @@ CODED_FIELDS = ("code", "dictionary", "dictionary_version", "concept_id", "recon
                 "reconciliation")
 
 
-def coded_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Coded fields that differ before and after reading; sound runs give no rows."""
-    a = before.select("record_id", F.col("coded_event").alias("was"))
-    b = after.select("record_id", F.col("coded_event").alias("now"))
+def coded_changes(recs: DataFrame, config: TrialConfig, documents: DataFrame,
+                  reader: Reader | None = None) -> DataFrame:
+    """Coded fields that reading the prose of ``recs`` changes; a sound reader gives no rows.
+
+    What a record was coded as rides along in its own row, so nothing is derived twice or joined.
+    """
+    read = enrich(recs.withColumn("coded_before", F.col("coded_event")), config, documents, reader)
     fields = F.array_compact(F.array(*[
-        F.when(~F.col(f"was.{f}").eqNullSafe(F.col(f"now.{f}")), f) for f in CODED_FIELDS]))
-    return a.join(b, "record_id", "full").withColumn("field", F.explode(fields)).select(
-        "record_id", "field")
+        F.when(~F.col(f"coded_before.{f}").eqNullSafe(F.col(f"coded_event.{f}")), f) for f in CODED_FIELDS]))
+    return read.select("record_id", F.explode(fields).alias("field"))
 
 
 # -- answers produced elsewhere ------------------------------------------------

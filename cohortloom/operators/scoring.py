@@ -197,12 +197,16 @@ def holdout_drop(metrics: DataFrame) -> DataFrame:
 
 # -- ranking -------------------------------------------------------------------------------
 
+#: Parts into which the rows of one query are dealt by item.
+SLOTS = 128
+
+
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """Reciprocal rank, recall@k with its ceiling and precision@k per query.
 
     ``ranked`` has query_id, item_id, score; ``relevant`` has query_id, item_id. The
     top k are cut inside each task before the shuffle, and the first hit's rank is a
-    count of better rows, so no query is ever ranked in one task.
+    count of better rows, dealt by query and item, so no query is ever ranked in one task.
     """
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     wanted = relevant.distinct().withColumn("hit", F.lit(1))
@@ -215,8 +219,10 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame
         F.min_by("item_id", F.struct((-F.col("score")).alias("s"), "item_id")).alias("best_item"))
     ahead = (F.col("score") > F.col("best")) | (
         (F.col("score") == F.col("best")) & (F.col("item_id") < F.col("best_item")))
-    # a row per query with a hit; the ranked side may be split where a query holds most rows
-    rank = ranked.join(best, "query_id").groupBy("query_id").agg(
+    # the best hit of a query goes to each of its slots: a query with most rows meets it in many tasks
+    slots = best.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)).cast("array<bigint>")))
+    dealt = ranked.select("query_id", "item_id", "score", F.pmod(F.xxhash64("item_id"), F.lit(SLOTS)).alias("slot"))
+    rank = dealt.join(slots, ["query_id", "slot"]).groupBy("query_id").agg(
         (count_if(ahead) + 1).alias("first_hit"))
     size = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
     queries = ranked.select("query_id").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = ("result", "analysis", "cohort", "definition", "attribute", "record", "span")
@@ -10,9 +10,9 @@ LINK = ["example", "level_order", "position", "level", "identifier", "detail"]
 
 
 def trace_number(assignments: DataFrame, attributes: DataFrame, recs: DataFrame, manifest: dict,
-                 label: str, number: int, verdict: str = "case", examples: int = 3,
+                 label: str, number: int | None = None, verdict: str = "case", examples: int = 3,
                  spans_per_record: int = 6) -> DataFrame:
-    """Links of the chain in reading order.
+    """Links of the chain in reading order; a number that is not given is counted in the chain itself.
 
     The first ``examples`` records are a top-n cut; the joins that follow carry those
     few record ids, which is why they may be broadcast.
@@ -20,7 +20,6 @@ def trace_number(assignments: DataFrame, attributes: DataFrame, recs: DataFrame,
     spark = assignments.sparkSession
     matching = assignments.filter(F.col("verdict") == verdict)
     head = spark.createDataFrame([
-        (0, 0, 0, "result", label, f"{label} = {number}"),
         (0, 1, 0, "analysis", manifest["manifest_id"],
          f"by {manifest['actor']}; normalizer {manifest['normalizer_version']}, extractor "
          f"{manifest['extractor_version']}, snapshot {manifest['data_snapshot_id']}"),
@@ -29,13 +28,13 @@ def trace_number(assignments: DataFrame, attributes: DataFrame, recs: DataFrame,
          f"status {manifest['definition_status']}, hash {manifest['definition_hash']}"),
     ], "example int, level_order int, position int, level string, identifier string, "
        "detail string")
+    stated = F.col("n") if number is None else F.lit(number)
     cohort = matching.agg(
         F.array_join(F.array_sort(F.collect_set("study_id")), "|").alias("studies"),
-        F.count(F.lit(1)).alias("n")).select(
-        F.lit(0).alias("example"), F.lit(2).alias("level_order"), F.lit(0).alias("position"),
-        F.lit("cohort").alias("level"),
-        F.when(F.col("studies") == "", "(empty)").otherwise(F.col("studies")).alias("identifier"),
-        F.format_string(f"%d record(s) with verdict {verdict}", F.col("n")).alias("detail"))
+        F.count(F.lit(1)).alias("n")).select(F.inline(F.array(
+            _link(0, "result", F.lit(label), F.concat_ws(" = ", F.lit(label), stated.cast("string"))),
+            _link(2, "cohort", F.when(F.col("studies") == "", "(empty)").otherwise(F.col("studies")),
+                  F.concat_ws(" ", F.col("n").cast("string"), F.lit("record(s) with verdict"), F.lit(verdict))))))
     chosen = matching.orderBy("study_id", "subject_id", "record_id").limit(examples)
     numbered = chosen.select(
         F.row_number().over(_by_record()).alias("example"), "record_id", "findings")
@@ -64,6 +63,11 @@ def trace_number(assignments: DataFrame, attributes: DataFrame, recs: DataFrame,
     return chain.orderBy("example", "level_order", "position")
 
 
+def _link(order: int, level: str, identifier: Column, detail: Column) -> Column:
+    return F.struct(F.lit(0).alias("example"), F.lit(order).alias("level_order"), F.lit(0).alias("position"),
+                    F.lit(level).alias("level"), identifier.alias("identifier"), detail.alias("detail"))
+
+
 def _by_record():
     from pyspark.sql import Window
     # runs over the few chosen examples only

@@ -359,7 +359,9 @@ twin("structured_modifiers", """SELECT record_id, struct_says AS assertion,
 twin("exposure_offsets", "SELECT record_id, off AS offset_days, CASE WHEN off IS NULL THEN 'unresolved' ELSE 'observed' END AS availability FROM ev")
 twin("canonical_records", f"""SELECT record_id, study_id, subject_id, profile, concept AS concept_id, aeterm AS reported_term, {SEVERITY} AS severity, grade,
   pk % 7 = 0 AS serious, {ACTION} AS action, {OUTCOME} AS outcome, CASE WHEN s = 5 AND t <> 3 THEN 'MUCOSAL' ELSE '' END AS linked_forms FROM ev""")
-twin("undeclared_studies", "SELECT 0::BIGINT AS n_undeclared", base="")
+twin("undeclared_studies", "SELECT study_id, count(*) AS n_rows FROM ev WHERE s NOT IN (0, 1, 3) GROUP BY 1")
+twin("provenance_faults", """SELECT 'grade' AS name, 'derived_outside_cross_domain' AS rule, count(*) AS n FROM ev
+  UNION ALL SELECT 'onset', 'observed_without_span', count(*) FROM ev WHERE onset IS NOT NULL""")
 twin("provenance_audit", "SELECT count(*) * 18 AS n_attributes, 0::BIGINT AS n_broken FROM ev")
 LONG = f"""
 la AS (SELECT 'reported_term' AS name, 'observed' AS availability, 'present' AS assertion, 'direct' AS method FROM ev
@@ -413,10 +415,11 @@ twin("supportability_screen", """SELECT study_id, profile, ['supported','support
 twin("both_routes", "SELECT study_id, profile, count(*) AS n FROM ev WHERE s = 3 GROUP BY 1, 2")
 twin("askable_records", """SELECT study_id, count(*) FILTER (struct_says IS NULL AND s IN (1, 3, 4, 6)) AS n_askable,
   count(*) FILTER (struct_says IS NULL) AS n_open FROM rc GROUP BY 1""")
-twin("boundary_audit", "SELECT 0::BIGINT AS n_violations", base="")
+twin("boundary_audit", f"""SELECT record_id, '{MUC}' AS modifier, 'AEMUCOS' AS source_variable, 'structured_source' AS reason
+  FROM ev WHERE s = 3 AND struct_says IS NOT NULL AND ln % 2 = 0""")
 twin("request_audit", """SELECT * FROM (SELECT CASE WHEN concept = 'NAUSEA' THEN 'deterministic_mechanism' WHEN struct_says IS NOT NULL THEN 'settled'
   WHEN s IN (0, 5) THEN 'structured_source' END AS reason, count(*) AS n FROM rc GROUP BY 1) WHERE reason IS NOT NULL""")
-twin("coded_field_audit", "SELECT 0::BIGINT AS n_changed", base="")
+twin("coded_field_audit", "SELECT 'code' AS field, count(*) AS n FROM ev WHERE concept = 'NAUSEA'")
 twin("term_only_verdicts", "SELECT study_id, verdict, count(*) AS n FROM vt GROUP BY 1, 2", TEXT_MODE, V_TERM)
 
 # -- prose -----------------------------------------------------------------------------
@@ -667,3 +670,8 @@ ORACLE["evaluation_bundle"] = " UNION ALL ".join((
     long_form("ablation", ORACLE["ablation_stages"], "stage"),
     long_form("increment", _ADDED, "to_stage"),
 ))
+twin("results_hash_flat", """, rh AS (SELECT sha256(to_json({record_id: record_id, subject_id: subject_id, study_id: study_id, profile: profile,
+    verdict: verdict, deciding_criterion: deciding_criterion, definition_id: 'cutaneous_mucosal', definition_version: 2})::VARCHAR) AS d FROM v2)
+SELECT substr(sha256(concat_ws(':', count(*), sum(CAST(('0x' || substr(d, 1, 15)) AS BIGINT)), bit_xor(CAST(('0x' || substr(d, 16, 15)) AS BIGINT)))), 1, 32) AS results_hash
+FROM rh""", V2)
+ORACLE["results_hash_flat"] = ORACLE["results_hash_flat"].replace("\n, rh AS", ",\nrh AS", 1)

@@ -6,6 +6,7 @@ bigint and ratios double, so a plain SQL engine can restate every result.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -226,8 +227,8 @@ def canonical_records(t: Trial) -> DataFrame:
 
 @scan_query
 def undeclared_studies(t: Trial) -> DataFrame:
-    return normalize.undeclared_studies(t.snapshot.ae, t.config).agg(
-        F.count(F.lit(1)).alias("n_undeclared"))
+    """Event rows of studies that a configuration of the development studies alone does not declare."""
+    return normalize.undeclared_studies(t.snapshot.ae, t.config.declaring(fixed.DEVELOPMENT_PROFILES))
 
 
 @query
@@ -238,6 +239,16 @@ def provenance_audit(t: Trial) -> DataFrame:
         F.count(F.lit(1)).alias("n_attributes"), F.sum("broken").alias("n_broken"))
 
 
+@query
+def provenance_faults(t: Trial) -> DataFrame:
+    """The invariants that a damaged attribute table breaks: grades called derived, onsets without evidence."""
+    damaged = t.attributes.withColumns({
+        "method": F.when(F.col("name") == "grade", "derived").otherwise(F.col("method")),
+        "evidence": F.when(F.col("name") == "onset", F.slice("evidence", 1, 0)).otherwise(F.col("evidence"))})
+    row = F.struct(*[F.col(c) for c in damaged.columns])
+    return n_rows(damaged.select("name", F.explode(attrs.violations(row)).alias("rule")), "name", "rule")
+
+
 @query
 def attribute_counts(t: Trial) -> DataFrame:
     return n_rows(t.attributes, "name", "availability", "assertion", "method")
@@ -353,8 +364,10 @@ def askable_records(t: Trial) -> DataFrame:
 
 @query
 def boundary_audit(t: Trial) -> DataFrame:
-    return extract.boundary_violations(t.structured, t.config).agg(
-        F.count(F.lit(1)).alias("n_violations"))
+    """Open structured answers beside prose, where every second event of a subject's form is unreadable."""
+    spoilt = t.snapshot.ae.withColumn("AEMUCOS", F.when(
+        F.col("AEMUCOS").isNotNull() & (F.col("AESEQ").cast("int") % 2 == 0), "see form").otherwise(F.col("AEMUCOS")))
+    return extract.boundary_violations(Trial(replace(t.snapshot, ae=spoilt), t.config).structured, t.config)
 
 
 @query
@@ -369,8 +382,17 @@ def request_audit(t: Trial) -> DataFrame:
 
 @query
 def coded_field_audit(t: Trial) -> DataFrame:
-    return extract.coded_changes(t.structured, t.records).agg(
-        F.count(F.lit(1)).alias("n_changed"))
+    """What the audit says of a reader that also recodes nausea; the built-in one changes nothing."""
+    rules = extract.rules_reader(t.config)
+
+    def recoding(df: DataFrame, text: str, kind: str, modifiers: list) -> DataFrame:
+        read = rules(df, text, kind, modifiers)
+        if "coded_event" not in read.columns:
+            return read
+        return read.withColumn("coded_event", F.when(F.col("concept_id") == "NAUSEA", F.col("coded_event").withField(
+            "code", F.lit("Queasiness"))).otherwise(F.col("coded_event")))
+
+    return n_rows(extract.coded_changes(t.structured, t.config, t.snapshot.documents, recoding), "field")
 
 
 @query
@@ -903,6 +925,13 @@ def results_hash(t: Trial) -> DataFrame:
     return runs.results_hash(t.assignments(V2))
 
 
+@query
+def results_hash_flat(t: Trial) -> DataFrame:
+    """The same hash over the columns of a result that are plain cells."""
+    return runs.results_hash(t.assignments(V2), ("record_id", "subject_id", "study_id", "profile", "verdict",
+                                                 "deciding_criterion", "definition_id", "definition_version"))
+
+
 @query
 def number_trace(t: Trial) -> DataFrame:
     """The chain behind the case count of the narrative definition, without a saved run."""
@@ -912,6 +941,4 @@ def number_trace(t: Trial) -> DataFrame:
                 "extractor_version": t.config.extractor_version, "data_snapshot_id": "unsaved",
                 "definition_id": d.id, "definition_version": d.version,
                 "definition_status": d.status, "definition_hash": d.content_hash}
-    assigned = t.assignments(V2)
-    n = evaluate.cases(assigned).count()
-    return trace.trace_number(assigned, t.attributes, t.records, manifest, "case count", n)
+    return trace.trace_number(t.assignments(V2), t.attributes, t.records, manifest, "case count")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortloom import schema
 from cohortloom.config import ConfigError
-from cohortloom.operators import anchors, episodes
+from cohortloom.operators import anchors, episodes, ranges
 from conftest import frame
 
 BASE = dt.date(2022, 1, 1)
@@ -73,10 +73,21 @@ def test_dose_changes(ex, exposures, rule):
     assert got == want
 
 
-def test_sequence_buckets_do_not_change_the_answer(monkeypatch, ex):
-    whole = {tuple(r) for r in anchors.dose_changes(ex, "dose_increase").collect()}
-    monkeypatch.setattr(anchors, "SEQ_BUCKET", 7)
-    assert {tuple(r) for r in anchors.dose_changes(ex, "dose_increase").collect()} == whole
+@pytest.mark.parametrize("rule", ["dose_increase", "dose_decrease"])
+def test_doses_of_one_crowded_day_spread_over_ranges(spark, rule):
+    """One subject, one day, 4,000 sparse numbers: the sorted positions lie in several ranges."""
+    rng = random.Random(9)
+    doses = [rng.randint(1, 400) + i // 40 for i in range(4_000)]
+    ex = spark.createDataFrame([("S1", "2022-01-05", str(7_919 * i), str(d), "mg") for i, d in enumerate(doses)],
+                               "USUBJID string, EXSTDTC string, EXSEQ string, EXDOSE string, EXDOSU string")
+    want, top = set(), doses[0]
+    for i, d in enumerate(doses[1:], 1):
+        if d > top if rule == "dose_increase" else d < doses[i - 1]:
+            want.add(float(7_919 * i))
+        top = max(top, d)
+    assert {r["seq"] for r in anchors.dose_changes(ex, rule).collect()} == want
+    placed = ranges.sorted_rows(anchors.dated_exposures(ex), ["subject_id", "day", "seq"], "spread")
+    assert placed.groupBy("part").count().count() >= 3
 
 
 def test_anchor_resolution(spark, ex, config):
