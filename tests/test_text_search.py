@@ -113,3 +113,16 @@ def test_builders_are_quick_once_warm(spark):
         began = time.perf_counter()
         QUERIES[name](spark, sf)
         assert time.perf_counter() - began < 3
+
+
+def test_words_are_grouped_a_few_documents_at_a_time(monkeypatch):
+    """However many documents a batch holds, one step takes a bounded number of words."""
+    import pyarrow as pa
+    from cohortloom.operators import text_search
+    words = [["a", "b", "a"], [], ["c"] * 9, ["a"], ["b", "b"], []]
+    batch = pa.RecordBatch.from_pydict({"row": list(range(6)), "doc": list(range(10, 16)), "words": words})
+    whole = [b.to_pylist() for b in text_search._grouped(iter([batch]))]
+    monkeypatch.setattr(text_search, "WORDS", 4)
+    parts = [b.to_pylist() for b in text_search._grouped(iter([batch.slice(0, 3), batch.slice(3)]))]
+    assert sum(parts, []) == sum(whole, [])
+    assert len(whole) == 1 and all(sum(r["tf"] for r in p) <= 4 or len({r["row"] for r in p}) == 1 for p in parts)
