@@ -292,3 +292,20 @@ def test_trace_builds_only_what_it_shows(spark, tmp_path):
     assert [r["detail"] for r in chain if r["level"] == "attribute"] == ["S:000", "S:001", "S:002"]
     assert "200 record(s)" in next(r["detail"] for r in chain if r["level"] == "cohort")
     assert built.value <= 60
+
+
+def test_evaluation_writes_no_findings(spark, loaded, monkeypatch):
+    from dataclasses import replace
+    from cohortloom.plans import trial as plans
+    gold = spark.createDataFrame([], ", ".join(f"{c} string" for c in (
+        "source_record_id", "truth_id", "cohort", "true_verdict", "verdict_if_readable", "structured_assertion",
+        "text_assertion", "true_availability", *(f"verdict_stage_{s}" for s in ablation.STAGES))) + ", readable boolean")
+    made = {}
+
+    def kept(df, name, **options):
+        made[name] = df.columns
+        return scratch.written(df.limit(0), name, **options)
+    monkeypatch.setattr(plans, "written", kept)
+    Trial(replace(loaded, gold_rows=gold)).evaluation(V2)
+    assert not {"reason", "findings", "evidence_spans"} & set(made["evaluation-judged"])
+    assert "structured_assertion" in made["evaluation-gold"] and "verdict_stage_comments" not in made["evaluation-gold"]
