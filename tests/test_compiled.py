@@ -49,3 +49,21 @@ def test_broken_invariants_are_counted_as_listed(spark):
     rows = counted.collect()
     assert any(r.listed for r in rows)
     assert [r.listed for r in rows] == [r.counted for r in rows]
+
+
+@pytest.mark.parametrize("name", ["attribute_counts", "attribute_predicates"])
+def test_counted_attributes_carry_no_spans(spark, name):
+    plan = optimized(QUERIES[name](spark, SMALL))
+    above = plan.split("Generate explode(attributes", 1)[1].splitlines()[1]
+    # the struct of an attribute holds what is counted, not its evidence
+    assert "availability" in above and "evidence" not in above
+
+
+def test_some_fields_of_attributes_are_those_of_all(spark):
+    t = trial(spark, SMALL)
+    fields = ("availability", "assertion", "method", "prior_availability")
+    keys = ("record_id", "name")
+    whole = t.attributes.limit(2000).select(*keys, *fields)
+    some = t.attribute_fields(*fields).select(*keys, *fields)
+    assert whole.exceptAll(some).count() == 0
+    assert some.count() == t.attributes.count()
