@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.functions import stats, values
+from cohortloom.functions import attrs, stats, values
 from cohortloom.operators import normalize
 from cohortloom.plans.trial import Trial
 
@@ -166,3 +166,53 @@ def test_supportability(mini, config):
     assert {s for s, v in status.items() if v == "supported_via_extraction"} == set("BEG")
     assert status["C"] == "cannot_ascertain"
     assert config.both_routes(MODIFIER) == ["P_both"]
+
+
+def test_spans_of_own_ids_are_never_dealt(mini, config):
+    t = Trial(mini([{"STUDYID": "STUDY-A", "AESPID": "R1", "AESER": "Y", "AESCAT": "death"},
+                    {"STUDYID": "STUDY-A", "AESPID": "R2", "AESTDTC": None}]))
+    found = t.spans()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # the one aggregate of the long way deals spans by what they hold
+    assert "extracted_value" not in "".join(line for line in plan.splitlines() if "Aggregate" in line)
+    long = normalize.spans(normalize.attribute_table(t.records, config))
+    assert found.exceptAll(long.select(*found.columns)).count() == 0 and found.count() == long.count()
+
+
+def test_spans_of_shared_ids_are_counted_once(mini, config):
+    # one id three times: a whole copy, and one row with another grade
+    rows = [{"STUDYID": "STUDY-A", "AESPID": "R1", "AEGRADE": g} for g in ("2", "2", "3")]
+    t = Trial(mini(rows + [{"STUDYID": "STUDY-A", "AESPID": "R2"}]))
+    assert [r[0] for r in normalize.repeated(t.structured).collect()] == ["STUDY-A:R1"]
+    found, long = t.spans(), normalize.spans(normalize.attribute_table(t.records, config))
+    assert found.exceptAll(long.select(*found.columns)).count() == 0 and found.count() == long.count()
+    grades = found.filter("record_id = 'STUDY-A:R1' and field = 'AEGRADE'")
+    assert sorted(r["extracted_value"] for r in grades.collect()) == ["2", "3"]
+
+
+def test_checked_attributes_carry_what_invariants_read(mini, config):
+    rows = [{"STUDYID": "STUDY-A", "AESPID": "R1", "AEMUCOS": "Y"}, {"STUDYID": "STUDY-A", "AESPID": "R2", "AEGRADE": "x"},
+            {"STUDYID": "STUDY-B", "AESPID": "R3", "AETERM": "rash with oral ulceration"}]
+    t = Trial(mini(rows))
+    narrow, full = t.records_carrying(attrs.CHECKED), t.records
+    assert narrow.schema.simpleString() == full.schema.simpleString()
+    fields = ["record_id", "name", "value", "assertion", "availability", "source", "method"]
+    size = F.size("evidence").alias("n")
+    some, all_ = (normalize.attribute_table(r, config) for r in (narrow, full))
+    assert some.select(*fields, size).exceptAll(all_.select(*fields, size)).count() == 0
+    assert all_.filter("note <> '' or versions['backend'] = 'rules'").count() > 0
+    # neither notes nor anything of a span is built
+    assert some.filter("note is not null or versions is not null").count() == 0
+    assert some.select(F.explode("evidence").alias("s")).filter("s.text is not null or s.doc_id is not null").count() == 0
+    assert attrs.carried("note")
+
+
+def test_broken_rules_are_listed_for_broken_attributes_only(mini):
+    t = Trial(mini([{"STUDYID": "STUDY-A", "AESPID": "R1"}]))
+    damaged = t.attribute_fields(*attrs.CHECKED).withColumn(
+        "method", F.when(F.col("name") == "grade", "derived").otherwise(F.col("method")))
+    broken = attrs.broken(damaged)
+    assert [(r["name"], r["rule"]) for r in broken.collect()] == [("grade", "derived_outside_cross_domain")]
+    plan = broken._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = next(i for i, line in enumerate(plan) if "Generate explode(rules" in line)
+    assert any("Filter" in line for line in plan[above + 1:above + 4])
